@@ -23,7 +23,7 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)(?:\0|\Z)|[^\0]+(?:\0|\Z)")
 _CHUNK = re.compile(r"(?<=\S)(?=[ \n])")
 #: Entries that a worker keeps at most, of chunks and of their parts. Bounds memory, never results.
-KEEP_CHUNKS, KEEP_WORDS = 500_000, 700_000
+KEEP_CHUNKS, KEEP_WORDS = 300_000, 500_000
 #: Longer chunks are encoded each time.
 LONG = 48
 
@@ -156,8 +156,23 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def slices(texts: list[str], most: int = 1 << 20):
+    """Consecutive texts of about ``most`` characters together; what a worker holds split at a time."""
+    begin, n = 0, 0
+    for i, text in enumerate(texts):
+        n += len(text)
+        if n >= most:
+            yield texts[begin : i + 1]
+            begin, n = i + 1, 0
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 def encode_column(batches, path: str, column: str):
     """(Arrow batch, packed ids of each of its texts) for Arrow batches with a text column, null as empty."""
     enc = encoder(path)
     for batch in batches:
-        yield batch, enc.batch([x or "" for x in batch.column(column).to_pylist()])
+        ids: list[bytes] = []
+        for part in slices([x or "" for x in batch.column(column).to_pylist()]):
+            ids += enc.batch(part)
+        yield batch, ids
