@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolloom.llm import common, decontamination, packing, sharding, token_counts, token_files, urls
+from toolloom.llm import common, decontamination, near_duplicates, neighbours, packing, quality, sharding, token_counts, token_files, urls
 from toolloom.llm.encoding import vocabulary
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(common.read(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "token-files")
     token_files.write_tokens(common.read(spark, sf_dir, "documents"), vocabulary(WORD_BPE), 1, path)
@@ -32,6 +36,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.read(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), common.new_path(spark, "token-cache"), limit=1024)
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(common.read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(common.read(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
@@ -41,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_token_files, op4_decontamination, op6_token_counts, op9_url_filter, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_token_files, op4_decontamination, op6_token_counts, op7_neighbours, op8_quality, op9_url_filter, op10_sharding)}
 
 ORACLES: dict[str, str] = {
     "op9_url_filter": r"""
