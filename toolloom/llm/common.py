@@ -26,9 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed by ``release``."""
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{name}-{unique()}"
     _written.append(path)
     return path
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolloom.llm import common, decontamination, near_duplicates, neighbours, packing, quality, sharding, token_counts, token_files, urls
+from toolloom.llm import common, decontamination, near_duplicates, neighbours, packing, pii, quality, sharding, token_counts, token_files, urls
 from toolloom.llm.encoding import vocabulary
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -31,6 +31,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(common.read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a cache of this run's own: a lasting one would let a second run skip the work
     return token_counts.token_counts(common.read(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), common.new_path(spark, "token-cache"), limit=1024)
@@ -53,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_token_files, op4_decontamination, op6_token_counts, op7_neighbours, op8_quality, op9_url_filter, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_token_files, op4_decontamination, op5_personal_data, op6_token_counts, op7_neighbours, op8_quality, op9_url_filter, op10_sharding)}
 
 ORACLES: dict[str, str] = {
     "op9_url_filter": r"""
