@@ -1,0 +1 @@
+"""The same scoring over streams, and a stateful router."""
