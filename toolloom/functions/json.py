@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ARGS = "map<string,variant>"
 CALL = "struct<tool_name:string,arguments:string>"
@@ -106,6 +107,11 @@ def coerce_query(text: Column) -> Column:
     return F.when(F.trim(text).startswith("{"), F.coalesce(*known, F.try_element_at(strings, F.lit(1)).cast("string"))).otherwise(text)
 
 
+def _bind(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _text_of(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
@@ -116,7 +122,11 @@ def normalize(candidate: Column) -> Column:
     ``calls`` holds the call of ``call_function`` and all calls of ``call_functions``, of which a single
     one makes it a ``call_function``. What fits no action is a parse error.
     """
-    v = F.try_parse_json(candidate)
+    return _bind(F.try_parse_json(candidate), _prediction)
+
+
+def _prediction(v: Column) -> Column:
+    """The prediction in a parsed object; a lambda's variable, so that it is parsed once."""
     action = _text_of(v, "$.action")
     args = F.try_variant_get(v, "$.call.arguments", "variant")
     args_ok = args.isNull() | F.schema_of_variant(args).startswith("OBJECT")
@@ -162,7 +172,7 @@ def _objects(text: str) -> list:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _repaired(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """What the expressions reject: one object with duplicate keys as plain JSON, or several calls as one ``call_functions``."""
 
@@ -187,16 +197,19 @@ def _repaired(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(repair)
 
 
+def _is_one_object(candidate: Column) -> Column:
+    """Whether the whole text is one JSON value; Spark's parser alone ignores what follows the first."""
+    return F.coalesce(F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), candidate, F.lit("]"))), "$", "array<variant>")) == 1, F.lit(False))
+
+
 def parse_model_output(text: Column) -> Column:
     """The prediction in a raw model output. Python only sees outputs that don't parse as one object."""
-    clean = strip_thinking(text)
-    candidate = json_candidate(clean)
-    plain = normalize(candidate)
-    residue = F.when(candidate.isNotNull() & F.try_parse_json(candidate).isNull(), clean)
-    error = F.when(candidate.isNull(), "No JSON object found in model output.").otherwise("Invalid JSON")
+    seen = _bind(strip_thinking(text), lambda c: _bind(json_candidate(c), lambda k: F.struct(c.alias("clean"), k.alias("candidate"), _is_one_object(k).alias("one"))))
+    fixed = F.coalesce(F.when(seen["one"], seen["candidate"]), _repaired(F.when(seen["candidate"].isNotNull() & ~seen["one"], seen["clean"])))
+    error = F.when(seen["candidate"].isNull(), "No JSON object found in model output.").otherwise("Invalid JSON")
     none = F.lit(None)
     failed = F.struct(F.lit("abstain").alias("action"), none.cast(f"array<{CALL}>").alias("calls"), none.cast("array<string>").alias("asked_slots"), F.lit("parse_error").alias("reason"), error.alias("parse_error"))
-    return F.coalesce(plain, normalize(_repaired(residue)), failed)
+    return F.coalesce(normalize(fixed), failed)
 
 
 def call_signature(tool: Column, arguments: Column) -> Column:

@@ -1,3 +1,5 @@
 """Registered queries of the engine: each module has ``QUERIES`` and ``ORACLES``."""
 
-MODULES: list = []
+from toolloom.plans import datasets, evaluation, groups, validation
+
+MODULES = [evaluation.plans, validation.plans, groups.plans, datasets.plans]
