@@ -9,7 +9,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,7 +122,7 @@ def normalize(candidate: Column) -> Column:
     ``calls`` holds the call of ``call_function`` and all calls of ``call_functions``, of which a single
     one makes it a ``call_function``. What fits no action is a parse error.
     """
-    return _bind(F.try_parse_json(candidate), _prediction)
+    return _bind(F.coalesce(F.try_parse_json(candidate), F.parse_json(F.lit("null"))), _prediction)
 
 
 def _prediction(v: Column) -> Column:
@@ -148,7 +148,7 @@ def _prediction(v: Column) -> Column:
         return F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("action"), calls.alias("calls"), slots.alias("asked_slots"), reason.alias("reason"), error.alias("parse_error"))
 
     error = made("abstain", reason=F.lit("parse_error"), error=F.lit("JSON object does not match expected action schema."))
-    return F.when(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT"), (
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), (
         F.when((action == "call_function") & one_ok, made("call_function", one))
         .when((action == "call_functions") & (F.size(many) == 1), made("call_function", many))
         .when((action == "call_functions") & (F.size(many) > 1), made("call_functions", many))
@@ -202,14 +202,20 @@ def _is_one_object(candidate: Column) -> Column:
     return F.coalesce(F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), candidate, F.lit("]"))), "$", "array<variant>")) == 1, F.lit(False))
 
 
-def parse_model_output(text: Column) -> Column:
-    """The prediction in a raw model output. Python only sees outputs that don't parse as one object."""
+def with_predictions(df: DataFrame, text: Column, name: str = "prediction") -> DataFrame:
+    """``df`` with the predictions in raw model outputs. Python only sees outputs that don't parse as one object.
+
+    The steps are projections of their own: Python can't stand inside a lambda.
+    """
     seen = _bind(strip_thinking(text), lambda c: _bind(json_candidate(c), lambda k: F.struct(c.alias("clean"), k.alias("candidate"), _is_one_object(k).alias("one"))))
-    fixed = F.coalesce(F.when(seen["one"], seen["candidate"]), _repaired(F.when(seen["candidate"].isNotNull() & ~seen["one"], seen["clean"])))
-    error = F.when(seen["candidate"].isNull(), "No JSON object found in model output.").otherwise("Invalid JSON")
+    out = df.withColumn("_seen", seen)
+    c = F.col("_seen")
+    out = out.withColumn("_repaired", _repaired(F.when(c["candidate"].isNotNull() & ~c["one"], c["clean"])))
+    error = F.when(c["candidate"].isNull(), "No JSON object found in model output.").otherwise("Invalid JSON")
     none = F.lit(None)
     failed = F.struct(F.lit("abstain").alias("action"), none.cast(f"array<{CALL}>").alias("calls"), none.cast("array<string>").alias("asked_slots"), F.lit("parse_error").alias("reason"), error.alias("parse_error"))
-    return F.coalesce(normalize(fixed), failed)
+    repaired = _prediction(F.try_parse_json(F.col("_repaired")))
+    return out.withColumn(name, F.coalesce(normalize(F.when(c["one"], c["candidate"])), repaired, failed)).drop("_seen", "_repaired")
 
 
 def call_signature(tool: Column, arguments: Column) -> Column:

@@ -64,7 +64,7 @@ def greedy(df: DataFrame, threshold: float = THRESHOLD, phrasings: int = PHRASIN
     light = df.select("key", "pos", "signature", "exempt").join(partners, ["key", "pos"], "left").join(crowded, ["key", "signature"], "left")
     earlier_ends = pairs.select("key", F.col("earlier").alias("pos"), F.lit(True).alias("_partner")).distinct()
     light = light.join(earlier_ends, ["key", "pos"], "left")
-    involved = F.col("earlier").isNotNull() | F.col("_partner").isNotNull() | (F.col("_crowded").isNotNull() & ~F.col("exempt"))
+    involved = F.col("earlier").isNotNull() | F.col("_partner").isNotNull() | F.col("_crowded").isNotNull()
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         kept, counts = set(), {}

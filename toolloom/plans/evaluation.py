@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from toolloom.functions import scores as S
 from toolloom.functions.feedback import SUGGESTED_ACTION, render
-from toolloom.functions.json import parse_model_output
+from toolloom.functions.json import with_predictions
 from toolloom.operators import audit, reports, scoring
 from toolloom.operators.validation import ISSUE
 from toolloom.plans.base import Plans, table
@@ -174,8 +174,7 @@ def parse_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 6, F.concat(F.lit("```json\n"), one, F.lit("\n```")))
         .otherwise(F.concat(one, F.lit("\n"), one))
     )
-    # a narrow step of its own keeps the residue's Python apart from the aggregate
-    parsed = events.select(parse_model_output(raw).alias("p"))
+    parsed = with_predictions(events.select(raw.alias("raw")), F.col("raw"), "p")
     calls = F.coalesce(F.col("p.calls"), F.array().cast("array<struct<tool_name:string,arguments:string>>"))
     k = F.get_json_object(F.try_element_at(calls, F.lit(1))["arguments"], "$.k").cast("long")
     return parsed.groupBy(F.col("p.action").alias("action"), F.size(calls).alias("n_calls"), F.col("p.parse_error").isNotNull().alias("failed")).agg(F.sum(k).alias("sum_k"), F.count("*").alias("n"))

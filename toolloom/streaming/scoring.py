@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from toolloom.functions.json import parse_model_output
+from toolloom.functions.json import with_predictions
 from toolloom.operators.bandit import FEATURES
 from toolloom.operators.validation import validate_calls
 
 
 def parsed(outputs: DataFrame) -> DataFrame:
     """A stream of raw outputs with their predictions."""
-    return outputs.withColumn("prediction", parse_model_output(F.col("raw_output")))
+    return with_predictions(outputs, F.col("raw_output"))
 
 
 def validated(calls: DataFrame, tools: DataFrame, keys: list[str]) -> DataFrame:
