@@ -44,7 +44,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full windows, sources in proportion to their tokens."""
     common.release(spark)
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), END)
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), END)
 
 
 STAGES = [

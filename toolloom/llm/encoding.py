@@ -57,6 +57,8 @@ class Encoder:
         ends = [i for token, i in vocab.items() if token.endswith("</w>")]
         #: Whether words end in marked ids; else words with their leading blank start with one.
         self.word_ends = len(ends) > 1000
+        #: Width of packed ids in tables: 16 bits where all ids fit.
+        self.width = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
         self.mark = np.zeros(max(vocab.values()) + 1, bool)
         self.mark[ends if self.word_ends else [i for token, i in vocab.items() if token.startswith("Ġ")]] = True
         #: Bytes of the ids of a line feed.
@@ -149,6 +151,15 @@ class Encoder:
             kept.update((c, x) for c, x in found.items() if len(c) <= LONG)
         return out
 
+    def packed(self, ids: bytes, end: bytes) -> bytes:
+        """32-bit ids and the end id, in the width of tables."""
+        return np.frombuffer(ids + end, "<u4").astype(self.width).tobytes()
+
+
+def id_width(path: str) -> str:
+    """Numpy type of packed ids of a vocabulary file in tables."""
+    return encoder(path).width
+
 
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:

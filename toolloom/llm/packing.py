@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from toolloom.llm import common
-from toolloom.llm.encoding import encode_column
+from toolloom.llm.encoding import encode_column, encoder, id_width
 
 WINDOW, QUANTUM, MAX_QUEUES = 4096, 256, 512
 #: Rows of (task, queue) starts up to which they are broadcast (40 MB at most); beyond, a shuffle join.
@@ -82,7 +82,7 @@ def pieces(queue: int, begin: np.ndarray, length: np.ndarray, tokens: np.ndarray
     return doc[keep], start[keep], np.add.reduceat(size, keep) if len(keep) else size, at[keep] // window, at[keep] % window
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW, quantum: int = QUANTUM, targets: dict[str, float] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW, quantum: int = QUANTUM, targets: dict[str, float] | None = None) -> DataFrame:
     """Pieces of ``docs(doc_id, text, source, ...)`` in windows, with their ids.
 
     Returns ``doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``; each token
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
     an empty table gives no rows; other columns are not read. ``targets`` gives sources' shares of the
     tokens (missing ones: 1 % of the smallest), by default their shares of all tokens.
     """
-    end = np.array([end_id], "<u4").tobytes()
+    end, width = np.array([end_id], "<u4").tobytes(), id_width(tokenizer_path)
     named = docs.select("doc_id", common.text_or_empty().alias("text"), F.col("source").cast("string").alias("source"))
     sources = [r["source"] for r in named.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").select("source").limit(MAX_QUEUES + 1).collect()]
     folded = len(sources) > MAX_QUEUES
@@ -106,13 +106,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
     def encode(batches):
         from pyspark import TaskContext
 
-        part, sums = TaskContext.get().partitionId(), {}
+        part, sums, pack = TaskContext.get().partitionId(), {}, encoder(tokenizer_path).packed
         for batch, ids in encode_column(batches, tokenizer_path, "text"):
-            ids, places = [x + end for x in ids], []
-            for queue, x in zip(batch.column("queue").to_pylist(), ids, strict=True):
+            n, places = [len(x) // 4 + 1 for x in ids], []
+            for queue, size in zip(batch.column("queue").to_pylist(), n, strict=True):
                 places.append(sums.get(queue, 0))
-                sums[queue] = places[-1] + len(x) // 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("queue"), pa.array([part] * len(ids), pa.int32()), pa.array(places, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "queue", "part", "place", "n", "ids"])
+                sums[queue] = places[-1] + size
+            ids = [pack(x, end) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("queue"), pa.array([part] * len(ids), pa.int32()), pa.array(places, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "queue", "part", "place", "n", "ids"])
 
     tokens = common.written(named.select("doc_id", "source", "queue", "text").mapInArrow(encode, schema), "packing")
     sums = common.written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "packing-sums")
@@ -139,7 +140,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
             if not found:
                 continue
             doc, start, length, w, offset = (np.concatenate(x) for x in zip(*found, strict=True))
-            ids = batch.column("ids").to_pylist()
+            ids = [np.frombuffer(x, width).astype("<u4").tobytes() for x in batch.column("ids").to_pylist()]
             part = [ids[d][4 * a : 4 * b] for d, a, b in zip(doc.tolist(), start.tolist(), (start + length).tolist(), strict=True)]
             crc = pa.array([zlib.crc32(x) for x in part], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), batch.column("source").take(pa.array(doc)), pa.array(start), pa.array(length), crc, pa.array(n[doc]), pa.array(w), pa.array(offset), pa.array(part, pa.binary())], names)

@@ -13,7 +13,7 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack(common.read(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=2)
+    out = packing.pack_documents(common.read(spark, sf_dir, "documents"), vocabulary(WORD_BPE), end_id=2)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

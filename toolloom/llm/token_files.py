@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolloom.llm import common
-from toolloom.llm.encoding import encode_column
+from toolloom.llm.encoding import encode_column, encoder, id_width
 
 MAGIC = b"TLSV0001"
 #: Tokens of a block, unless one document has more.
@@ -85,24 +85,41 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, *keep: str) ->
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
+        pack = encoder(tokenizer_path).packed
         for batch, ids in encode_column(batches, tokenizer_path, "text"):
-            ids = [x + end for x in ids]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*keep, "n_tokens", "ids"])
+            n = pa.array([len(x) // 4 + 1 for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), n, pa.array([pack(x, end) for x in ids], pa.binary())], [*keep, "n_tokens", "ids"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]) + ", n_tokens long, ids binary"
     return common.written(docs.select(*keep, common.text_or_empty().alias("text")).mapInArrow(encode, schema), "tokens")
 
 
-def _frequencies(batches):
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for x in batch.column("ids").to_pylist():
-            found = np.bincount(np.frombuffer(x, "<u4"))
-            if len(found) > len(total):
-                total = np.append(total, np.zeros(len(found) - len(total), np.int64))
-            total[: len(found)] += found
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
+def _frequencies(width: str):
+    def count(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for part in _runs(batch.column("ids").to_pylist()):
+                found = np.bincount(np.frombuffer(b"".join(part), width))
+                if len(found) > len(total):
+                    total = np.append(total, np.zeros(len(found) - len(total), np.int64))
+                total[: len(found)] += found
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
+
+    return count
+
+
+def _runs(values: list[bytes], most: int = 1 << 22):
+    """Consecutive values of about ``most`` bytes together."""
+    part, n = [], 0
+    for x in values:
+        part.append(x)
+        n += len(x)
+        if n >= most:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> None:
@@ -112,8 +129,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -
     in tokens comes first, then the one with smaller ids. Null text is empty: the end id alone.
     """
     spark = docs.sparkSession
+    width = id_width(tokenizer_path)
     tokens = tokenized(docs, tokenizer_path, end_id, "doc_id")
-    counts = tokens.select("ids").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select("ids").mapInArrow(_frequencies(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))  # as many rows as the vocabulary at most
     ids = np.array([r["id"] for r in ranked], np.int64)
     rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
@@ -133,7 +151,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -
         size = 0
         for batch in batches:
             for doc_id, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                ranks = rank_of[np.frombuffer(x, "<u4")]
+                ranks = rank_of[np.frombuffer(x, width)]
                 if lengths and size + len(ranks) > BLOCK_TOKENS:
                     yield block()
                     start, number, size, held, lengths, doc_ids = start + size, number + 1, 0, [], [], []
