@@ -61,14 +61,25 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def release(spark: SparkSession) -> None:
     """Remove all tables of ``written`` so far; call it when the results built on them are stored."""
+    bounded_batches(spark)
     while _written:
         delete(spark, _written.pop())
 
 
+#: Rows of a batch that goes to a Python worker: whole texts are long, and a batch is held several times over.
+BATCH_ROWS = 512
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; from now on the session hands texts to Python workers in batches of ``BATCH_ROWS``."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

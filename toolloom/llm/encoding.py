@@ -23,7 +23,7 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)(?:\0|\Z)|[^\0]+(?:\0|\Z)")
 _CHUNK = re.compile(r"(?<=\S)(?=[ \n])")
 #: Entries that a worker keeps at most, of chunks and of their parts. Bounds memory, never results.
-KEEP_CHUNKS, KEEP_WORDS = 300_000, 500_000
+KEEP_CHUNKS, KEEP_WORDS = 600_000, 900_000
 #: Longer chunks are encoded each time.
 LONG = 48
 
@@ -167,8 +167,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(texts: list[str], most: int = 1 << 20):
-    """Consecutive texts of about ``most`` characters together; what a worker holds split at a time."""
+def slices(texts: list[str], most: int = 1 << 22):
+    """Consecutive texts of about ``most`` characters together; it is what a worker holds split at a time."""
     begin, n = 0, 0
     for i, text in enumerate(texts):
         n += len(text)
