@@ -80,33 +80,40 @@ def unpack_block(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return decode_values(control, data, int(head["tokens"])), lengths
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, *keep: str) -> DataFrame:
-    """A table ``*keep, n_tokens, ids`` in the shared folder; the end id closes each document."""
-    end = np.array([end_id], "<u4").tobytes()
+def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """A table ``doc_id, n_tokens, ids, counts`` in the shared folder; the end id closes each document.
+
+    Every task adds a row of its own that holds only ``counts``, how often it met each id.
+    """
+    end, width = np.array([end_id], "<u4").tobytes(), id_width(tokenizer_path)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_tokens", "ids", "counts"]
 
     def encode(batches):
-        pack = encoder(tokenizer_path).packed
+        pack, total, doc_type = encoder(tokenizer_path).packed, np.zeros(0, np.int64), pa.int64()
         for batch, ids in encode_column(batches, tokenizer_path, "text"):
-            n = pa.array([len(x) // 4 + 1 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), n, pa.array([pack(x, end) for x in ids], pa.binary())], [*keep, "n_tokens", "ids"])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]) + ", n_tokens long, ids binary"
-    return common.written(docs.select(*keep, common.text_or_empty().alias("text")).mapInArrow(encode, schema), "tokens")
-
-
-def _frequencies(width: str):
-    def count(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for part in _runs(batch.column("ids").to_pylist()):
-                found = np.bincount(np.frombuffer(b"".join(part), width))
-                if len(found) > len(total):
-                    total = np.append(total, np.zeros(len(found) - len(total), np.int64))
-                total[: len(found)] += found
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
-
-    return count
+            n, doc_type = pa.array([len(x) // 4 + 1 for x in ids], pa.int64()), batch.column("doc_id").type
+            ids = [pack(x, end) for x in ids]
+            for part in _runs(ids):
+                found = np.bincount(np.frombuffer(b"".join(part), width), minlength=len(total))
+                found[: len(total)] += total
+                total = found
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, doc_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
+
+    return common.written(docs.select("doc_id", common.text_or_empty().alias("text")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids binary, counts binary"), "tokens")
+
+
+def _frequencies(batches):
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for x in batch.column("counts").to_pylist():
+            found = np.frombuffer(x, "<i8")
+            low, high = sorted((found, total), key=len)
+            total = high.copy()
+            total[: len(low)] += low
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
 
 
 def _runs(values: list[bytes], most: int = 1 << 22):
@@ -130,8 +137,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -
     """
     spark = docs.sparkSession
     width = id_width(tokenizer_path)
-    tokens = tokenized(docs, tokenizer_path, end_id, "doc_id")
-    counts = tokens.select("ids").mapInArrow(_frequencies(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    table = tokenized(docs, tokenizer_path, end_id)
+    tokens = table.where("counts is null")
+    counts = table.select("counts").where("counts is not null").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))  # as many rows as the vocabulary at most
     ids = np.array([r["id"] for r in ranked], np.int64)
     rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
