@@ -155,7 +155,7 @@ def test_dialects(spark):
     rows = {r["record_id"]: (r["expected_action"], r["malformed"]) for r in normalise.normalise(readers.demo_rows(spark)).collect()}
     assert rows == {
         "public_xlam_000000": ("call_function", False), "public_toolace_000001": ("call_function", False), "public_apigen_mt_000002": ("call_function", False),
-        "public_hermes_fc_000003": ("call_functions", False), "public_xlam_irrelevance_000004": ("abstain", True) if False else ("abstain", False), "public_xlam_000005": ("abstain", True),
+        "public_hermes_fc_000003": ("call_functions", False), "public_xlam_irrelevance_000004": ("abstain", False), "public_xlam_000005": ("abstain", True),
     }
     with pytest.raises(Exception, match="unsupported source"):
         normalise.normalise(spark.createDataFrame([(1, "other", "{}")], "pos int, source string, json string")).collect()

@@ -81,7 +81,7 @@ def react_steps(df: DataFrame) -> DataFrame:
     """
     one, two = F.try_element_at("steps", F.lit(1)), F.try_element_at("steps", F.lit(2))
     ready = df.withColumn("_key", waiting_key(two["arguments"])).where((F.size("steps") >= 2) & F.col("_key").isNotNull() & (F.size("observation") > 0))
-    code = F.parse_json(F.to_json(F.element_at("observation", 1)) if False else F.concat(F.lit('"'), F.element_at("observation", 1), F.lit('"')))
+    code = F.parse_json(F.concat(F.lit('"'), F.element_at("observation", 1), F.lit('"')))
     resolved = F.transform_values(two["arguments"], lambda k, v: F.when(k == F.col("_key"), code).otherwise(v))
 
     def row(suffix: str, scenario: str, instruction: Column, tool: Column, args: Column) -> Column:

@@ -77,7 +77,7 @@ def registry_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTRACTS = [
     ("P", True, [("args.status", "in", '["P", "O"]'), ("subscriber.balance", "gte", "0"), ("subscriber.segment", "ne", '"BUILDING"')]),
     ("F", False, [("args.price", "lte", "300000"), ("subscriber.nation", "eq", "3"), ("args.nation", "ne_path", '"subscriber.nation"')]),
-    ("O", False, [("args.price", "lte_path", '"subscriber.limit"')][:0] + [("args.custkey", "eq_path", '"subscriber.key"')]),
+    ("O", False, [("args.custkey", "eq_path", '"subscriber.key"')]),
 ]
 
 
@@ -259,7 +259,6 @@ def verify_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed row checks of events dressed as samples, by file and check."""
     k, act = F.get_json_object("props", "$.k").cast("int"), (F.col("event_id") % 4).cast("int")
-    call = "struct<tool_name:string,arguments:string>"
     args = F.to_json(F.struct(F.when(k % 11 == 0, "soon").alias("from_date"), F.when(k % 13 == 0, validation.PLACEHOLDER).alias("station")))
     rows = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"), (F.col("user_id") % 3).alias("file"), F.col("event_type").alias("instruction"),
@@ -269,7 +268,6 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.lit("t").alias("tool_name"), args_map(args).alias("arguments"))).alias("calls"), F.when(k % 17 == 0, "func_1").alias("masked_name"),
         F.array(F.lit("to_date")).alias("required"), args_map(F.when(k % 2 == 1, '{"from_date": "x"}').otherwise("{}")).alias("checker_args"),
     )
-    del call
     return audit.audit(rows).groupBy("file", "check").agg(F.count("*").alias("n"))
 
 
