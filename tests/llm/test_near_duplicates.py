@@ -73,6 +73,17 @@ def test_pairs_and_rounds_agree(spark, monkeypatch):
     assert [x[:2] for x in sorted(map(tuple, nd.groups(df).collect()))] == [x[:2] for x in brute(rows)]
 
 
+def test_all_links_of_large_buckets_are_counted(spark, monkeypatch):
+    rows = list(enumerate(texts(4, 250, 30)))
+    want = brute(rows)
+    assert max(links for *_, links in want) > 20 * nd.PAIRWISE / 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, nd.groups(df).collect())) == want
+    monkeypatch.setattr(nd, "BLOCK_SETS", 60)
+    monkeypatch.setattr(nd, "COLUMNS", 50)
+    assert sorted(map(tuple, nd.groups(df).collect())) == want
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     got = {r["cid"]: r["root"] for r in nd.components(links).collect()}

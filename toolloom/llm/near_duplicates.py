@@ -14,6 +14,10 @@ bucket of near copies costs about one comparison a member instead of all pairs,
 join two groups is passed over. Groups are the connected components of the verified links (alternating
 large and small stars, as joins).
 
+For ``n_links`` every pair of sets of a group that reaches into a large bucket is compared after that: sets
+are dealt to blocks by salt, two blocks meet in one task as 0/1 matrices over the shingles that they share,
+and the task hands on counts only, so no pair becomes a row. ``keep_one`` has no need of this.
+
 Plan: one pass writes rows with their digests and bands; after that rows of 16 to 40 bytes move, but for
 two shuffles of texts that take part in a bucket (for pairs) or stay (for ``keep_one``). No key needs its
 rows together in one task: buckets and classes are counted by partial aggregates and joined back, where
@@ -37,6 +41,8 @@ from toolloom.llm.decontamination import words_of
 SHINGLE, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9995, 128
 #: Buckets up to this size give all their pairs.
 PAIRWISE = 16
+#: Sets and shingles of a block of a group's sets, about, and the columns of the matrices of two blocks.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 18, 4096
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -178,8 +184,8 @@ def _verified_links(verified: DataFrame, threshold: float) -> DataFrame:
     return verified.where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
 
 
-def _links(keys: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Distinct verified links ``a < b`` of all buckets ``key, cid, n``, enough to connect each group."""
+def _links(keys: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct verified links ``a < b`` of all buckets ``key, cid, n``, enough to connect each group, and the ``cid`` in large buckets if there are any."""
     distance = 1 - threshold + 1e-9
     sized = common.written(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("first")), "minhash-sizes")
     small = keys.join(sized.where(F.col("m") <= PAIRWISE).select("key"), "key")
@@ -189,7 +195,7 @@ def _links(keys: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     star_pairs = common.written(star.distinct(), "minhash-pairs")
     found = [_verify(common.written(_all_pairs(small, threshold).union(star_pairs).distinct(), "minhash-pairs"), texts)]
     if large.isEmpty():
-        return union_of(found, threshold)
+        return union_of(found, threshold), None
     near = found[0].select(F.col("a").alias("first"), F.col("b").alias("cid"), (1 - F.col("similarity")).alias("d"))
     members = large.join(near, ["first", "cid"], "left").withColumn("done", F.col("cid") == F.col("first"))
     members = common.written(members.select("key", "cid", "n", "d", "done"), "minhash-members")
@@ -205,7 +211,7 @@ def _links(keys: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         chosen = common.written(minor.join(waiting, "key").where(F.pmod(F.xxhash64("key", "cid"), F.col("waiting")) < wanted).select("key", F.col("cid").alias("c"), F.col("n").alias("n_c"), F.col("d").alias("d_c"), F.col("root").alias("root_c")), "minhash-chosen")
         if chosen.isEmpty():
             if minor.isEmpty():
-                return union_of(found, threshold)
+                return union_of(found, threshold), large.select("cid").distinct()
             wanted *= 4  # none of the hashes fell below: take more
             continue
         others = placed.where("not done").select("key", "cid", "n", "d", "root")
@@ -244,8 +250,72 @@ def components(links: DataFrame) -> DataFrame:
         last = state
 
 
-def _grouped(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """The table of rows, and ``rid, doc_id, root, n_links`` of each."""
+def linked(x: list[np.ndarray], y: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Which sets of ``x`` (rows) have a link to which of ``y`` (columns), or to others of ``x`` without ``y``."""
+    sizes = [np.array([len(v) for v in side], np.int64) for side in (x, x if y is None else y)]
+    flat = [np.concatenate(side) for side in (x, x if y is None else y)]
+    if y is None:
+        shared, times = np.unique(flat[0], return_counts=True)
+        shared = shared[times > 1]
+    else:
+        shared = np.intersect1d(*flat)
+    cells = []
+    for values, size in zip(flat, sizes, strict=True):
+        at = np.searchsorted(shared, values)
+        hit = np.flatnonzero(np.append(shared, np.uint64(0))[at] == values) if len(shared) else np.zeros(0, np.int64)
+        hit = hit[at[hit] < len(shared)]
+        order = np.argsort(at[hit], kind="stable")
+        cells.append((np.repeat(np.arange(len(size)), size)[hit][order], at[hit][order]))
+    both = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)  # whole numbers below 2**24, so exact
+    for low in range(0, len(shared), COLUMNS):
+        parts = []
+        for (row, at), size in zip(cells, sizes, strict=True):
+            a, b = np.searchsorted(at, (low, low + COLUMNS))
+            part = np.zeros((len(size), min(COLUMNS, len(shared) - low)), np.float32)
+            part[row[a:b], at[a:b] - low] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    both = both.astype(np.float64)
+    out = both / (sizes[0][:, None] + sizes[1][None, :] - both) >= threshold - 1e-12
+    if y is None:
+        np.fill_diagonal(out, False)
+    return out
+
+
+def _counts(roots: DataFrame, crowded: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``cid, n_links`` in the groups that have a set among ``crowded(cid)``, by comparing all pairs of sets of a group."""
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("root"), pa.array([len(v) for v in found], pa.int64()), pa.array([v.tobytes() for v in found], pa.binary())], ["cid", "root", "n", "shingles"])
+
+    def compare(cell: pa.Table) -> pa.Table:
+        cid, own = cell.column("cid").to_numpy(), cell.column("own").to_numpy()
+        found = [np.frombuffer(v, np.uint64) for v in cell.column("shingles").to_pylist()]
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        n = np.zeros(len(cid), np.int64)
+        if i == j:
+            n[left] = linked(found, None, threshold).sum(axis=1)
+        elif len(left) and len(right):
+            met = linked([found[r] for r in left], [found[r] for r in right], threshold)
+            n[left], n[right] = met.sum(axis=1), met.sum(axis=0)
+        return pa.table({"cid": cid, "n_links": n})
+
+    wanted = roots.join(crowded, "cid", "left_semi").select("root").distinct()
+    held = roots.join(wanted, "root").join(texts, "cid").select("cid", "root", "text")
+    held = common.written(held.mapInArrow(sets, "cid long, root long, n long, shingles binary"), "minhash-sets")
+    blocks = held.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = held.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("cid", "root", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = dealt.select("cid", "root", "shingles", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    found = cells.groupBy("root", "i", "j").applyInArrow(compare, "cid long, n_links long")
+    return common.written(found.groupBy("cid").agg(F.sum("n_links").alias("n_links")), "minhash-counts")
+
+
+def _grouped(docs: DataFrame, threshold: float, recall: float, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """The table of rows, and ``rid, doc_id, root`` of each, with ``n_links`` if ``counted``."""
     bands, rows = banding(threshold, recall)
     table = _rows(docs, bands, rows)
     classes = table.groupBy("h1", "h2").agg(F.min("rid").alias("cid"), F.first("n").alias("n"))
@@ -256,13 +326,17 @@ def _grouped(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFram
     keys = common.written(keys.join(shared, "key"), "minhash-shared")
     involved = keys.select("cid").distinct()
     texts = common.written(table.select(F.col("rid").alias("cid"), F.col("row.text").alias("text")).join(involved, "cid"), "minhash-texts")
-    links = _links(keys, texts, threshold)
+    links, crowded = _links(keys, texts, threshold)
     roots = common.written(components(links), "minhash-roots")
-    ends = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
-    known = classes.select("h1", "h2", "cid").join(roots, "cid", "left").join(ends, "cid", "left")
-    known = known.select("h1", "h2", F.coalesce("root", "cid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    members = table.select("rid", F.col("row.doc_id").alias("doc_id"), "h1", "h2").join(known, ["h1", "h2"])
-    return table, common.written(members.select("rid", "doc_id", "root", "n_links"), "minhash-members")
+    known = classes.select("h1", "h2", "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    if counted:
+        ends = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
+        if crowded is not None:
+            exact = _counts(roots, crowded, texts, threshold)
+            ends = ends.join(exact, "cid", "left_anti").union(exact)
+        known = known.join(ends, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    members = table.select("rid", F.col("row.doc_id").alias("doc_id"), "h1", "h2").join(known.drop("cid"), ["h1", "h2"])
+    return table, common.written(members.drop("h1", "h2"), "minhash-members")
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -270,18 +344,18 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
 
     ``class_id`` is the least doc_id of the group (documents with equal sets, joined by links of at least
     ``threshold`` between different sets); ``n_links`` is the number of other sets that the document's set
-    has a verified link to (in buckets above ``PAIRWISE`` only the links that were followed, which span the
-    group). Null and empty texts have the empty set and are one group. Null doc_ids stay rows; a group
+    has a link to: of all pairs that meet in a bucket, and in groups that reach into a bucket above
+    ``PAIRWISE`` of all pairs of the group. Null and empty texts have the empty set and are one group. Null doc_ids stay rows; a group
     without any doc_id gets ``-1 - row number``. An empty table gives no rows; other columns don't matter.
     """
-    _, members = _grouped(docs, threshold, recall)
+    _, members = _grouped(docs, threshold, recall, counted=True)
     named = members.groupBy("root").agg(F.min("doc_id").alias("least_id")).select("root", F.coalesce("least_id", -1 - F.col("root")).alias("class_id"))
     return members.join(named, "root").select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of each group (null ids last, then by place); same columns."""
-    table, members = _grouped(docs, threshold, recall)
+    table, members = _grouped(docs, threshold, recall, counted=False)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     kept = members.groupBy("root").agg(first).select(F.col("first.rid").alias("rid"))
     return table.select("rid", "row").join(kept, "rid").select("row.*")
