@@ -225,3 +225,17 @@ def test_neighbours_against_brute_force(spark):
     assert hits / total >= 0.9
     assert {r["query_id"] for r in got} == set(range(0, 400, 10))
     assert neighbours.search(df.limit(0), df["vec_id"] % 10 == 0).count() == 0
+
+
+def test_ties_of_scaled_vectors_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    ids = rng.permutation(300)[:50]
+    for i, v in enumerate(ids):
+        x[v] = x[ids[0]] * np.float32(2.0 ** (i - 25))  # scores equal to the last bit
+    _, near, _ = neighbours._top(x[ids[:1]], x, 6)
+    assert near.tolist() == sorted(ids.tolist())[:6]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.search(df, df["vec_id"].isin(ids.tolist())).orderBy("query_id", "rank").collect()
+    for q in ids.tolist():
+        assert [r["vec_id"] for r in got if r["query_id"] == q] == [v for v in sorted(ids.tolist()) if v != q][:5]

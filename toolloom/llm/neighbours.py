@@ -32,6 +32,8 @@ from toolloom.llm import common
 TABLES, CELL, RECALL, CALIBRATION = 6, 2048, 0.97, 64
 #: Vectors a bucket should hold before another hash is added to the tables.
 OCCUPANCY = 4096
+#: Components of vectors that are scored exactly at a time.
+EXACT = 1 << 20
 
 
 def padded(dim: int) -> int:
@@ -104,14 +106,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _top(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) of the ``k`` best candidates of each query, exact scores, ties to the first."""
-    n = min(len(x), k + 4)
+    n = min(len(x), k)
     rough = _unit(q) @ _unit(x).T
-    near = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-    row = np.repeat(np.arange(len(q)), n)
-    near = near.reshape(-1)
-    score = cosines(q[row], x[near])
+    # all that rounding leaves in reach of the n-th best: exact scores and ids decide among them
+    least = np.partition(rough, len(x) - n, axis=1)[:, len(x) - n] - (1e-12 + 1e-15 * x.shape[1])
+    row, near = np.nonzero(rough >= least[:, None])
+    step = max(1, EXACT // x.shape[1])
+    score = np.concatenate([cosines(q[row[i : i + step]], x[near[i : i + step]]) for i in range(0, len(row), step)])
     order = np.lexsort((near, -score, row))
-    rank = np.arange(len(order)) % n
+    rank = np.arange(len(order)) - np.searchsorted(row, row[order])  # row is sorted
     order = order[rank < k]
     return row[order], near[order], score[order]
 
@@ -205,12 +208,12 @@ def _calibrate(distinct: DataFrame, asked: DataFrame, index: Tables, k: int, rec
         for batch in batches:
             if not len(batch):
                 continue
-            x = _stack(batch.column("embedding"))
-            row, near, score = _top(q, x, k + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(row), *(batch.column(c).take(pa.array(near)) for c in ("v1", "v2", "embedding")), pa.array(score)], ["row", "v1", "v2", "embedding", "score"])
+            batch = batch.sort_by("head")  # ties as in the answers
+            row, near, score = _top(q, _stack(batch.column("embedding")), k + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(row), *(batch.column(c).take(pa.array(near)) for c in ("v1", "v2", "head", "embedding")), pa.array(score)], ["row", "v1", "v2", "head", "embedding", "score"])
 
-    found = distinct.select("v1", "v2", "embedding").mapInArrow(scan, "row long, v1 long, v2 long, embedding array<float>, score double")
-    best = Window.partitionBy("row").orderBy(F.desc("score"), "v1", "v2")
+    found = distinct.mapInArrow(scan, "row long, v1 long, v2 long, head long, embedding array<float>, score double")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "head")
     found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).toPandas()
     mine = list(zip(sample["v1"], sample["v2"], strict=True))
     found = found[[(a, b) != mine[r] for a, b, r in zip(found["v1"], found["v2"], found["row"], strict=True)]]
