@@ -239,3 +239,24 @@ def test_ties_of_scaled_vectors_go_to_the_smaller_id(spark):
     got = neighbours.search(df, df["vec_id"].isin(ids.tolist())).orderBy("query_id", "rank").collect()
     for q in ids.tolist():
         assert [r["vec_id"] for r in got if r["query_id"] == q] == [v for v in sorted(ids.tolist()) if v != q][:5]
+
+
+def test_recall_is_met_where_probes_are_capped(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "OCCUPANCY", 0.05)  # three hashes, two million buckets
+    x = np.random.default_rng(8).normal(size=(1500, 64)).astype(np.float32)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.search(df, df["vec_id"] % 300 == 0).collect()
+    hits = 0
+    for q in range(0, 1500, 300):  # all of them are calibrated on
+        score = neighbours.cosines(np.tile(x[q], (1500, 1)), x)
+        score[q] = -9
+        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-score)[:5].tolist()))
+    assert hits >= neighbours.RECALL * 25
+
+
+def test_pruned_probes_are_the_best():
+    index, unit = neighbours.Tables(8, 1, 2), neighbours._unit(np.random.default_rng(9).normal(size=(5, 8)))
+    every = index.probes(unit, 0, 256)
+    assert sorted(every[0].tolist()) == list(range(256))
+    for most in (1, 2, 7, 30, 200):
+        assert (index.probes(unit, 0, most) == every[:, :most]).all()

@@ -7,8 +7,9 @@ against the best one, and all candidates met are scored exactly.
 
 The number of probes is not guessed: for a bounded sample of the queries the true neighbours are found
 by brute force (a scan with a bounded result a task), and the probes are the fewest, in doubling steps,
-that meet ``RECALL`` of these neighbours in some table. Beyond ``2 * dim`` probes with one hash a table
-holds every bucket, so the search is then exhaustive: recall never depends on luck with the data.
+that meet ``RECALL`` of these neighbours in some table. Where ``MOST_PROBES`` don't, tables with a hash less
+are calibrated instead. ``2 * padded(dim)`` probes with one hash are every bucket of a table, so the search
+is then exhaustive: the sample always meets its recall.
 
 Equal vectors are one candidate that carries its six smallest ids, which is all that any answer can use,
 so a vector that a third of the rows share costs as much as any other. Buckets are cut into cells of
@@ -32,6 +33,8 @@ from toolloom.llm import common
 TABLES, CELL, RECALL, CALIBRATION = 6, 2048, 0.97, 64
 #: Vectors a bucket should hold before another hash is added to the tables.
 OCCUPANCY = 4096
+#: Probes a table with several hashes; where they miss the recall, tables get fewer hashes.
+MOST_PROBES = 1 << 14
 #: Components of vectors that are scored exactly at a time.
 EXACT = 1 << 20
 
@@ -84,8 +87,10 @@ class Tables:
             if scores is None:
                 scores, keys = loss, order
                 continue
-            both = (scores[:, :, None] + loss[:, None, :]).reshape(len(unit), -1)
-            named = (keys[:, :, None] * (2 * self.width) + order[:, None, :]).reshape(len(unit), -1)
+            # a pair has (i + 1) (j + 1) - 1 pairs before it that lose no more
+            i, j = np.nonzero(np.outer(np.arange(scores.shape[1]) + 1, np.arange(n) + 1) <= most)
+            both = scores[:, i] + loss[:, j]
+            named = keys[:, i] * (2 * self.width) + order[:, j]
             n = min(most, both.shape[1])
             first = np.argsort(both, axis=1, kind="stable")[:, :n]
             scores, keys = np.take_along_axis(both, first, 1), np.take_along_axis(named, first, 1)
@@ -151,8 +156,7 @@ def search(vectors: DataFrame, query: Column, k: int = 5, tables: int = TABLES,
     asked = common.written(valid.where("is_query").groupBy("v1", "v2").agg(F.first("embedding").alias("embedding")), "ann-queries")
 
     hashes = max(1, int(np.ceil(np.log(max(total / OCCUPANCY, 1.0001)) / np.log(2 * padded(dim)))))
-    index = Tables(dim, tables, hashes)
-    probes = _calibrate(distinct, asked, index, k, recall)
+    index, probes = _calibrate(distinct, asked, Tables(dim, tables, hashes), k, recall)
 
     def placed(batches):
         for batch in batches:
@@ -197,11 +201,11 @@ def search(vectors: DataFrame, query: Column, k: int = 5, tables: int = TABLES,
     return out.select("query_id", "rank", "vec_id", "score")
 
 
-def _calibrate(distinct: DataFrame, asked: DataFrame, index: Tables, k: int, recall: float) -> int:
-    """The fewest probes, in doubling steps, that meet ``recall`` of the true neighbours of a sample of queries."""
+def _calibrate(distinct: DataFrame, asked: DataFrame, index: Tables, k: int, recall: float) -> tuple[Tables, int]:
+    """Tables of as many hashes as ``index`` or fewer, and the fewest probes, in doubling steps, that meet ``recall`` of the true neighbours of a sample of queries."""
     sample = asked.orderBy("v1", "v2").limit(CALIBRATION).toPandas()
     if not len(sample):
-        return 1
+        return index, 1
     q, own = _stack(sample["embedding"]), set(zip(sample["v1"], sample["v2"], strict=True))
 
     def scan(batches):
@@ -218,14 +222,21 @@ def _calibrate(distinct: DataFrame, asked: DataFrame, index: Tables, k: int, rec
     mine = list(zip(sample["v1"], sample["v2"], strict=True))
     found = found[[(a, b) != mine[r] for a, b, r in zip(found["v1"], found["v2"], found["row"], strict=True)]]
     if not len(found) or not own:
-        return 1
+        return index, 1
     unit, near, rows = _unit(q), _unit(_stack(found["embedding"])), found["row"].to_numpy()
-    buckets = [index.buckets(near, t) for t in range(index.tables)]
-    limit = (2 * index.width) ** index.hashes
-    for power in itertools.count():
-        probes = min(limit, 1 << power)
-        met = np.zeros(len(rows), bool)
-        for t in range(index.tables):
-            met |= (index.probes(unit, t, probes)[rows] == buckets[t][:, None]).any(axis=1)
-        if met.mean() >= recall or probes >= limit or probes >= 1 << 14:
-            return probes
+    while True:
+        buckets = [index.buckets(near, t) for t in range(index.tables)]
+        limit = (2 * index.width) ** index.hashes
+        most = limit if index.hashes == 1 else min(limit, MOST_PROBES)
+        for power in itertools.count():
+            probes = min(most, 1 << power)
+            met = np.zeros(len(rows), bool)
+            for t in range(index.tables):
+                met |= (index.probes(unit, t, probes)[rows] == buckets[t][:, None]).any(axis=1)
+            if met.mean() >= recall:
+                return index, probes
+            if probes >= most:
+                break
+        if index.hashes == 1:
+            raise ValueError(f"no search meets a recall of {recall}")
+        index = Tables(index.dim, index.tables, index.hashes - 1)
