@@ -131,6 +131,16 @@ def test_packing_targets_and_folded_queues(spark, docs, monkeypatch):
         at += n
 
 
+@pytest.mark.parametrize("targets", [None, {"s0": 0.5, "s2": 0.4, None: 0.1}])
+def test_many_sources_are_packed_like_few(spark, docs, monkeypatch, targets):
+    few = packing.pack_documents(docs, vocabulary(FILES[0]), 2, window=256, quantum=64, targets=targets)
+    few = sorted(map(tuple, few.collect()), key=repr)
+    monkeypatch.setattr(packing, "MAX_QUEUES", 2)
+    monkeypatch.setattr(packing, "UNFOLD", 5)
+    many = packing.pack_documents(docs, vocabulary(FILES[0]), 2, window=256, quantum=64, targets=targets)
+    assert sorted(map(tuple, many.collect()), key=repr) == few
+
+
 def test_quotients_beyond_64_bits():
     a, b, c = np.array([2 * 10**11 + 1, 5, 99], np.int64), np.array([10**11, 10**11 - 7, 3], np.int64), 99999999977
     q, exact = packing._quotient(a, b, c)

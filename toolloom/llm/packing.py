@@ -12,12 +12,15 @@ due earlier. A document's pieces follow from its place in its queue alone, so de
 partitions with no sequential pass and no shuffle of tokens. Places in queues are two-level sums: within
 a task while encoding, then over tasks for each queue.
 
-More queues than ``MAX_QUEUES`` share queues by a hash of the source, so what is broadcast is bounded.
+With more than ``MAX_QUEUES`` sources the rank comes from a table instead: all quanta, sorted by due time, with
+running sums within and over the sorted parts, joined to documents by (queue, quantum). Every source has its
+own queue there as well, nothing that grows with the sources is broadcast, and tokens are shuffled once.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from toolloom.llm.encoding import encode_column, encoder, id_width
 WINDOW, QUANTUM, MAX_QUEUES = 4096, 256, 512
 #: Rows of (task, queue) starts up to which they are broadcast (40 MB at most); beyond, a shuffle join.
 BROADCAST_ROWS = 500_000
+#: Quanta that a row unfolds to at a time.
+UNFOLD = 4096
 
 
 def _quotient(a: np.ndarray, b: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,15 +66,15 @@ def positions(queue: int, k: np.ndarray, tokens: np.ndarray, weights: np.ndarray
     return out
 
 
-def pieces(queue: int, begin: np.ndarray, length: np.ndarray, tokens: np.ndarray, weights: np.ndarray, window: int, quantum: int) -> tuple[np.ndarray, ...]:
-    """(document, start, length, window, offset) of the pieces of documents with their places in one queue."""
+def pieces(begin: np.ndarray, length: np.ndarray, place: Callable[[np.ndarray], np.ndarray], window: int, quantum: int) -> tuple[np.ndarray, ...]:
+    """(document, start, length, window, offset) of the pieces of documents; ``place`` gives the stream positions of their quanta."""
     first = begin // quantum
     n = (begin + length - 1) // quantum - first + 1
     doc = np.repeat(np.arange(len(begin)), n)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n - first, n)
     low = np.maximum(k * quantum, begin[doc])
     size = np.minimum((k + 1) * quantum, (begin + length)[doc]) - low
-    at = positions(queue, k, tokens, weights, quantum) + low - k * quantum
+    at = place(k) + low - k * quantum
     # cut at window borders; a quantum is no longer than a window, so it crosses one at most
     head = np.minimum(size, window - at % window)
     cut = size > head
@@ -82,6 +87,34 @@ def pieces(queue: int, begin: np.ndarray, length: np.ndarray, tokens: np.ndarray
     return doc[keep], start[keep], np.add.reduceat(size, keep) if len(keep) else size, at[keep] // window, at[keep] % window
 
 
+def quanta(sizes: DataFrame, quantum: int) -> DataFrame:
+    """``queue, k, at``: where each quantum of ``sizes(queue, tokens, weight)`` begins in the stream."""
+    spark = sizes.sparkSession
+    last = F.floor((F.col("tokens") - 1) / quantum)
+    blocks = sizes.select("queue", "tokens", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / UNFOLD))).alias("block"))
+    blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "queue", "block")
+    each = blocks.select("queue", "tokens", "weight", F.explode(F.sequence(F.col("block") * UNFOLD, F.least(last, F.col("block") * UNFOLD + UNFOLD - 1))).alias("k"))
+    each = each.select("queue", "k", ((2 * F.col("k") + 1) / F.col("weight")).alias("due"), F.least(F.lit(quantum), F.col("tokens") - F.col("k") * quantum).alias("size"))
+    order = ["due", "queue", "k"]
+    each = each.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            ends = total + np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else total
+            yield pa.RecordBatch.from_arrays([batch.column("queue"), batch.column("k"), batch.column("size"), pa.array([part] * len(size), pa.int32()), pa.array(ends - size, pa.int64())], ["queue", "k", "size", "part", "before"])
+
+    ranked = common.written(each.mapInArrow(run, "queue string, k long, size long, part int, before long"), "packing-quanta")
+    parts = ranked.groupBy("part").agg(F.sum("size").alias("size")).orderBy("part").collect()  # a row a shuffle partition
+    starts = np.cumsum([0, *(r["size"] for r in parts)]).tolist()
+    offsets = spark.createDataFrame([(r["part"], at) for r, at in zip(parts, starts)], "part int, offset long")
+    return ranked.join(F.broadcast(offsets), "part").select("queue", "k", (F.col("offset") + F.col("before")).alias("at"))
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW, quantum: int = QUANTUM, targets: dict[str, float] | None = None) -> DataFrame:
     """Pieces of ``docs(doc_id, text, source, ...)`` in windows, with their ids.
 
@@ -94,14 +127,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
     end, width = np.array([end_id], "<u4").tobytes(), id_width(tokenizer_path)
     named = docs.select("doc_id", common.text_or_empty().alias("text"), F.col("source").cast("string").alias("source"))
     sources = [r["source"] for r in named.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").select("source").limit(MAX_QUEUES + 1).collect()]
-    folded = len(sources) > MAX_QUEUES
-    if folded:
-        named = named.withColumn("queue", F.pmod(F.hash("source"), F.lit(MAX_QUEUES)))
+    many = len(sources) > MAX_QUEUES
+    if many:  # sources are their own names, in the order of the numbers below
+        named = named.withColumn("queue", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     else:
         number = {s: i for i, s in enumerate(sorted(sources, key=lambda s: (s is not None, s or "")))}
         table = docs.sparkSession.createDataFrame([(s, i) for s, i in number.items()], "name string, queue int")
         named = named.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
-    schema = "doc_id " + named.schema["doc_id"].dataType.simpleString() + ", source string, queue int, part int, place long, n long, ids binary"
+    schema = "doc_id " + named.schema["doc_id"].dataType.simpleString() + f", source string, queue {'string' if many else 'int'}, part int, place long, n long, ids binary"
 
     def encode(batches):
         from pyspark import TaskContext
@@ -118,24 +151,41 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
     tokens = common.written(named.select("doc_id", "source", "queue", "text").mapInArrow(encode, schema), "packing")
     sums = common.written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "packing-sums")
     starts = sums.select("queue", "part", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("before"))
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
-    size = np.array([totals.get(q, 0) for q in range(max(totals, default=-1) + 1)], np.int64)
-    weights = np.maximum(size, 1)
-    if targets and not folded:
-        least = min(targets.values()) / 100
-        weights = np.array([max(1, round(1e9 * targets.get(s, least))) for s in sorted(number, key=number.get)], np.int64)[: len(size)]
+    least = min(targets.values()) / 100 if targets else 0
     if sums.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
     placed = tokens.join(starts, ["queue", "part"]).select("doc_id", "source", "queue", (F.col("before") + F.col("place")).alias("begin"), "n", "ids")
 
+    if many:
+        sizes = sums.groupBy("queue").agg(F.sum("n").alias("tokens"))
+        if targets:
+            shares = docs.sparkSession.createDataFrame([("" if s is None else f"s{s}", max(1, round(1e9 * t))) for s, t in targets.items()], "queue string, weight long")
+            sizes = sizes.join(F.broadcast(shares), "queue", "left").fillna(max(1, round(1e9 * least)), ["weight"])
+        else:
+            sizes = sizes.withColumn("weight", F.col("tokens"))
+        # a document's place in its queue is its own
+        held = F.sequence(F.floor(F.col("begin") / quantum), F.floor((F.col("begin") + F.col("n") - 1) / quantum))
+        places = placed.select("queue", "begin", F.explode(held).alias("k")).join(quanta(sizes, quantum), ["queue", "k"])
+        places = places.groupBy("queue", "begin").agg(F.sort_array(F.collect_list(F.struct("k", "at")))["at"].alias("at"))  # quanta of one document
+        placed = placed.join(places, ["queue", "begin"]).select("doc_id", "source", "queue", "begin", "n", "ids", "at")
+    else:
+        totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
+        size = np.array([totals.get(q, 0) for q in range(max(totals, default=-1) + 1)], np.int64)
+        weights = np.maximum(size, 1)
+        if targets:
+            weights = np.array([max(1, round(1e9 * targets.get(s, least))) for s in sorted(number, key=number.get)], np.int64)[: len(size)]
+
     def cut(batches):
         for batch in batches:
             queues = batch.column("queue").to_numpy(zero_copy_only=False)
             begin, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("begin", "n"))
             found = []
-            for queue in np.unique(queues).tolist():
+            if many and len(begin):
+                at = batch.column("at").flatten().to_numpy()
+                found.append(pieces(begin, n, lambda k, at=at: at, window, quantum))
+            for queue in [] if many else np.unique(queues).tolist():
                 rows = np.flatnonzero(queues == queue)
-                doc, *rest = pieces(queue, begin[rows], n[rows], size, weights, window, quantum)
+                doc, *rest = pieces(begin[rows], n[rows], lambda k, queue=queue: positions(queue, k, size, weights, quantum), window, quantum)
                 found.append((rows[doc], *rest))
             if not found:
                 continue
