@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from toolloom.functions.json import args_map
-from toolloom.operators import audit, bandit, dedup, derivation, executor, normalise, pairing, registry, validation
+from toolloom.operators import audit, bandit, dedup, derivation, executor, normalise, pairing, registry, reports, validation
 from toolloom.sources import readers
 
 
@@ -176,3 +176,9 @@ def test_linucb_equals_a_plain_loop(spark):
         b[k] += rewards[k] * x
         hits[i] = float(rewards[k] >= 1)
     assert np.mean([hits[i] == h for i, h in zip(got["id"], got["hit"], strict=True)]) > 0.97
+
+
+def test_markdown_refuses_to_cut_rows(spark):
+    assert reports.markdown("Ids", spark.range(20), limit=20).count("\n") == 24
+    with pytest.raises(ValueError, match="more than 19 rows"):
+        reports.markdown("Ids", spark.range(20), limit=19)

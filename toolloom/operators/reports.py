@@ -70,8 +70,10 @@ def duplicates(df: DataFrame, by: list[str], tokens: Column) -> DataFrame:
 
 
 def markdown(title: str, report: DataFrame, limit: int = 1000) -> str:
-    """A report as a Markdown table; reports are small aggregates, ``limit`` bounds what reaches the driver."""
-    rows = report.limit(limit).collect()
+    """A report as a Markdown table; reports are small aggregates, and one of more than ``limit`` rows is refused."""
+    rows = report.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"the report {title!r} has more than {limit} rows: write it as a table")
     head = report.columns
     lines = [f"# {title}", "", f"| {' | '.join(head)} |", f"|{'|'.join('-' for _ in head)}|"]
     lines += [f"| {' | '.join('' if r[c] is None else f'{r[c]:.4f}' if isinstance(r[c], float) else str(r[c]) for c in head)} |" for r in rows]
