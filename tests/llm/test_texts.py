@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -260,3 +261,8 @@ def test_pruned_probes_are_the_best():
     assert sorted(every[0].tolist()) == list(range(256))
     for most in (1, 2, 7, 30, 200):
         assert (index.probes(unit, 0, most) == every[:, :most]).all()
+
+
+def test_readme_states_the_training_windows():
+    row = next(x for x in (Path(__file__).parents[2] / "README.md").read_text().splitlines() if x.startswith("| 5 personal data"))
+    assert f"{pii.CORPUS_WINDOWS:,} windows" in row and f"{pii.INVENTED_WINDOWS:,} with invented" in row

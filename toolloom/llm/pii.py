@@ -1,6 +1,6 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
-The model is trained in numpy from labelled spans: windows of the corpus (at most ``SAMPLE`` documents)
+The model is trained in numpy from labelled spans: at most 800 windows of the corpus (``CORPUS_WINDOWS``)
 labelled by the shapes of the patterns, and the same windows with invented items written into them, many
 side by side, where a greedy pattern swallows its neighbour and then drops the match. It tags characters
 with B/I of four kinds or O.
@@ -379,7 +379,10 @@ def training_set(snippets: list[str], invented: int = INVENTED_WINDOWS, seed: in
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
-    """A tagger trained on one window each of about ``sample`` documents at most (chosen by hash), and invented items."""
+    """A tagger trained on ``CORPUS_WINDOWS`` windows at most, and ``INVENTED_WINDOWS`` with invented items.
+
+    Windows are drawn by hash among those of about ``sample`` documents, each around the first digit or @ of its text.
+    """
     share = max(1, docs.count() // sample)
     drawn = docs.select(F.col("text")).where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(share)) == 0).where(F.col("text").rlike("[0-9@]"))
     snippet = F.regexp_extract("text", "(?s).{0,60}[0-9@].{0,67}", 0).alias("snippet")
