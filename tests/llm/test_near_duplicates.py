@@ -58,30 +58,28 @@ def test_groups_equal_brute_force(spark):
     rows = list(enumerate(texts(1, 60, 60) + ["", "one two", "One  TWO.", "one two three"]))
     rows += [(1000 + i, t) for i, t in enumerate(texts(1, 5, 0))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(map(tuple, nd.groups(df).collect()))
-    want = brute(rows)
-    assert [x[:2] for x in got] == [x[:2] for x in want]
-    assert all(g[2] <= w[2] and (g[2] > 0) == (w[2] > 0) for g, w in zip(got, want))
-
-
-def test_pairs_and_rounds_agree(spark, monkeypatch):
-    rows = list(enumerate(texts(2, 40, 20)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(nd, "PAIRWISE", 1000)
     assert sorted(map(tuple, nd.groups(df).collect())) == brute(rows)
-    monkeypatch.setattr(nd, "PAIRWISE", 3)
-    assert [x[:2] for x in sorted(map(tuple, nd.groups(df).collect()))] == [x[:2] for x in brute(rows)]
 
 
-def test_all_links_of_large_buckets_are_counted(spark, monkeypatch):
-    rows = list(enumerate(texts(4, 250, 30)))
+def test_blocks_and_packs_change_nothing(spark, monkeypatch):
+    rows = list(enumerate(texts(4, 250, 30) + texts(5, 3, 0) + texts(6, 12, 3)))
     want = brute(rows)
-    assert max(links for *_, links in want) > 20 * nd.PAIRWISE / 2
+    assert max(links for *_, links in want) > 150
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, nd.groups(df).collect())) == want
-    monkeypatch.setattr(nd, "BLOCK_SETS", 60)
-    monkeypatch.setattr(nd, "COLUMNS", 50)
+    for name, value in {"BLOCK_CLASSES": 20, "PACK_ROWS": 100, "BLOCK_SETS": 60, "PACK_SHINGLES": 5000, "COLUMNS": 50, "LOCAL_LINKS": 40}.items():
+        monkeypatch.setattr(nd, name, value)
     assert sorted(map(tuple, nd.groups(df).collect())) == want
+    kept = {r["doc_id"] for r in nd.keep_one(df).collect()}
+    assert kept == {c for _, c, _ in want}
+
+
+def test_unlike_texts_of_one_bucket_are_sifted(spark):
+    rng = random.Random(9)
+    shared = " ".join(f"w{rng.randrange(5000)}" for _ in range(100))
+    rows = [(i, shared + " " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(90))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, nd.groups(df).collect())) == brute(rows) == [(i, i, 0) for i in range(120)]
 
 
 def test_components_of_a_chain(spark):
@@ -90,6 +88,16 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100}
 
 
+def test_components_in_rounds_equal_those_of_one_task(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 7) for i in range(400, 500)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    whole = sorted(map(tuple, nd.components(links).collect()))
+    monkeypatch.setattr(nd, "LOCAL_LINKS", 30)
+    assert sorted(map(tuple, nd.components(links).collect())) == whole
+    assert nd.components(links.limit(0)).count() == 0
+
+
 def test_nulls_ties_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "a"), (None, "", "b"), (1, "x y z", None), (1, "x y z", None), (7, "q " * 5000, "c")], "doc_id long, text string, rid string")
     got = sorted(map(tuple, nd.groups(df).collect()), key=repr)
@@ -101,13 +109,38 @@ def test_nulls_ties_empty_and_clashing_columns(spark):
 
 
 @pytest.mark.parametrize("similarity", [0.8, 0.9])
-def test_recall_of_banding(similarity):
+def test_recall_of_banding_and_sketches(similarity):
     bands, rows = nd.banding()
-    seeds = nd.signature_seeds(bands * rows)
-    rng, met, n = np.random.default_rng(3), 0, 300
+    hashes = bands * rows
+    seeds, least = nd.signature_seeds(hashes), nd.sieve(hashes)
+    rng, met, n = np.random.default_rng(3), 0, 600
     for _ in range(n):
         both = round(200 * 2 * similarity / (1 + similarity))
         a = rng.integers(0, 1 << 63, 200).astype(np.uint64)
         b = np.append(a[:both], rng.integers(0, 1 << 63, 200 - both).astype(np.uint64))
-        met += bool((nd.band_hashes(a, bands, rows, seeds) == nd.band_hashes(b, bands, rows, seeds)).any())
-    assert met >= 0.98 * n
+        x, y = nd.signature(a, seeds), nd.signature(b, seeds)
+        alike = sum(p == q for p, q in zip(nd.sketch(x), nd.sketch(y), strict=True)) >= least
+        met += alike and bool((nd.band_hashes(x, bands, rows) == nd.band_hashes(y, bands, rows)).any())
+    assert met >= 0.995 * n
+
+
+def test_recall_end_to_end(spark):
+    """Pairs just at the threshold, each a group of its own, are found nearly always."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(184)]
+        other = list(words)
+        for k in rng.sample(range(4), 1) + [60, 110, 160]:  # four changed words: 20 of 180 runs
+            other[k + 5] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    want = brute(rows)
+    assert all(links == 1 for *_, links in want)
+    got = {r["doc_id"]: r["class_id"] for r in nd.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([got[d] == c for d, c, _ in want]) >= 0.99
+
+
+def test_sieve_is_the_quantile():
+    rng = np.random.default_rng(1)
+    agree = rng.binomial(100, 0.8 + 0.2 / 256, 400_000)
+    assert (agree < nd.sieve(100)).mean() <= 2e-4 < (agree < nd.sieve(100) + 3).mean()

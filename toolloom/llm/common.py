@@ -1,14 +1,33 @@
-"""What the operators share: tables in the shared folder, row columns, digests."""
+"""What the operators share: tables in the shared folder, row columns, batches and workers' caches."""
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables written by this process and not yet released.
-_written: list[str] = []
+#: Bytes and rows of a batch that goes to a Python worker: whole texts are long, and a batch is held several times over.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2048
+
+
+class Scope:
+    """Tables that were written within a ``scratch`` block."""
+
+    def __init__(self, keep_all: bool = False):
+        self.keep_all, self.tables, self.kept = keep_all, [], []
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Tables that the block's result reads and that hence outlive it."""
+        self.kept += tables
+
+
+_scope: contextvars.ContextVar[Scope | None] = contextvars.ContextVar("scope", default=None)
+#: Tables that lazy results still read, by owner.
+_results: dict[str | None, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,9 +50,13 @@ def unique() -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed by ``release``."""
+    """A fresh path in the shared folder; it belongs to the innermost scope, and without one to ``release``."""
     path = f"{shared_dir(spark)}/tables/{name}-{unique()}"
-    _written.append(path)
+    scope = _scope.get()
+    if scope is None:
+        _results.setdefault(None, []).append(path)
+    else:
+        scope.tables.append((None, path))
     return path
 
 
@@ -45,7 +68,48 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    table = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    if (scope := _scope.get()) is not None:
+        scope.tables[-1] = (table, path)
+    return table
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, owner: str | None = None, keep_all: bool = False) -> Iterator[Scope]:
+    """Tables written in the block are removed at its end, but for those that are kept.
+
+    Kept ones go to the block around it, or are results of ``owner`` until ``release``.
+    """
+    scope, outer = Scope(keep_all), _scope.get()
+    token = _scope.set(scope)
+    done = False
+    try:
+        yield scope
+        done = True
+    finally:
+        _scope.reset(token)
+        for table, path in scope.tables:
+            if done and (scope.keep_all or any(table is k for k in scope.kept)):
+                if outer is None:
+                    _results.setdefault(owner, []).append(path)
+                else:
+                    outer.tables.append((table, path))
+            else:
+                delete(spark, path)
+
+
+@contextlib.contextmanager
+def results_of(spark: SparkSession, owner: str) -> Iterator[None]:
+    """In the block a lazy result of ``owner`` is built; the tables of the owner's last one go."""
+    release(spark, owner)
+    with scratch(spark, owner, keep_all=True):
+        yield
+
+
+def release(spark: SparkSession, owner: str | None = None) -> None:
+    """Remove the tables that ``owner``'s results read; call it when these results are stored."""
+    for path in _results.pop(owner, []):
+        delete(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -59,25 +123,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all tables of ``written`` so far; call it when the results built on them are stored."""
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; from now on the session hands rows to Python workers in batches of bounded bytes."""
     bounded_batches(spark)
-    while _written:
-        delete(spark, _written.pop())
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Rows of a batch that goes to a Python worker: whole texts are long, and a batch is held several times over.
-BATCH_ROWS = 512
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of at most ``BATCH_BYTES`` (or one row) and ``BATCH_ROWS``; a session that asks for less keeps it."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = spark.conf.get(key, str(most)).lower().removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table; from now on the session hands texts to Python workers in batches of ``BATCH_ROWS``."""
-    bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+#: What empties the caches that this worker holds, by operator.
+_caches: dict[str, Callable[[], None]] = {}
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def cache(owner: str, clear: Callable[[], None]) -> None:
+    """Name a cache of this process and what empties it."""
+    _caches[owner] = clear
+
+
+def own_cache(owner: str) -> None:
+    """A task of ``owner`` begins in this worker: caches that other operators left in it are emptied."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
 
 
 def text_or_empty(name: str = "text") -> Column:

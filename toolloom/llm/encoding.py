@@ -17,6 +17,8 @@ import re
 
 import numpy as np
 
+from toolloom.llm import common
+
 #: Letters whose lower case and NFC form are the same whatever stands around them.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: The same for chunks with zero bytes between them; two empty parts for any other chunk.
@@ -167,6 +169,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+common.cache("encoding", encoder.cache_clear)
+
+
 def slices(texts: list[str], most: int = 1 << 22):
     """Consecutive texts of about ``most`` characters together; it is what a worker holds split at a time."""
     begin, n = 0, 0
@@ -181,6 +186,7 @@ def slices(texts: list[str], most: int = 1 << 22):
 
 def encode_column(batches, path: str, column: str):
     """(Arrow batch, packed ids of each of its texts) for Arrow batches with a text column, null as empty."""
+    common.own_cache("encoding")
     enc = encoder(path)
     for batch in batches:
         ids: list[bytes] = []
