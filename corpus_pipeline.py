@@ -15,36 +15,38 @@ from toolloom.llm.encoding import vocabulary
 GOOD = 0.7
 #: The id that closes a document.
 END = 2
+#: Whose tables a stage's result reads; they go when the next stage begins.
+OWNER = "pipeline"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; the held-out fold's labels are not learnt from."""
-    common.release(spark)
-    return quality.keep_good(docs, common.read(spark, sf_dir, "labels"), GOOD)
+    with common.results_of(spark, OWNER):
+        return quality.keep_good(docs, common.read(spark, sf_dir, "labels"), GOOD)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least doc_id."""
-    common.release(spark)
-    return near_duplicates.keep_one(docs)
+    with common.results_of(spark, OWNER):
+        return near_duplicates.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark go, and documents of which they are a large part."""
-    common.release(spark)
-    return decontamination.remove(docs, common.read(spark, sf_dir, "benchmark"))
+    with common.results_of(spark, OWNER):
+        return decontamination.remove(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked by its kind."""
-    common.release(spark)
-    return pii.redact(docs)
+    with common.results_of(spark, OWNER):
+        return pii.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full windows, sources in proportion to their tokens."""
-    common.release(spark)
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), END)
+    with common.results_of(spark, OWNER):
+        return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), END)
 
 
 STAGES = [
@@ -70,7 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for old in outputs[:-1]:
             common.delete(spark, old)
         del outputs[:-1]
-    common.release(spark)
+    common.release(spark, OWNER)
     return docs
 
 
