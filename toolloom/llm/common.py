@@ -7,6 +7,8 @@ import contextvars
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +140,42 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Bits of a sieve a key, and of a whole sieve at most (16 MB); a fuller one lets more rows pass, which the join behind it removes.
+SIEVE_BITS, MOST_SIEVE_BITS = 16, 1 << 27
+
+
+def with_mark(rows: DataFrame, key: str, keys: DataFrame, mark: str) -> DataFrame:
+    """``rows`` with ``mark``: false only where ``keys`` (one column of longs) lacks ``key``.
+
+    A Bloom filter of the keys stands beside the rows as one array of longs, so a join of rows with few keys need
+    not move all rows, whatever their number.
+    """
+    spark = rows.sparkSession
+    name = keys.columns[0]
+    bits = 1 << min(MOST_SIEVE_BITS.bit_length() - 1, max(10, (SIEVE_BITS * keys.count()).bit_length()))
+
+    def places(column: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(bits)) for seed in (11, 12)]
+
+    def bit(place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+
+    held = keys.select(F.explode(F.array(*places(F.col(name)))).alias("p"))
+    found = held.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(bit(F.col("p"))).alias("bits")).toPandas()  # a word of the sieve a row
+    words = np.zeros(bits // 64, np.int64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    sieve = spark.createDataFrame(pa.table({"_words": pa.array([words], pa.list_(pa.int64()))}))
+    hit = F.lit(True)
+    for place in places(F.col(key)):
+        hit = hit & (F.element_at("_words", (F.shiftright(place, 6) + 1).cast("int")).bitwiseAND(bit(place)) != 0)
+    return rows.crossJoin(F.broadcast(sieve)).withColumn(mark, hit).drop("_words")  # one row of bounded size
+
+
+def matched(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``keys``, whose first column is ``key``; of the rows only those that may match are moved."""
+    return with_mark(rows, key, keys.select(key).distinct(), "_may").where("_may").drop("_may").join(keys, key)
+
+
 #: What empties the caches that this worker holds, by operator.
 _caches: dict[str, Callable[[], None]] = {}
 

@@ -17,7 +17,8 @@ with 20 bands of 5 rows 0.0005 of the pairs at 0.8, and fewer above.
 
 Plan: one pass writes rows with their digests, bands and sketches. Classes, buckets and sketches move as rows of
 24 to 330 bytes; buckets with the very same members are looked at once. The text of a set that is in a candidate
-group is read once, whatever its number of pairs, and sets move to their tasks as hashes. Large buckets and groups
+group moves once, whatever its number of pairs, texts of other sets don't (a sieve of at most 16 MB keeps them back), and
+sets move to their tasks as hashes. Large buckets and groups
 are dealt to blocks by salt, two blocks a task, small ones are packed together, so no task and no row grows with a
 group; the product of a group's pairs is work inside these tasks, not rows. Buckets and classes are counted by
 partial aggregates and joined back, where adaptive execution splits hot keys.
@@ -219,7 +220,7 @@ def _candidates(classes: DataFrame, threshold: float, hashes: int) -> DataFrame:
     sized = keys.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")).where("m > 1")
     buckets = common.written(sized.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "minhash-buckets")
     rows = buckets.agg(F.sum("m")).first()[0] or 0
-    members = keys.join(buckets, "key").join(classes.select("cid", "n", "sketch"), "cid")
+    members = common.matched(keys, buckets, "key").join(classes.select("cid", "n", "sketch"), "cid")
     cells = _cells(members, "key", F.ceil(F.col("m") / BLOCK_CLASSES), -(-rows // PACK_ROWS) or 1)
 
     def sift(cell: pa.Table) -> pa.Table:
@@ -328,7 +329,7 @@ def _verified(table: DataFrame, classes: DataFrame, candidates: DataFrame, thres
     roots = common.written(roots, "minhash-candidate-roots")
     sizes = roots.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     total = roots.agg(F.sum("n")).first()[0] or 0
-    placed = roots.select("cid", "root").join(sizes, "root")
+    placed = common.written(roots.select("cid", "root").join(sizes, "root"), "minhash-placed")
 
     def sets(batches):
         common.own_cache("near_duplicates")
@@ -336,7 +337,7 @@ def _verified(table: DataFrame, classes: DataFrame, candidates: DataFrame, thres
             found = pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "root", "sets", "shingles")), found], ["cid", "root", "sets", "shingles", "held"])
 
-    texts = table.select(F.col("rid").alias("cid"), "text").join(placed, "cid").select("cid", "root", "sets", "shingles", "text")
+    texts = common.matched(table.select(F.col("rid").alias("cid"), "text"), placed.select("cid", "root", "sets", "shingles"), "cid").select("cid", "root", "sets", "shingles", "text")
     held = texts.mapInArrow(sets, "cid long, root long, sets long, shingles long, held binary")
     cells = _cells(held, "root", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)), -(-total // PACK_SHINGLES) or 1)
 
@@ -407,10 +408,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     """The rows of ``docs(doc_id, text, ...)`` with the least doc_id of each group of ``groups``; same columns.
 
     Of equal ids the first row stays, null ids come last; so of all rows with null or empty text one stays. An
-    empty table gives no rows. Only the numbers of the rows that go are joined to the texts.
+    empty table gives no rows. Only texts whose row may go (by a sieve of the rows that do) are joined with them.
     """
     table, members = _grouped(docs, docs.columns, threshold, recall)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     several = members.groupBy("root").agg(first, F.count("*").alias("rows")).where("rows > 1").select("root", F.col("first.rid").alias("kept"))
     gone = common.written(members.join(several, "root").where("rid <> kept").select("rid"), "minhash-gone")
-    return table.select("rid", "row").join(gone, "rid", "left_anti").select("row.*")
+    marked = common.with_mark(table.select("rid", "row"), "rid", gone, "_may")
+    return marked.where("not _may").unionByName(marked.where("_may").join(gone, "rid", "left_anti")).select("row.*")
