@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -185,11 +187,20 @@ def cache(owner: str, clear: Callable[[], None]) -> None:
     _caches[owner] = clear
 
 
+#: The operator whose task ran in this worker last.
+_last_owner: list[str] = []
+
+
 def own_cache(owner: str) -> None:
-    """A task of ``owner`` begins in this worker: caches that other operators left in it are emptied."""
-    for name, clear in _caches.items():
-        if name != owner:
-            clear()
+    """A task of ``owner`` begins in this worker: caches that other operators left in it are emptied, and their memory goes back."""
+    if _last_owner and _last_owner[-1] != owner:
+        for name, clear in _caches.items():
+            if name != owner:
+                clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+    _last_owner[:] = [owner]
 
 
 def text_or_empty(name: str = "text") -> Column:

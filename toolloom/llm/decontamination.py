@@ -119,6 +119,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_words: i
         held = spark.sparkContext.broadcast(block)
 
         def search(batches, held=held):
+            common.own_cache("decontamination")
             for batch in batches:
                 index, new_spans, new_items = held.value, [], []
                 columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
@@ -156,6 +157,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_words:
     found, spans, items = scan(docs.select("doc_id", "text"), benchmark, size, block_words)
 
     def digest(batches):
+        common.own_cache("decontamination")
         for batch in batches:
             ids = batch.column(items).to_pylist()
             n_hit = [sum(b - a for a, b in covered(x)) for x in batch.column(spans).to_pylist()]
@@ -175,6 +177,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, whole: float = 0.3, size: int
     names = docs.columns
 
     def cut(batches):
+        common.own_cache("decontamination")
         for batch in batches:
             columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
             texts, keep = columns["text"].to_pylist(), []

@@ -406,6 +406,7 @@ def report(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
     def search(batches):
+        common.own_cache("pii")
         for batch in batches:
             found = find([x or "" for x in batch.column("text").to_pylist()], held.value)
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
@@ -435,6 +436,7 @@ def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     def cut(batches):
+        common.own_cache("pii")
         for batch in batches:
             columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
             texts = columns["text"].to_pylist()

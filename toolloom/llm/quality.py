@@ -160,20 +160,23 @@ def _featured(batch: pa.RecordBatch, column: str) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
     """The model of ``labels(doc_id, quality)`` outside the held-out fold, on ``docs(doc_id, text)``.
 
-    Ids that are labelled several times take the least label; null ids or labels, and labels other than 0
-    and 1, don't count. Without labelled rows every score is 0.5.
+    Ids that are labelled several times take the least label, of documents with one id the shortest is learnt from;
+    null ids or labels, and labels other than 0 and 1, don't count. Without labelled rows every score is 0.5.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     schema = f"quality int, {', '.join(f'{c} double' for c in FEATURES)}"
 
     def read(batches):
+        common.own_cache("quality")
         for batch in batches:
             x = _featured(batch, "text")
             yield pa.RecordBatch.from_arrays([batch.column("quality"), *(pa.array(c) for c in x.T)], ["quality", *FEATURES])
 
     # the sample is bounded, so its ids and labels are: some hundred kilobytes
-    rows = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(read, schema).limit(2 * sample).toPandas()
+    labelled = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    first = F.min_by(F.struct("quality", "text"), F.struct(F.octet_length("text"), F.xxhash64("text"), "text")).alias("r")  # of the texts of one id the shortest
+    rows = labelled.groupBy("doc_id").agg(first).select("r.quality", "r.text").mapInArrow(read, schema).toPandas()
     return AdditiveModel(rows[FEATURES].to_numpy(np.float64), rows["quality"].to_numpy(np.float64))
 
 
@@ -182,6 +185,7 @@ def with_scores(docs: DataFrame, model: AdditiveModel, name: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # some kilobytes
 
     def add(batches):
+        common.own_cache("quality")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.score(_featured(batch, "text")))], [*batch.schema.names, name])
 
