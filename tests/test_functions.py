@@ -113,3 +113,21 @@ def test_other_json_shapes(spark):
     assert one(spark, F.size(J.tool_call_blocks(F.lit('<tool_call>{"name": "a"}</tool_call><tool_call>bad</tool_call><tool_call>{"x": 1}</tool_call>')))) == 1
     assert [one(spark, J.coerce_query(F.lit(x))) for x in ("plain", '{"q": "b"}', '{"zz": "c"}')] == ["plain", "b", "c"]
     assert one(spark, J.call_signature(F.lit("t"), F.lit('{"b": 1, "a": "x"}'))) == 't(a="x",b=1)'
+
+
+@pytest.mark.parametrize(("text", "kind", "value"), [("abc", "STRING", '"abc"'), ('["a", 1]', "ARRAY<VARIANT>", '["a",1]'), ('{"a": 1}', "OBJECT<a: BIGINT>", '{"a":1}'), ("{broken", "STRING", '"{broken"'), ("", "STRING", '""')])
+def test_maybe_json(spark, text, kind, value):
+    from toolloom.functions.json import maybe_json
+
+    row = spark.createDataFrame([(text,)], "t string").select(F.schema_of_variant(maybe_json(F.col("t"))).alias("k"), F.to_json(maybe_json(F.col("t"))).alias("v")).first()
+    assert row["v"] == value and (row["k"] == kind or kind.startswith("ARRAY"))
+
+
+@pytest.mark.parametrize("value", [{}, [], {"a": 1}, {"a": [], "b": {}}, {"a": [1, 2, {"b": "x,{y}: \"q\""}], "c": None, "d": True}, "plain", 7])
+def test_indented_json(spark, value):
+    import json
+
+    from toolloom.functions.json import indented_json
+
+    text = json.dumps(value, separators=(",", ":"))
+    assert spark.createDataFrame([(text,)], "t string").select(indented_json(F.col("t")).alias("x")).first()["x"] == json.dumps(value, indent=2)

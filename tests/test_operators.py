@@ -182,3 +182,60 @@ def test_markdown_refuses_to_cut_rows(spark):
     assert reports.markdown("Ids", spark.range(20), limit=20).count("\n") == 24
     with pytest.raises(ValueError, match="more than 19 rows"):
         reports.markdown("Ids", spark.range(20), limit=19)
+
+
+def test_copies_do_not_meet(spark):
+    rows = [("k", i, [f"w{j}" for j in range(20)] + ([f"x{i % 3}"] if i % 2 else []), f"s{i}", False) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, pos int, tokens array<string>, signature string, exempt boolean")
+    pairs = {(r["earlier"], r["later"]) for r in dedup.similar_pairs(df).collect()}
+    assert pairs == {(0, 1), (0, 3), (0, 5), (1, 3), (1, 5), (3, 5)}
+    assert [r["pos"] for r in dedup.drop_similar(df).collect()] == [0]
+    assert sorted(r["pos"] for r in dedup.greedy(df).collect()) == reference_greedy(rows[:60])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_with_copies_and_caps_equals_the_loop(spark, seed):
+    rng = random.Random(seed)
+    pool = [sorted(rng.sample([f"w{i}" for i in range(25)], rng.randrange(0, 14))) for _ in range(15)]
+    rows = [(rng.choice("xy"), pos, rng.choice(pool), f"s{rng.randrange(4)}", rng.random() < 0.2) for pos in range(150)]
+    df = spark.createDataFrame(rows, "key string, pos int, tokens array<string>, signature string, exempt boolean")
+    assert sorted(r["pos"] for r in dedup.greedy(df).collect()) == reference_greedy(rows)
+
+
+def test_evaluator_routes_and_self_check(spark):
+    from toolloom.operators import evaluator
+    from toolloom.plans.end_to_end import contracts, read_only_tools, transactional_tools
+
+    who = '{"customer_id": "1"}'
+    call = ("get_balance", who)
+    kinds = "id int, source string, expected_action string, expected_status string, customer_verified boolean, missing_slots array<string>, gold_call struct<tool_name:string,arguments:string>, gold_calls array<struct<tool_name:string,arguments:string>>, gold_steps array<struct<tool_name:string,arguments:string>>"
+    samples = spark.createDataFrame([(1, "o", "call_function", None, True, None, call, None, None), (2, None, "abstain", None, None, None, None, None, None), (3, "o", "call_function", None, True, None, ("get_balance", '{"customer_id": "2"}'), None, None), (4, "o", "call_function", None, True, None, None, None, None)], kinds)
+    state = spark.createDataFrame([("1", '{"customer_id": "1", "balance": 3}')], "customer_id string, s string").select("customer_id", F.from_json("s", executor.STATE).alias("state"))
+    samples = samples.withColumn("raw", evaluator.mock_output(samples))
+    out = evaluator.evaluate(samples, "raw", transactional_tools(spark), contracts(spark), state)
+    rows = {r["id"]: (r["machine_status"], r["reward_strict"], r["error_type"]) for r in out.collect()}
+    assert rows == {1: ("ok", 1.0, None), 2: (None, 1.0, None), 3: ("execution_failed", 0.0, "execution_failed"), 4: ("format_error", 0.0, "format_error")}
+    with pytest.raises(Exception, match="does not reach"):
+        evaluator.self_checked(samples, out).collect()
+    assert evaluator.evaluate_read_only(samples.limit(0), "raw", read_only_tools(spark)).count() == 0
+
+
+def test_large_registries_are_refused(spark, monkeypatch):
+    from toolloom.operators import evaluator
+
+    monkeypatch.setattr(evaluator, "REGISTRY_ROWS", 2)
+    tools = spark.range(3).select(F.col("id").cast("string").alias("name"), F.lit(False).alias("deprecated"), F.array().alias("params"))
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        evaluator.beside(spark.range(1), tools)
+
+
+def test_hand_written_samples(spark):
+    from toolloom.operators import generation
+
+    rows = [generation.call_spec("a", "seen", "s", "do", "t", "{}", gold_calls=[("t", "{}"), ("u", "{}")]), generation.question_spec("b", "seen", "s", "what", ["x"]), generation.refusal_spec("c", "seen", "s", "no", "why")]
+    df = generation.specs(spark, rows)
+    assert [(r["id"], r["expected_action"], r["scenario_family"]) for r in df.orderBy("id").collect()] == [("a", "call_functions", "single_step_valid"), ("b", "ask_clarification", "missing_slot"), ("c", "abstain", "abstention")]
+    with pytest.raises(ValueError, match="repeated"):
+        generation.specs(spark, rows + rows[:1])
+    with pytest.raises(ValueError, match="no such fields"):
+        generation.call_spec("d", "seen", "s", "do", "t", "{}", typo=1)

@@ -67,8 +67,13 @@ def test_writers(spark, tmp_path):
     path = str(tmp_path / "out")
     assert {r["split"]: r["n"] for r in writers.by_split(df, path).collect()} == {"s0": 13, "s1": 12}
     assert spark.read.json(f"{path}/split=s0").count() == 13
-    writers.replace(spark.read.json(path).where("pos < 5"), path)
-    assert spark.read.json(path).count() == 5
+    table = str(tmp_path / "table")
+    for below in (20, 10, 5):
+        rows = df.select("pos") if below == 20 else writers.current(spark, table)
+        writers.replace(rows.where(F.col("pos") < below), table)
+        assert writers.current(spark, table).count() == below
+    assert writers.versions(spark, table) == [1, 2]  # the one before stays for readers that have begun
+    assert [r["pos"] for r in writers.tail(df, 3, "pos").collect()] == [24, 23, 22]
     writers.messages_with_tail(df, str(tmp_path / "m"))
     assert [spark.read.json(str(tmp_path / "m" / x)).count() for x in ("train", "valid")] == [23, 2]
     target, seen = str(tmp_path / "done"), []
@@ -101,3 +106,20 @@ def test_streams(spark, tmp_path, kind):
         assert sorted(r["reason"] for r in rows) == want
     else:
         assert len(rows) == want and [r["arm"] for r in sorted(rows, key=lambda r: r["id"])][:1] == [0] and sum(r["hit"] for r in rows) > 10
+
+
+def test_the_last_of_equal_ids_wins_whatever_the_file_sizes(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.jsonl").write_text('{"id": "x", "reward": 0.25}\n')
+    (tmp_path / "r" / "b.jsonl").write_text("".join(f'{{"id": "{"x" if i == 7 else i}", "reward": 0.75}}\n' for i in range(5000)))
+    rows = {r["id"]: r["reward"] for r in readers.results(spark, str(tmp_path / "r")).collect()}
+    assert rows["x"] == 0.75
+
+
+def test_lines_and_values_of_a_folder(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n{"k": 2}\n')
+    (tmp_path / "b.json").write_text('{"data": [{"k": 3}]}')
+    (tmp_path / "c.json").write_text("")
+    rows = readers.json_any(spark, str(tmp_path)).orderBy("file", "pos").collect()
+    assert [(r["file"], r["json"]) for r in rows] == [("a.jsonl", '{"k": 1}'), ("a.jsonl", '{"k": 2}'), ("b.json", '{"k":3}')]
+    assert readers.json_any(spark, str(tmp_path / "a.jsonl")).count() == 2

@@ -84,7 +84,7 @@ def string_array(text: Column) -> Column:
 
 def maybe_json(text: Column) -> Column:
     """A variant: the parsed text if it starts with ``[`` or ``{`` and parses, else the text itself."""
-    return F.coalesce(F.when(F.trim(text).rlike(r"^[\[{]"), F.try_parse_json(text)), F.try_parse_json(F.to_json(F.array(text))))
+    return F.coalesce(F.when(F.trim(text).rlike(r"^[\[{]"), F.try_parse_json(text)), F.try_variant_get(F.try_parse_json(F.to_json(F.array(text))), "$[0]", "variant"))
 
 
 def tool_call_blocks(text: Column) -> Column:
@@ -231,3 +231,21 @@ def calls_signature(calls: Column) -> Column:
 def spaced_json(text: Column) -> Column:
     """Compact JSON with a blank after ``,`` and ``:`` outside strings."""
     return F.regexp_replace(text, r'([,:])(?=(?:[^"\\]|\\.|"(?:[^"\\]|\\.)*")*$)', "$1 ")
+
+
+def indented_json(text: Column, indent: int = 2) -> Column:
+    """Compact JSON with every item on a line of its own, nested ones further in; strings stay as they are.
+
+    A fold over the tokens of the text (strings, brackets, commas, colons, other values).
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r'("(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\s\[\]{},:"]+)'), F.lit(1))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit("").alias("last"))
+
+    def step(held: Column, token: Column) -> Column:
+        opens, closes, after = token.isin("{", "["), token.isin("}", "]"), held["last"].isin("{", "[")
+        depth = held["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        line = F.concat(F.lit("\n"), F.repeat(F.lit(" " * indent), F.when(closes, depth).otherwise(held["depth"])))
+        lead = F.when(closes & after, "").when(closes | (after & ~closes) | (held["last"] == ","), line).when(held["last"] == ":", " ").otherwise("")
+        return F.struct(F.concat(held["out"], lead, token).alias("out"), depth.alias("depth"), token.alias("last"))
+
+    return F.aggregate(tokens, start, step, lambda held: held["out"])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def first_filled(*arrays: Column) -> Column:
     """The first array that is neither null nor empty; an empty one if there is none."""
-    return F.coalesce(*(F.when(F.size(a) > 0, a) for a in arrays), F.slice(arrays[0], 1, 0))
+    none = F.filter(F.array(F.try_element_at(arrays[0], F.lit(1))), lambda x: F.lit(False))
+    return F.coalesce(*(F.when(F.size(a) > 0, a) for a in arrays), none)
 
 
 def slot_recall(missing: Column, asked: Column) -> Column:

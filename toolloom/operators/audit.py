@@ -1,7 +1,6 @@
 """First-fail verification and the row-level audit, as expressions over samples.
 
-A sample row has ``expected_action, scenario_family, instruction, calls`` (array of struct<tool_name,
-arguments map<string,variant>>) and what the checks ask for below.
+Calls are ``struct<tool_name, arguments>``, arguments JSON texts in samples and maps of variants in the layers' expressions.
 """
 
 from __future__ import annotations
@@ -9,11 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toolloom.functions.text import has_phrase, is_date, too_short
-from toolloom.operators.validation import PLACEHOLDER
+from toolloom.functions.json import args_map
+from toolloom.functions.text import has_phrase, is_date, token_set, too_short
+from toolloom.functions.values import first_filled
+from toolloom.operators.evaluator import REGISTRY_ROWS, beside
+from toolloom.operators.validation import PLACEHOLDER, schema_issues
 
 SHORT = 8
 DATE_KEYS = ("from_date", "to_date", "date")
+#: Arguments that have a catalogue of their own.
+CATALOGUES = ("location_code", "kpi_code", "unit_code", "station_code")
 
 
 def _text(args: Column, key: str) -> Column:
@@ -91,36 +95,137 @@ def first_fail(instruction: Column, schema: Column, codes: Column, dates: Column
     return out
 
 
-def failed_checks(checks: dict[str, Column]) -> Column:
-    """Names of the checks whose condition holds, in order."""
-    return F.filter(F.array(*(F.when(c, name) for name, c in checks.items())), lambda x: x.isNotNull())
+def all_calls(single: Column, several: Column, steps: Column) -> Column:
+    """A sample's gold calls: the single one, else the set, else the steps."""
+    return F.when(single.isNotNull(), F.array(single)).otherwise(first_filled(several, steps))
+
 
+def _off(value: Column, valid: Column) -> Column:
+    """Whether a given code is none of the catalogue's; waiting values are not looked up."""
+    return value.isNotNull() & ~_open(value) & ~F.coalesce(F.array_contains(valid, value), F.lit(False))
 
-def audit_checks() -> dict[str, Column]:
-    """The row checks that need no catalogue; a row has ``instruction, expected_action, gold_call, gold_calls, missing_slots, reason, calls, masked_name, required, checker_args``."""
+
+def _names(*checks: tuple[Column, str]) -> Column:
+    """Names of the checks whose condition holds, in order."""
+    return F.filter(F.array(*(F.when(c, name) for c, name in checks)), lambda x: x.isNotNull())
+
+
+def row_checks() -> Column:
+    """Names of the failed checks of a sample, in order; a check that several calls or dates fail comes as often.
+
+    A row has the columns of ``audit`` and the maps that stand beside it. A masked tool without parameters has no schema.
+    """
+    c, none = F.col, F.array().cast("array<string>")
+    action = c("expected_action")
+    calls = all_calls(c("gold_call"), c("gold_calls"), c("gold_steps"))
+    masked = c("masked_tool")
+
+    def tool_of(name: Column) -> Column:
+        return F.when(masked["name"].eqNullSafe(name), masked).otherwise(F.try_element_at("_tools", F.coalesce(name, F.lit(""))))
+
+    def codes(name: str) -> Column:
+        return F.coalesce(F.try_element_at("_codes", F.lit(name)), none)
+
+    def of_call(call: Column) -> Column:
+        found = F.struct(call["tool_name"].alias("name"), tool_of(call["tool_name"]).alias("tool"), args_map(call["arguments"]).alias("args"))
+
+        def one(x: Column) -> Column:
+            issues = schema_issues(x["tool"], substituted(x["args"], x["tool"]["params"]), x["name"])
+            bad = F.exists(issues, lambda i: i["code"] != "deprecated_tool")
+            f, t = _text(x["args"], "from_date"), _text(x["args"], "to_date")
+            dates = [(v.isNotNull() & ~_open(v) & ~is_date(v), "bad_date_format") for v in (_text(x["args"], k) for k in DATE_KEYS)]
+            checks = _names(
+                (bad, "schema_invalid_gold"),
+                (_off(_text(x["args"], "object_code"), F.array_union(codes("location_code"), codes("station_code"))), "object_code_off_catalogue"),
+                *((_off(_text(x["args"], k), codes(k)), f"{k}_off_catalogue") for k in CATALOGUES),
+                *dates, (F.coalesce(is_date(f) & is_date(t) & (f > t), F.lit(False)), "from_after_to"),
+            )
+            return F.when(x["tool"].isNull(), F.array(F.lit("unknown_tool"))).otherwise(checks)
+
+        return F.element_at(F.transform(F.array(found), one), 1)
+
+    slots = F.coalesce(c("missing_slots"), none)
+    asks, is_masked = action == "ask_clarification", (c("scenario_family") == "masking") | masked.isNotNull()
+    checker = F.struct(tool_of(c("checker_call")["tool_name"]).alias("tool"), args_map(c("checker_call")["arguments"]).alias("args"))
+    required = F.coalesce(F.transform(F.filter(checker["tool"]["params"], lambda p: p["required"]), lambda p: p["name"]), none)
+    both = F.array(F.lit("from_date"), F.lit("to_date"))
+    valid = checker["tool"].isNotNull() & (F.size(schema_issues(checker["tool"], checker["args"], c("checker_call")["tool_name"])) == 0)
+    before = _names(
+        (too_short(c("instruction"), SHORT), "short_instruction"),
+        ((action == "call_function") & c("gold_call").isNull(), "missing_gold_call"),
+        ((action == "call_functions") & (F.size(first_filled(c("gold_calls"), c("gold_steps"))) == 0), "missing_gold_calls"),
+        (asks & ((F.size(slots) == 0) | c("checker_call").isNull()), "missing_clar_fields"),
+        ((action == "abstain") & c("reason").isNull(), "missing_abstain_reason"),
+    )
+    locations = F.filter(F.transform(calls, lambda x: _text(args_map(x["arguments"]), "location_code")), lambda x: x.isNotNull() & (x != ""))
+    matched = matched_locations(c("instruction"), c("_names"))
+    waits = F.exists(calls, lambda x: F.coalesce(x["arguments"].contains(PLACEHOLDER), F.lit(False)))
+    after = _names(
+        ((F.size(matched) > 0) & (F.size(F.array_except(locations, matched)) > 0), "city_code_mismatch"),
+        (waits & ~((action == "call_functions") & F.coalesce(F.size("gold_steps") > 0, F.lit(False))), "placeholder_leak"),
+        (is_masked & ~masked["name"].eqNullSafe(F.coalesce(c("gold_call")["tool_name"], F.lit(""))), "masked_name_mismatch"),
+        (is_masked & (F.coalesce(F.size(masked["params"]), F.lit(0)) <= 0), "masked_no_schema"),
+        (is_masked & (masked["name"] != "") & ~F.contains(F.coalesce(c("instruction"), F.lit("")), masked["name"]), "masked_name_not_in_instruction"),
+        (asks & (F.size(F.array_except(slots, required)) > 0), "missing_slot_not_required"),
+        (asks & (F.size(F.array_intersect(slots, F.map_keys(checker["args"]))) > 0), "missing_slot_present_in_checker"),
+        (asks & F.arrays_overlap(slots, both) & (F.size(F.array_except(both, slots)) > 0), "date_pair_incomplete"),
+        (asks & valid, "clarification_checker_actually_valid"),
+    )
+    return F.concat(before, F.flatten(F.transform(calls, of_call)), after)
+
+
+def with_catalogues(samples: DataFrame, tools: DataFrame, references: DataFrame, names: DataFrame) -> DataFrame:
+    """``samples`` with the catalogues beside them: tools, ``references(param, code)`` (stations as ``station_code``) and ``names(name, code)`` of locations."""
+    row = names.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("code").alias("code")).limit(REGISTRY_ROWS + 1)
+    listed = row.agg(F.collect_list(F.struct("name", "code")).alias("_names"))
+    out = beside(samples, tools, None, references).crossJoin(F.broadcast(listed))  # one row
+    return out.withColumn("_names", F.when(F.size("_names") > REGISTRY_ROWS, F.raise_error(F.lit("too many location names"))).otherwise(F.col("_names")))
+
+
+def audit(samples: DataFrame, tools: DataFrame, references: DataFrame, names: DataFrame, file: str = "file") -> DataFrame:
+    """(file, id, check) of every failed check of read-only samples.
+
+    Samples: ``id, instruction, scenario_family, expected_action, gold_call, gold_calls, gold_steps, missing_slots,
+    checker_call, reason, masked_tool`` and the file's column.
+    """
+    return with_catalogues(samples, tools, references, names).select(file, "id", F.explode(row_checks()).alias("check"))
+
+
+def primary_tool(single: Column, several: Column, steps: Column, checker: Column) -> Column:
+    """The tool of a sample's first gold call, else of its checker call, else empty."""
+    return F.coalesce(F.try_element_at(all_calls(single, several, steps), F.lit(1))["tool_name"], checker["tool_name"], F.lit(""))
+
+
+def repeated_instructions(samples: DataFrame, file: str = "file") -> DataFrame:
+    """``file, n, duplicates``: rows, and rows whose instruction's token set another of the same family and primary tool has before them."""
     c = F.col
-    call_args = F.transform("calls", lambda x: F.to_json(x["arguments"]))
-    slots = F.coalesce(c("missing_slots"), F.array().cast("array<string>"))
-    pair = F.array_contains(slots, "from_date") != F.array_contains(slots, "to_date")
-    asks = c("expected_action") == "ask_clarification"
-    return {
-        "short_instruction": too_short(c("instruction"), SHORT),
-        "missing_gold_call": (c("expected_action") == "call_function") & c("gold_call").isNull(),
-        "missing_gold_calls": (c("expected_action") == "call_functions") & (F.coalesce(F.size("gold_calls"), F.lit(0)) < 2),
-        "missing_clar_fields": asks & (F.size(slots) == 0),
-        "missing_abstain_reason": (c("expected_action") == "abstain") & c("reason").isNull(),
-        "bad_date_format": ~dates_ok(F.transform("calls", lambda x: F.struct(x["tool_name"].alias("tool_name"), F.map_filter(x["arguments"], lambda k, v: k.isin(*DATE_KEYS)).alias("arguments")))),
-        "placeholder_leak": F.exists(call_args, lambda a: a.contains(PLACEHOLDER)),
-        "masked_name_not_in_instruction": c("masked_name").isNotNull() & ~F.contains("instruction", "masked_name"),
-        "missing_slot_not_required": asks & (F.size(F.array_except(slots, c("required"))) > 0),
-        "missing_slot_present_in_checker": asks & (F.size(F.array_intersect(slots, F.map_keys("checker_args"))) > 0),
-        "date_pair_incomplete": asks & pair,
-    }
-
-
-def audit(samples: DataFrame, file: str = "file") -> DataFrame:
-    """(file, id, check) of every failed check."""
-    return samples.select(file, "id", F.explode(failed_checks(audit_checks())).alias("check"))
+    tool = primary_tool(c("gold_call"), c("gold_calls"), c("gold_steps"), c("checker_call"))
+    keyed = samples.groupBy(file, "scenario_family", tool.alias("tool"), token_set(c("instruction")).alias("tokens")).agg(F.count("*").alias("rows"))
+    return keyed.groupBy(file).agg(F.sum("rows").alias("n"), F.sum(F.col("rows") - 1).alias("duplicates"))
+
+
+def verify(samples: DataFrame, tools: DataFrame, references: DataFrame, names: DataFrame, semantic: str | None = None) -> DataFrame:
+    """``samples`` with ``first_fail``, the first layer that each fails, null for those that pass.
+
+    Columns as ``audit``; ``semantic`` names a judge's verdict (boolean, null keeps).
+    """
+    df = with_catalogues(samples, tools, references, names)
+    c, none = F.col, F.array().cast("array<string>")
+    calls = all_calls(c("gold_call"), c("gold_calls"), c("gold_steps"))
+    typed = F.transform(calls, lambda x: F.struct(x["tool_name"].alias("tool_name"), args_map(x["arguments"]).alias("arguments")))
+    masked = c("masked_tool")
+
+    def issues_of(name: Column, args: Column, waiting: bool) -> Column:
+        tool = F.when(masked["name"].eqNullSafe(name), masked).otherwise(F.try_element_at("_tools", F.coalesce(name, F.lit(""))))
+        return F.element_at(F.transform(F.array(F.struct(tool.alias("t"), args.alias("a"))), lambda x: F.size(schema_issues(x["t"], substituted(x["a"], x["t"]["params"]) if waiting else x["a"], name))), 1)
+
+    df = df.withColumn("_typed", typed)
+    broken = F.size(F.filter("_typed", lambda x: issues_of(x["tool_name"], x["arguments"], True) > 0))
+    checker = c("checker_call").isNotNull() & (issues_of(c("checker_call")["tool_name"], args_map(c("checker_call")["arguments"]), False) > 0)
+    schema = schema_ok(c("expected_action"), F.size("_typed"), broken, checker)
+    at = lambda name: F.coalesce(F.try_element_at("_codes", F.lit(name)), none)
+    fail = first_fail(c("instruction"), schema, codes_ok(c("_typed"), at("location_code"), at("station_code")), dates_ok(c("_typed")), city_ok(c("instruction"), c("_names"), c("_typed")), None if semantic is None else c(semantic), c("scenario_family"))
+    return df.withColumn("first_fail", fail).select(*samples.columns, "first_fail")
 
 
 def self_check(results: DataFrame) -> DataFrame:

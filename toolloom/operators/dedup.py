@@ -17,31 +17,49 @@ from toolloom.functions.text import jaccard
 THRESHOLD, PHRASINGS = 0.85, 3
 
 
+def _digest(tokens: Column) -> Column:
+    return F.sha2(F.array_join(tokens, "\n"), 256)
+
+
+def classes(df: DataFrame) -> DataFrame:
+    """``key, pos, tokens, rows`` of the different token sets of each key: the first row stands for all with its set; rows without tokens have none."""
+    sets = df.where("size(tokens) > 0").withColumn("_set", _digest(F.col("tokens")))
+    return sets.groupBy("key", "_set").agg(F.min("pos").alias("pos"), F.first("tokens").alias("tokens"), F.count("*").alias("rows")).drop("_set")
+
+
 def similar_pairs(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, earlier, later, similarity) of rows ``key, pos, tokens`` (distinct) above the threshold.
+    """(key, earlier, later, similarity) of the classes (by their first rows) of ``key, pos, tokens`` (distinct) above the threshold.
 
-    Candidates share one of their rarest tokens in prefix order: two sets with Jaccard similarity above t share
-    a token among the first ``n - ceil(t n) + 1`` of each, whatever the order, so no pair is lost, and rows that
-    share only common tokens never meet.
+    Rows with equal sets are one class, so copies never meet. Candidates share one of their rarest tokens in
+    prefix order: two sets with Jaccard similarity above t share a token among the first ``n - ceil(t n) + 1`` of
+    each, whatever the order, so no pair is lost, and sets that share only common tokens never meet.
     """
-    words = df.select("key", "pos", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    return _pairs(classes(df), threshold)
+
+
+def _pairs(held: DataFrame, threshold: float) -> DataFrame:
+    words = held.select("key", "pos", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counted = words.groupBy("key", "token").agg(F.count("*").alias("freq"))
-    ranked = words.join(counted, ["key", "token"])
-    sets = ranked.groupBy("key", "pos", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("by_freq"))
-    prefix = sets.select("key", "pos", "n", F.explode(F.slice("by_freq", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n")) + 1).cast("int"))).alias("f"))
+    ranked = words.join(counted.where("freq > 1"), ["key", "token"], "left")  # a token of one set alone comes first and meets nobody
+    sets = ranked.groupBy("key", "pos", "n").agg(F.count_if(F.col("freq").isNull()).alias("alone"), F.array_sort(F.collect_list(F.when(F.col("freq").isNotNull(), F.struct("freq", "token")))).alias("by_freq"))
+    left_over = (F.col("n") - F.ceil(threshold * F.col("n")) + 1 - F.col("alone")).cast("int")
+    prefix = sets.where(left_over > 0).select("key", "pos", "n", F.explode(F.slice("by_freq", F.lit(1), F.greatest(left_over, F.lit(1)))).alias("f"))
     prefix = prefix.select("key", "pos", "n", F.col("f.token").alias("token"))
     a, b = (prefix.select("key", "token", F.col("pos").alias(p), F.col("n").alias(f"n_{p}")) for p in ("earlier", "later"))
     near = (F.col("earlier") < F.col("later")) & (F.least("n_earlier", "n_later") >= threshold * F.greatest("n_earlier", "n_later"))
     met = a.join(b, ["key", "token"]).where(near).select("key", "earlier", "later").distinct()
-    left, right = (df.select("key", F.col("pos").alias(p), F.col("tokens").alias(f"t_{p}")) for p in ("earlier", "later"))
+    left, right = (held.select("key", F.col("pos").alias(p), F.col("tokens").alias(f"t_{p}")) for p in ("earlier", "later"))
     scored = met.join(left, ["key", "earlier"]).join(right, ["key", "later"]).withColumn("similarity", jaccard(F.col("t_earlier"), F.col("t_later")))
     return scored.where(F.col("similarity") > threshold).select("key", "earlier", "later", "similarity")
 
 
 def drop_similar(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows without any earlier similar row of their key."""
-    gone = similar_pairs(df, threshold).select("key", F.col("later").alias("pos")).distinct()
-    return df.join(gone, ["key", "pos"], "left_anti")
+    """Rows without any earlier similar row of their key: the first rows of classes without an earlier similar class, and rows without tokens."""
+    held = classes(df)
+    gone = _pairs(held, threshold).select("key", F.col("later").alias("pos")).distinct()
+    first = held.select("key", "pos").join(gone, ["key", "pos"], "left_anti")
+    empty = df.where("size(tokens) = 0")
+    return df.join(first, ["key", "pos"], "left_semi").unionByName(empty)
 
 
 def cap_per_signature(df: DataFrame, signature: list[str], position: str, n: int = PHRASINGS, exempt: Column | None = None) -> DataFrame:
@@ -54,32 +72,43 @@ def cap_per_signature(df: DataFrame, signature: list[str], position: str, n: int
 def greedy(df: DataFrame, threshold: float = THRESHOLD, phrasings: int = PHRASINGS) -> DataFrame:
     """``key, pos`` of rows ``key, pos, tokens, signature, exempt`` that the order-dependent rule keeps.
 
-    Only rows that have a similar partner or share their signature with more than ``phrasings`` rows need the
-    sequential pass; all others are kept as they are. The pass runs for each key over positions, partners and
-    signatures, not over texts.
+    Of the rows of a key with one token set, signature and exemption only the first can stay, so the others go at
+    once. Of the rest only those need the sequential pass whose set has a similar one or several signatures, or whose
+    signature has more than ``phrasings`` rows; all others stay as they are. The pass runs for each key over positions,
+    set numbers and signatures, not over texts.
     """
-    pairs = similar_pairs(df, threshold)
-    partners = pairs.groupBy("key", F.col("later").alias("pos")).agg(F.collect_list("earlier").alias("earlier"))
-    crowded = df.groupBy("key", "signature").agg(F.count("*").alias("_n")).where(F.col("_n") > phrasings).select("key", "signature", F.lit(True).alias("_crowded"))
-    light = df.select("key", "pos", "signature", "exempt").join(partners, ["key", "pos"], "left").join(crowded, ["key", "signature"], "left")
-    earlier_ends = pairs.select("key", F.col("earlier").alias("pos"), F.lit(True).alias("_partner")).distinct()
-    light = light.join(earlier_ends, ["key", "pos"], "left")
-    involved = F.col("earlier").isNotNull() | F.col("_partner").isNotNull() | F.col("_crowded").isNotNull()
+    held = classes(df)
+    pairs = _pairs(held, threshold)
+    both = pairs.select("key", F.col("earlier").alias("cid"), F.col("later").alias("other")).unionByName(pairs.select("key", F.col("later").alias("cid"), F.col("earlier").alias("other")))
+    partners = both.groupBy("key", "cid").agg(F.collect_list("other").alias("partners"))
+    light = df.select("key", "pos", "signature", "exempt", F.when(F.size("tokens") > 0, _digest(F.col("tokens"))).alias("_set"))
+    first = light.where("_set is not null").groupBy("key", "_set", "signature", "exempt").agg(F.min("pos").alias("pos"))
+    variants = first.groupBy("key", "_set").agg(F.min("pos").alias("cid"), F.count("*").alias("variants"))
+    first = first.join(variants, ["key", "_set"]).drop("_set").join(partners, ["key", "cid"], "left")
+    # rows without tokens are like no other: they only count for their signature
+    empty = light.where("_set is null").select("key", "pos", "signature", "exempt")
+    counted = empty.withColumn("_place", F.row_number().over(Window.partitionBy("key", "signature", "exempt").orderBy("pos"))).where(F.col("_place") <= phrasings).drop("_place")
+    spare = empty.where("exempt").join(counted, ["key", "pos"], "left_anti").select("key", "pos")
+    rows = first.unionByName(counted, allowMissingColumns=True)
+    crowded = rows.groupBy("key", "signature").agg(F.count("*").alias("_n")).where(F.col("_n") > phrasings).select("key", "signature", F.lit(True).alias("_crowded"))
+    rows = rows.join(crowded, ["key", "signature"], "left")
+    involved = F.col("partners").isNotNull() | F.col("_crowded").isNotNull() | (F.coalesce(F.col("variants"), F.lit(1)) > 1)
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        kept, counts = set(), {}
-        for pos, sig, exempt, earlier in group.sort_values("pos")[["pos", "signature", "exempt", "earlier"]].itertuples(index=False):
-            if not exempt and counts.get(sig, 0) >= phrasings:
-                continue
-            if earlier is not None and any(e in kept for e in earlier):
+        blocked, counts, kept = set(), {}, []
+        for pos, sig, exempt, cid, others in group.sort_values("pos")[["pos", "signature", "exempt", "cid", "partners"]].itertuples(index=False):
+            if cid in blocked or (not exempt and counts.get(sig, 0) >= phrasings):
                 continue
-            kept.add(pos)
+            kept.append(pos)
             counts[sig] = counts.get(sig, 0) + 1
-        return pd.DataFrame({"key": group["key"].iloc[0], "pos": sorted(kept)})
+            if cid == cid and cid is not None:  # a row with tokens
+                blocked.add(cid)
+                blocked.update(others if others is not None else ())
+        return pd.DataFrame({"key": group["key"].iloc[0], "pos": kept})
 
     kinds = f"key {df.schema['key'].dataType.simpleString()}, pos {df.schema['pos'].dataType.simpleString()}"
-    walked = light.where(involved).groupBy("key").applyInPandas(walk, kinds)
-    return walked.union(light.where(~involved).select("key", "pos"))
+    walked = rows.where(involved).groupBy("key").applyInPandas(walk, kinds)
+    return walked.union(rows.where(~involved).select("key", "pos")).union(spare)
 
 
 def decontaminate(train: DataFrame, held_out: DataFrame, signature: str = "signature") -> DataFrame:

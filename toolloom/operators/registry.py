@@ -1,7 +1,7 @@
 """Registries as dimension tables.
 
 ``tools``: name, description, deprecated, params array<struct<name, type, required, enum, pattern,
-description>>, enum items as JSON texts. ``contracts``: tool_name, verified, rules array<struct<path, op,
+description, place>>, enum items as JSON texts, place in the list of required ones. ``contracts``: tool_name, verified, rules array<struct<path, op,
 value, message>>, values as JSON texts.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARAM = "struct<name:string,type:string,required:boolean,enum:array<string>,pattern:string,description:string>"
+PARAM = "struct<name:string,type:string,required:boolean,enum:array<string>,pattern:string,description:string,place:int>"
 TOOL_JSON = "name string, description string, deprecated boolean, parameters struct<required:array<string>, properties:map<string,variant>>"
 RULE = "struct<path:string,op:string,value:string,message:string>"
 
@@ -38,6 +38,7 @@ def params_of(properties: Column, required: Column) -> Column:
             F.transform(F.try_variant_get(v, "$.enum", "array<variant>"), lambda x: F.to_json(x)).alias("enum"),
             F.try_variant_get(v, "$.pattern", "string").alias("pattern"),
             F.try_variant_get(v, "$.description", "string").alias("description"),
+            F.array_position(F.coalesce(required, F.array().cast("array<string>")), e.key).cast("int").alias("place"),
         )
 
     return F.array_sort(F.transform(F.map_entries(properties), one))

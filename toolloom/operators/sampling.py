@@ -33,7 +33,7 @@ def sample_cap(df: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame:
 
 def numbered_ids(df: DataFrame, prefix: Column, order: list[str], by: list[str], width: int = 4) -> DataFrame:
     """Ids ``prefix`` + zero-padded number within ``by`` in ``order``."""
-    return df.withColumn("id", F.concat(prefix, F.lpad((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("string"), width, "0")))
+    return df.withColumn("id", F.concat(prefix, F.format_string(f"%0{width}d", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)))
 
 
 def tier(position: Column) -> Column:

@@ -37,9 +37,13 @@ def _quoted(text: Column) -> Column:
 
 
 def schema_issues(tool: Column, args: Column, tool_name: Column, bool_is_int: bool = True) -> Column:
-    """Issues of one call against its tool struct (null: unknown); the first two kinds stand alone."""
+    """Issues of one call against its tool struct (null: unknown); the first two kinds stand alone.
+
+    Missing arguments come in the order of the tool's list, all others in the order of the call's arguments.
+    """
     params = tool["params"]
-    missing = F.transform(F.filter(params, lambda p: p["required"] & ~F.map_contains_key(args, p["name"])), lambda p: issue("missing_arg", _path(p["name"]), F.concat(F.lit("Missing required argument: "), p["name"]), F.lit('"present"'), F.lit('"missing"')))
+    gone = F.array_sort(F.transform(F.filter(params, lambda p: p["required"] & ~F.map_contains_key(args, p["name"])), lambda p: F.struct(p["place"], p["name"])))
+    missing = F.transform(gone, lambda p: issue("missing_arg", _path(p["name"]), F.concat(F.lit("Missing required argument: "), p["name"]), F.lit('"present"'), F.lit('"missing"')))
     extra = F.transform(F.filter(F.map_keys(args), lambda k: ~F.exists(params, lambda p: p["name"] == k)), lambda k: issue("unknown_arg", _path(k), F.concat(F.lit("Unknown argument: "), k)))
 
     def one(p: Column) -> Column:
@@ -51,10 +55,10 @@ def schema_issues(tool: Column, args: Column, tool_name: Column, bool_is_int: bo
         shape = F.when(off, F.array(issue("pattern_mismatch", _path(p["name"]), F.concat(F.lit("Invalid format for "), p["name"]), _quoted(p["pattern"]), text))).otherwise(none_of())
         return F.concat(wrong, outside, shape)
 
-    known = F.filter(params, lambda p: F.map_contains_key(args, p["name"]))
+    known = F.flatten(F.transform(F.map_keys(args), lambda k: F.filter(params, lambda p: p["name"] == k)))
     return (
-        F.when(tool.isNull(), F.array(issue("unknown_tool", tool_name, F.concat(F.lit("Unknown tool: "), F.coalesce(tool_name, F.lit("null"))))))
-        .when(tool["deprecated"], F.array(issue("deprecated_tool", tool_name, F.concat(F.lit("Tool is deprecated: "), tool_name))))
+        F.when(tool.isNull(), F.array(issue("unknown_tool", F.lit("tool_name"), F.concat(F.lit("Unknown tool: "), F.coalesce(tool_name, F.lit("None"))))))
+        .when(tool["deprecated"], F.array(issue("deprecated_tool", F.lit("tool_name"), F.concat(F.lit("Tool is deprecated: "), tool["name"]))))
         .otherwise(F.concat(missing, extra, F.flatten(F.transform(known, one))))
     )
 

@@ -16,8 +16,9 @@ plans = Plans()
 _TOKENS = r"list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')))"
 _SIMILAR_SQL = f"""
     WITH t AS (SELECT doc_id, lang || '|' || source AS key, {_TOKENS} AS w FROM documents),
+    cl AS (SELECT key, w, min(doc_id) AS doc_id FROM t WHERE len(w) > 0 GROUP BY key, w),
     s AS (SELECT a.key, a.doc_id AS earlier, b.doc_id AS later, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS na, len(b.w) AS nb
-          FROM t a JOIN t b ON a.key = b.key AND a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= 0.85 * greatest(len(a.w), len(b.w)) WHERE len(a.w) > 0 AND len(b.w) > 0),
+          FROM cl a JOIN cl b ON a.key = b.key AND a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= 0.85 * greatest(len(a.w), len(b.w))),
     p AS (SELECT key, earlier, later, c / (na + nb - c) AS similarity FROM s WHERE c / (na + nb - c) > 0.85)
 """
 
@@ -31,7 +32,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_pairs(tokenized(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
-@plans.query(_SIMILAR_SQL + "SELECT doc_id FROM t WHERE doc_id NOT IN (SELECT later FROM p)")
+@plans.query(_SIMILAR_SQL + "SELECT doc_id FROM t WHERE len(w) = 0 UNION ALL SELECT doc_id FROM cl WHERE doc_id NOT IN (SELECT later FROM p)")
 def dedup_declarative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.drop_similar(tokenized(spark, sf_dir)).select(F.col("pos").alias("doc_id"))
 
@@ -54,11 +55,11 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.duplicates(table(spark, sf_dir, "documents"), ["lang", "source"], token_set(F.col("text")))
 
 
-@plans.query("SELECT event_id FROM events WHERE user_id % 2 = 0 AND (event_type, CAST(json_extract_string(props, '$.k') AS INT)) NOT IN (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) FROM events WHERE user_id % 2 = 1 AND event_id % 10 = 0)")
+@plans.query("SELECT event_id FROM events WHERE event_id % 100 <> 0 AND (event_type, CAST(json_extract_string(props, '$.k') AS INT)) NOT IN (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) FROM events WHERE event_id % 100 = 0)")
 def anti_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls whose signature no held-out call has."""
-    calls = table(spark, sf_dir, "events").select("event_id", "user_id", call_signature(F.col("event_type"), F.col("props")).alias("signature"))
-    return dedup.decontaminate(calls.where("user_id % 2 = 0"), calls.where("user_id % 2 = 1 and event_id % 10 = 0")).select("event_id")
+    calls = table(spark, sf_dir, "events").select("event_id", call_signature(F.col("event_type"), F.col("props")).alias("signature"))
+    return dedup.decontaminate(calls.where("event_id % 100 <> 0"), calls.where("event_id % 100 = 0")).select("event_id")  # two sides that are the whole table
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -38,8 +38,8 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ISSUES_SQL = """
     WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
     i AS (
-        SELECT event_id, event_type, 0 AS issue_ix, 'unknown_tool' AS code, 'error' AS path FROM e WHERE event_type = 'error'
-        UNION ALL SELECT event_id, event_type, 0, 'deprecated_tool', 'signup' FROM e WHERE event_type = 'signup'
+        SELECT event_id, event_type, 0 AS issue_ix, 'unknown_tool' AS code, 'tool_name' AS path FROM e WHERE event_type = 'error'
+        UNION ALL SELECT event_id, event_type, 0, 'deprecated_tool', 'tool_name' FROM e WHERE event_type = 'signup'
         UNION ALL SELECT event_id, event_type, 0, 'invalid_enum', 'arguments.k' FROM e WHERE event_type = 'click' AND k NOT IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
         UNION ALL SELECT event_id, event_type, 0, 'missing_arg', 'arguments.page' FROM e WHERE event_type = 'view'
         UNION ALL SELECT event_id, event_type, 1, 'invalid_type', 'arguments.k' FROM e WHERE event_type = 'view'
@@ -143,16 +143,92 @@ def state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select(F.col("c_custkey").alias("customer_id"), F.size("calls").cast("long").alias("n_payments"), F.round("after.outstanding_balance", 2).alias("outstanding"), (F.col("least") == "F").alias("any_f"))
 
 
-@plans.query(
-    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '{"balance":' || CAST(c_nationkey AS VARCHAR) || '.0,"outstanding_balance":0.0}' WHEN 1 THEN '{"plan_id":"' || c_mktsegment || '","status":"active"}'
-                               WHEN 2 THEN '{"verified":' || CASE WHEN c_nationkey = 3 THEN 'true' ELSE 'false' END || '}' ELSE '{"status":"suspended"}' END AS output FROM customer"""
-)
+#: The tools that customers call in turn: all that are supported and an unknown one.
+TOOLS_IN_TURN = [*sorted([*executor.OUTPUTS, *executor.LOOKUPS]), "reboot"]
+
+
+def _answers_sql() -> str:
+    """All tools in turn over the customers, with one that is unknown; every eleventh customer is no subscriber."""
+    k = "CAST(c_custkey AS VARCHAR)"
+    answers = {
+        "get_balance": f"'{{\"balance\":' || CAST(c_nationkey AS VARCHAR) || '.0,\"outstanding_balance\":20.0}}'",
+        "get_current_plan": "'{\"plan_id\":\"' || c_mktsegment || '\",\"status\":\"active\"}'",
+        "get_usage": "'{\"data_used_gb\":0.0,\"voice_minutes\":' || CAST(c_nationkey AS VARCHAR) || '}'",
+        "get_customer_profile": f"'{{\"customer_id\":\"' || {k} || '\",\"status\":\"active\",\"plan_id\":\"' || c_mktsegment || '\",\"billing_email\":null}}'",
+        "add_data_package": "'{\"package_code\":\"D' || CAST(c_nationkey AS VARCHAR) || '\",\"status\":\"queued\"}'",
+        "change_plan": "'{\"plan_id\":\"P2\",\"status\":\"changed\"}'",
+        "suspend_line": "'{\"status\":\"suspended\",\"reason\":\"lost\"}'",
+        "resume_line": "'{\"status\":\"active\"}'",
+        "cancel_subscription": "'{\"status\":\"cancelled\"}'",
+        "report_lost_sim": "'{\"lost_sim_reported\":true}'",
+        "update_billing_email": "'{\"billing_email\":\"a@b.c\"}'",
+        "enable_roaming": "'{\"roaming_enabled\":true,\"country\":\"FR\"}'",
+        "disable_roaming": "'{\"roaming_enabled\":false}'",
+        "pay_bill": "'{\"outstanding_balance\":' || CAST(greatest(0, 20 - c_nationkey) AS VARCHAR) || '.0,\"paid_amount\":' || CAST(c_nationkey AS VARCHAR) || '}'",
+        "activate_esim": "'{\"esim_active\":true,\"eid\":\"E1\"}'",
+        "replace_sim": "'{\"sim_type\":\"esim\",\"status\":\"replacement_queued\"}'",
+        "open_support_ticket": f"'{{\"ticket_id\":\"T0001\",\"customer_id\":\"' || {k} || '\",\"category\":\"billing\",\"priority\":\"normal\"}}'",
+        "close_support_ticket": "'{\"ticket_id\":\"T0009\",\"status\":\"closed\"}'",
+        "check_network_status": "CASE WHEN c_nationkey < 20 THEN '{\"area_code\":\"' || CAST(c_nationkey AS VARCHAR) || '\",\"status\":\"' || (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey) || '\",\"incident\":null}' ELSE '{\"area_code\":\"' || CAST(c_nationkey AS VARCHAR) || '\",\"status\":\"unknown\"}' END",
+        "list_available_plans": "(SELECT '{\"plans\":[' || string_agg('{\"plan_id\":\"' || r_name || '\",\"monthly_fee\":' || CAST(r_regionkey AS VARCHAR) || '}', ',' ORDER BY r_name) || ']}' FROM region)",
+        "send_otp": "'{\"otp_sent\":true,\"channel\":\"sms\"}'",
+        "verify_otp": "'{\"verified\":' || CASE WHEN c_nationkey = 3 THEN 'true' ELSE 'false' END || '}'",
+        "apply_late_fee_waiver": "'{\"waiver_applied\":true,\"amount\":' || CAST(c_nationkey AS VARCHAR) || '}'",
+        "increase_credit_limit": "'{\"credit_limit\":500}'",
+        "set_spending_limit": "'{\"spending_limit\":70}'",
+        "block_premium_sms": "'{\"premium_sms_blocked\":true}'",
+        "unblock_premium_sms": "'{\"premium_sms_blocked\":false}'",
+        "register_autopay": "'{\"autopay_enabled\":true}'",
+        "remove_autopay": "'{\"autopay_enabled\":false}'",
+        "transfer_ownership": f"'{{\"owner_id\":\"' || CAST(c_custkey + 1 AS VARCHAR) || '\"}}'",
+    }
+    rows = " ".join(f"WHEN {i} THEN {answers[name]}" for i, name in enumerate(TOOLS_IN_TURN) if name in answers)
+    return f"""SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CASE c_custkey % {len(TOOLS_IN_TURN)} {rows} END END AS output,
+                      CASE WHEN c_custkey % 11 = 0 THEN 'Subscriber not found: ' || {k} WHEN c_custkey % {len(TOOLS_IN_TURN)} = {TOOLS_IN_TURN.index("reboot")} THEN 'Unsupported tool: reboot' END AS error FROM customer"""
+
+
+
+@plans.query(_answers_sql())
 def executor_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers and errors of every tool, nations as areas and regions as plans."""
+    c = F.col
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    state = F.from_json(F.to_json(F.struct(F.lit("active").alias("status"), F.col("c_mktsegment").alias("plan_id"), F.col("c_nationkey").cast("double").alias("balance"), F.lit(0.0).alias("outstanding_balance"))), executor.STATE)
-    tool = F.element_at(F.array(*map(F.lit, ("get_balance", "get_current_plan", "verify_otp", "suspend_line"))), (F.col("c_custkey") % 4).cast("int") + 1)
-    args = args_map(F.to_json(F.struct(F.when(F.col("c_nationkey") == 3, executor.TEST_CODE).otherwise("0").alias("otp"))))
-    return people.withColumn("state", state).select("c_custkey", executor.output(F.col("state"), tool, args).alias("output"))
+    made = F.struct(c("c_custkey").cast("string").alias("customer_id"), F.lit("active").alias("status"), c("c_mktsegment").alias("plan_id"), c("c_nationkey").cast("double").alias("balance"), F.lit(20.0).alias("outstanding_balance"), c("c_nationkey").alias("voice_minutes"))
+    state = F.when(c("c_custkey") % 11 != 0, F.from_json(F.to_json(made), executor.STATE))
+    tool = F.element_at(F.array(*map(F.lit, TOOLS_IN_TURN)), (c("c_custkey") % len(TOOLS_IN_TURN)).cast("int") + 1)
+    area = c("c_nationkey").cast("string")
+    args = F.struct(
+        c("c_custkey").cast("string").alias("customer_id"), F.when(c("c_nationkey") == 3, executor.TEST_CODE).otherwise("0").alias("otp"), c("c_nationkey").alias("amount"), area.alias("area_code"),
+        F.concat(F.lit("D"), area).alias("package_code"), (c("c_custkey") + 1).cast("string").alias("new_owner_id"), F.lit(500).alias("new_limit"), F.lit(70).alias("limit"),
+        *(F.lit(v).alias(k) for k, v in {"new_plan": "P2", "reason": "lost", "email": "a@b.c", "country": "FR", "eid": "E1", "sim_type": "esim", "category": "billing", "ticket_id": "T0009", "channel": "sms"}.items()),
+    )
+    networks = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(c("n_nationkey").cast("string").alias("area_code"), c("n_name").alias("status"), F.lit(None).cast("string").alias("incident"))
+    fees = table(spark, sf_dir, "region").select(c("r_name").alias("plan_id"), c("r_regionkey").alias("monthly_fee"))
+    calls = people.select("c_custkey", state.alias("state"), tool.alias("tool"), args_map(F.to_json(args)).alias("args")).crossJoin(F.broadcast(executor.lookups(networks, fees)))  # one row
+    answer = executor.output(c("state"), c("tool"), c("args"), c("networks"), c("plans"))
+    return calls.select("c_custkey", answer.alias("output"), executor.execution_error(c("tool"), c("state"), c("c_custkey").cast("string")).alias("error"))
+
+
+@plans.query(
+    """WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS code, s_nationkey AS loc, s_name AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY CAST(s_suppkey AS VARCHAR)) AS r, row_number() OVER (ORDER BY CAST(s_suppkey AS VARCHAR)) AS a FROM supplier WHERE s_nationkey % 5 <> 0),
+            l AS (SELECT loc, count(*) AS n, string_agg(code || ':' || name, ',' ORDER BY code) AS held FROM s WHERE r <= 3 GROUP BY loc),
+            w AS (SELECT count(*) AS n, string_agg(code || ':' || name, ',' ORDER BY code) AS held FROM s WHERE a <= 3)
+       SELECT c_custkey AS id, coalesce(l.n, w.n) AS n, coalesce(l.held, w.held) AS stations, CASE c_custkey % 5 WHEN 1 THEN 'tilt_deg' WHEN 2 THEN 'antenna_height_m' WHEN 3 THEN 'distance_km' ELSE 'status' END AS field, true AS in_range
+       FROM customer LEFT JOIN l ON c_nationkey = l.loc, w"""
+)
+def build_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations (suppliers) that a listing by location shows, those of the whole catalogue where it has none; one attribute by the query's kind."""
+    stations = table(spark, sf_dir, "supplier").where("s_nationkey % 5 <> 0").select(F.col("s_suppkey").cast("string").alias("station_code"), F.col("s_nationkey").cast("string").alias("location_code"), F.col("s_name").alias("name"))
+    kind = F.element_at(F.array(F.lit(None).cast("string"), *map(F.lit, ("tilt", "antenna_height", "station_distance", "none such"))), (F.col("c_custkey") % 5).cast("int") + 1)
+    calls = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("location"), kind.alias("query_type"))
+    seen = executor.observation(calls, stations).withColumn("o", F.from_json("observation", "count int, location string, stations array<map<string,string>>"))
+    field = F.array_except(F.map_keys(F.col("o.stations")[0]), F.array(F.lit("station_code"), F.lit("name")))[0]
+    values = F.transform("o.stations", lambda s: F.try_element_at(s, field))
+    ranges = {f: [str(v) for v in x] for f, x in executor.ATTRIBUTES.values()}
+    fits = F.lit(False)
+    for f, allowed in ranges.items():
+        fits = fits | ((field == f) & (F.size(F.array_except(values, F.array(*map(F.lit, dict.fromkeys(allowed))))) == 0))
+    return seen.select("id", F.col("o.count").cast("long").alias("n"), F.array_join(F.transform("o.stations", lambda s: F.concat(s["station_code"], F.lit(":"), s["name"])), ",").alias("stations"), field.alias("field"), (fits & (F.col("o.location") == F.col("location"))).alias("in_range"))
 
 
 # Two lines of an order as predicted and gold arguments.
@@ -227,50 +303,6 @@ def date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy((~is_date(F.col("from_date"))).alias("bad_form"), (is_date(F.col("from_date")) & (F.col("from_date") > F.col("to_date"))).alias("reversed")).agg(F.count("*").alias("n"))
 
 
-@plans.query(
-    """SELECT CASE WHEN length(trim(o_orderpriority)) < 8 THEN 'schema_fail' WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'schema_fail' WHEN o_orderkey % 5 = 0 THEN 'schema_fail'
-                   WHEN o_orderkey % 7 = 0 THEN 'date_fail' WHEN o_orderkey % 11 = 0 THEN 'city_fail' WHEN o_orderstatus <> 'P' AND o_orderkey % 2 = 0 THEN 'semantic_fail' ELSE 'kept' END AS outcome, count(*) AS n
-       FROM orders GROUP BY 1"""
-)
-def verify_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by the first verification layer that they fail."""
-    k = F.col("o_orderkey")
-    family = F.when(F.col("o_orderstatus") == "P", "masking").otherwise("single_step_valid")
-    fail = audit.first_fail(F.col("o_orderpriority"), ~((F.col("o_orderstatus") == "F") & (k % 3 == 0)), k % 5 != 0, k % 7 != 0, k % 11 != 0, k % 2 != 0, family)
-    return reports.funnel(table(spark, sf_dir, "orders").select(fail.alias("first_fail")), "first_fail")
-
-
-@plans.query(
-    """WITH r AS (SELECT event_id AS id, user_id % 3 AS file, event_type, event_id % 4 AS act, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
-       c AS (
-        SELECT file, 'short_instruction' AS "check" FROM r WHERE length(event_type) < 8
-        UNION ALL SELECT file, 'missing_gold_call' FROM r WHERE act = 0 AND k % 2 = 0
-        UNION ALL SELECT file, 'missing_gold_calls' FROM r WHERE act = 1 AND k % 3 = 0
-        UNION ALL SELECT file, 'missing_clar_fields' FROM r WHERE act = 2 AND k % 5 = 0
-        UNION ALL SELECT file, 'missing_abstain_reason' FROM r WHERE act = 3 AND k % 7 = 0
-        UNION ALL SELECT file, 'bad_date_format' FROM r WHERE k % 11 = 0
-        UNION ALL SELECT file, 'placeholder_leak' FROM r WHERE k % 13 = 0
-        UNION ALL SELECT file, 'masked_name_not_in_instruction' FROM r WHERE k % 17 = 0
-        UNION ALL SELECT file, 'missing_slot_not_required' FROM r WHERE act = 2 AND k % 5 <> 0
-        UNION ALL SELECT file, 'missing_slot_present_in_checker' FROM r WHERE act = 2 AND k % 5 <> 0 AND k % 2 = 1
-        UNION ALL SELECT file, 'date_pair_incomplete' FROM r WHERE act = 2 AND k % 5 <> 0)
-       SELECT file, "check", count(*) AS n FROM c GROUP BY 1, 2"""
-)
-def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed row checks of events dressed as samples, by file and check."""
-    k, act = F.get_json_object("props", "$.k").cast("int"), (F.col("event_id") % 4).cast("int")
-    args = F.to_json(F.struct(F.when(k % 11 == 0, "soon").alias("from_date"), F.when(k % 13 == 0, validation.PLACEHOLDER).alias("station")))
-    rows = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), (F.col("user_id") % 3).alias("file"), F.col("event_type").alias("instruction"),
-        F.element_at(F.array(*map(F.lit, ("call_function", "call_functions", "ask_clarification", "abstain"))), act + 1).alias("expected_action"),
-        F.when(k % 2 != 0, F.lit("{}")).alias("gold_call"), F.when(k % 3 != 0, F.array(F.lit("x"), F.lit("y"))).alias("gold_calls"),
-        F.when(k % 5 != 0, F.array(F.lit("from_date"))).alias("missing_slots"), F.when(k % 7 != 0, "why").alias("reason"),
-        F.array(F.struct(F.lit("t").alias("tool_name"), args_map(args).alias("arguments"))).alias("calls"), F.when(k % 17 == 0, "func_1").alias("masked_name"),
-        F.array(F.lit("to_date")).alias("required"), args_map(F.when(k % 2 == 1, '{"from_date": "x"}').otherwise("{}")).alias("checker_args"),
-    )
-    return audit.audit(rows).groupBy("file", "check").agg(F.count("*").alias("n"))
-
-
 # An order's lines in two orders as gold and predicted calls.
 _CALLS_SQL = """
     WITH g AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, l_returnflag || l_linestatus AS tool, CAST(l_quantity AS INT) % 2 AS q FROM lineitem),

@@ -20,6 +20,12 @@ CALL = "struct<tool_name:string,arguments:string>"
 SAMPLE = f"id string, source string, split string, scenario string, scenario_family string, instruction string, customer_verified boolean, expected_action string, expected_status string, generator string, gold_call {CALL}, gold_calls array<{CALL}>, gold_steps array<{CALL}>, missing_slots array<string>, checker_call {CALL}, checker_expected_status string, masked_tool struct<name:string,original_name:string,parameters:string>, prediction struct<action:string,call:{CALL},calls:array<{CALL}>,asked_slots:array<string>,reason:string,parse_error:string>"
 
 
+def _in_file_order(df: DataFrame, name: str = "pos") -> DataFrame:
+    """``df``, read straight from files, with a place that orders rows by file name and line, however files are dealt to tasks."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn(name, place)
+
+
 def json_lines(spark: SparkSession, path: str | list[str], schema: str = SAMPLE) -> DataFrame:
     """JSON lines with a fixed schema; blank lines are skipped; ``file`` and ``pos`` order them."""
     df = spark.read.schema(schema).json(path)
@@ -29,15 +35,23 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str = SAMPLE)
 def json_any(spark: SparkSession, path: str) -> DataFrame:
     """``file, pos, json`` of items of JSON lines (``.jsonl``), of a list, of ``{"data": [...]}`` or of a single object.
 
-    An empty file gives nothing; other JSON raises.
+    Lines are read as lines, so files of them may have any size and are split; ``pos`` orders the items of a file. Other
+    files are one JSON value and must fit a row. An empty file gives nothing; other JSON raises.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
-    lines = whole.where(F.col("file").endswith(".jsonl")).select("file", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("pos", "json"))
-    v = F.parse_json("value")
-    kind = F.schema_of_variant(v)
-    listed = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).when(F.try_variant_get(v, "$.data", "array<variant>").isNotNull(), F.try_variant_get(v, "$.data", "array<variant>")).when(kind.startswith("OBJECT"), F.array(v)).otherwise(F.raise_error(F.lit("neither list nor object")).cast("array<variant>"))
-    docs = whole.where(~F.col("file").endswith(".jsonl") & (F.trim("value") != "")).select("file", F.posexplode(listed).alias("pos", "v")).select("file", "pos", F.to_json("v").alias("json"))
-    return lines.union(docs)
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path) if path.endswith(".jsonl") or not path.endswith(".json") else None
+    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*[!l]").text(path) if not path.endswith(".jsonl") else None
+    parts = []
+    if lines is not None:
+        # places within a file: the block's begin in the upper bits, the row's place in its task in the lower ones
+        at = F.col("_metadata.file_block_start") * F.lit(1 << 20) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        parts.append(lines.select(F.col("_metadata.file_name").alias("file"), at.alias("pos"), F.col("value").alias("json")).where(F.trim("json") != ""))
+    if whole is not None:
+        whole = whole.select(F.col("_metadata.file_name").alias("file"), F.col("value"))
+        v = F.parse_json("value")
+        kind = F.schema_of_variant(v)
+        listed = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).when(F.try_variant_get(v, "$.data", "array<variant>").isNotNull(), F.try_variant_get(v, "$.data", "array<variant>")).when(kind.startswith("OBJECT"), F.array(v)).otherwise(F.raise_error(F.lit("neither list nor object")).cast("array<variant>"))
+        parts.append(whole.where(F.trim("value") != "").select("file", F.posexplode(listed).alias("pos", "v")).select("file", F.col("pos").cast("long").alias("pos"), F.to_json("v").alias("json")))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
 
 
 def samples(spark: SparkSession, folder: str, prefix: str = "eval_", exclude: tuple[str, ...] = (), schema: str = SAMPLE) -> DataFrame:
@@ -63,13 +77,13 @@ def optional(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
 
 def tool_registry(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of tools as the tools table; of equal names the last wins."""
-    return tools(spark.read.schema(TOOL_JSON).option("multiLine", True).json(path).withColumn("pos", F.monotonically_increasing_id()))
+    return tools(_in_file_order(spark.read.schema(TOOL_JSON).option("multiLine", True).json(path)))
 
 
 def contract_registry(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of contracts: ``tool_name, contract`` with rules; rule values as JSON texts."""
     schema = "tool_name string, requires_customer_verified boolean, preconditions array<struct<path:string, op:string, value:variant, message:string>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("pos", F.monotonically_increasing_id())
+    raw = _in_file_order(spark.read.schema(schema).option("multiLine", True).json(path))
     rules = F.transform(F.coalesce("preconditions", F.array().cast("array<struct<path:string,op:string,value:variant,message:string>>")), lambda r: F.struct(r["path"].alias("path"), r["op"].alias("op"), F.to_json(r["value"]).alias("value"), r["message"].alias("message")))
     return last_wins(raw, ["tool_name"], F.col("pos")).select("tool_name", F.struct(F.coalesce("requires_customer_verified", F.lit(False)).alias("verified"), rules.alias("rules")).alias("contract"))
 
@@ -88,7 +102,7 @@ def state_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def results(spark: SparkSession, path: str) -> DataFrame:
     """``id, split, family, expected_action, reward`` of result lines: reward, else strict reward, else 0; of equal ids the last wins; rows without id go."""
     schema = "id string, split string, scenario_family string, reward double, reward_strict double, prediction struct<action:string>"
-    raw = spark.read.schema(schema).json(path).where(F.col("id").isNotNull()).withColumn("pos", F.monotonically_increasing_id())
+    raw = _in_file_order(spark.read.schema(schema).json(path)).where(F.col("id").isNotNull())
     return last_wins(raw, ["id"], F.col("pos")).select("id", "split", F.coalesce("scenario_family", "split").alias("family"), F.col("prediction.action").alias("expected_action"), F.coalesce("reward", "reward_strict", F.lit(0.0)).alias("reward"))
 
 

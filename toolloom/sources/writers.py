@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolloom.operators.reports import markdown
@@ -22,15 +20,36 @@ def by_split(df: DataFrame, path: str, split: str = "split") -> DataFrame:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Replace a table that ``df`` may itself read: write beside it, then rename. Readers see the old or the new one."""
-    spark, shadow, old = df.sparkSession, f"{path}.shadow-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.json(shadow)
+    """Replace a JSON table that ``df`` may itself read: a new version beside the old ones, then the pointer moves to it.
+
+    ``path`` holds folders ``v=<number>``; a version counts once it has its ``_SUCCESS``, and readers (``current``) take
+    the last that counts, so they see the old table or the new one, whole. The version before stays for readers that have
+    begun, older ones go.
+    """
+    spark = df.sparkSession
+    done = versions(spark, path)
+    df.write.json(f"{path}/v={done[-1] + 1 if done else 0:09d}")
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    for old in done[:-1]:
+        target = to(f"{path}/v={old:09d}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions of a replaced table, in order."""
     to = spark._jvm.org.apache.hadoop.fs.Path
     fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(to(path)):
-        fs.rename(to(path), to(old))
-    fs.rename(to(shadow), to(path))
-    fs.delete(to(old), True)
+    found = fs.globStatus(to(f"{path}/v=*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName()[2:]) for f in found)
+
+
+def current(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The last finished version of a replaced table; ValueError where there is none."""
+    done = versions(spark, path)
+    if not done:
+        raise ValueError(f"no finished version below {path}")
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(f"{path}/v={done[-1]:09d}")
 
 
 def append_missing(jobs: DataFrame, path: str, key: str, work) -> None:
@@ -58,5 +77,5 @@ def report(df: DataFrame, title: str, path: str) -> str:
 
 
 def tail(df: DataFrame, n: int, position: str) -> DataFrame:
-    """The last ``n`` rows by position."""
-    return df.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(position)))).where(F.col("_r") <= n).drop("_r")
+    """The last ``n`` rows by position: a top-k, not a sort of all rows."""
+    return df.orderBy(F.desc(position)).limit(n)
