@@ -93,11 +93,32 @@ def test_base_spans_are_those_of_the_patterns():
 @pytest.fixture(scope="module")
 def tagger():
     model = pii.Tagger()
-    snippets = ["And then it went on to the old house, as ever. So they came and"] * 3
-    model.train(*pii.training_set(snippets, 1200), epochs=6)
+    snippets = ["And then it went on to the old house, as ever. So they came and 3 of 4"] * 300
+    model.train(*pii.training_set(snippets))
     return model
 
 
+def test_added_spans_find_what_the_patterns_miss(tagger):
+    """Recall and precision on held-out texts with items in plain and in broken layouts."""
+    rng = np.random.default_rng(77)
+    plain = ["Over the hill and far away, the river was as it had been", "und dann war es so weit, wie immer im alten Haus", "Le soir il est venu, comme toujours."]
+    items = base_found = found = added = right = 0
+    for _ in range(400):
+        text, gold = plain[rng.integers(3)] + " ", []
+        for _ in range(rng.integers(1, 4)):
+            while True:
+                kind, item = pii._invented(rng)
+                if pii.passes(kind, item):
+                    break
+            gold.append((kind, len(text), len(text) + len(item)))
+            text += item + str(rng.choice([" ", ", ", "; ", ". ", "\n"]))
+        base, more = pii.find([text + plain[rng.integers(3)]], tagger)[0]
+        items, base_found, found = items + len(gold), base_found + len(set(gold) & set(base)), found + len(set(gold) & set(base + more))
+        added, right = added + len(more), right + len(set(more) & set(gold))
+    assert found - base_found >= 0.3 * items and found >= 0.9 * items
+    assert right >= 0.97 * added
+
+
 def test_gradients_are_those_of_the_loss():
     x, y = pii.training_set(["abc 1.2.3.4 d"], 6)
     model = pii.Tagger(3, 4)
@@ -133,6 +154,7 @@ def test_added_spans_keep_base_ones(tagger):
 def test_windows_without_anchor_add_nothing(tagger):
     text = "word " * 100 + "mail me at joe@example.org or +44 20 7946 0958 " + "word " * 100
     every = [b for b in range(0, len(text), pii.WINDOW // 2)]
+    assert list(pii.windows("word " * 99 + "joe [at] host (dot) org " + "word " * 99)) and not list(pii.windows("he sat at home, a dot on the line " * 30))
     assert set(pii.windows(text)) < set(every)
     assert {b for b in every if re.search("[0-9@]", text[b : b + pii.WINDOW])} == set(pii.windows(text))
 
@@ -266,3 +288,59 @@ def test_pruned_probes_are_the_best():
 def test_readme_states_the_training_windows():
     row = next(x for x in (Path(__file__).parents[2] / "README.md").read_text().splitlines() if x.startswith("| 5 personal data"))
     assert f"{pii.CORPUS_WINDOWS:,} windows" in row and f"{pii.INVENTED_WINDOWS:,} with invented" in row
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    x[1], x[2] = x[0] * (1 + 1e-15), x[0] + 1e-9 * rng.normal(size=8)
+    x[3] = np.where(np.arange(8) == 0, 1e300, 1e290)
+    x[4] = x[3] * np.where(np.arange(8) == 1, 1.0 + 1e-6, 1.0)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.search(df, df["vec_id"].isin(0, 3)).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in rows if r["query_id"] == 0][:2] == [1, 2]
+    assert [r["vec_id"] for r in rows if r["query_id"] == 3][0] == 4
+    for r in rows:
+        q, v = x[r["query_id"]], x[r["vec_id"]]
+        q, v = q / np.abs(q).max(), v / np.abs(v).max()
+        assert r["score"] == pytest.approx(q @ v / np.sqrt(q @ q) / np.sqrt(v @ v), abs=1e-14)
+
+
+def test_cells_and_lots_change_nothing(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(300, 12)).astype(np.float32)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = sorted(map(tuple, neighbours.search(df, df["vec_id"] % 3 == 0).collect()))
+    monkeypatch.setattr(neighbours, "CELL", 7)
+    assert sorted(map(tuple, neighbours.search(df, df["vec_id"] % 3 == 0).collect())) == want
+
+
+def test_windows_that_many_items_share(spark):
+    shared = " ".join(f"s{i}" for i in range(12))
+    items = [(i, f"{shared} own{i}") for i in range(300)] + [(999, "nothing of it " * 5)]
+    docs = [(1, f"before {shared} after"), (2, "s0 s1 s2"), (3, None), (4, f"{shared} own7 " * 3)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (dc.BLOCK_WORDS, 600):
+        rows = {r["doc_id"]: r for r in dc.report(d, b, block_words=block).collect()}
+        for doc_id, text in docs:
+            n, hit, found = brute_hits(text, items)
+            assert (rows[doc_id]["n_words"], rows[doc_id]["n_hit"], rows[doc_id]["n_items"]) == (n, hit, len(found))
+    long = spark.createDataFrame([(1, "filler " * 300_000 + shared)], "doc_id long, text string")
+    assert dc.report(long, b).first()["n_hit"] == 12
+    assert dc.remove(d.limit(0), b).count() == 0 and dc.remove(d, b.limit(0)).count() == 4
+
+
+def test_one_id_under_several_texts_is_learnt_once(spark):
+    rng = random.Random(4)
+    rows = [(i, good_text(rng)) for i in range(200)] + [(i, good_text(rng).upper().replace(" ", "!! ")) for i in range(200, 300)] + [(5, "x " * 50)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(300)], "doc_id long, quality int")
+    first = sorted(map(tuple, quality.scores(docs, labels, sample=150).collect()))
+    assert sorted(map(tuple, quality.scores(docs.repartition(7), labels, sample=150).collect())) == first
+    assert quality.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_redaction_of_empty_tables_and_clashing_columns(spark, tagger):
+    df = spark.createDataFrame([(1, "So they came to see joe77 [at] host (dot) org and went on to the old house", "s", 9), (None, "", None, 0)], "doc_id long, text string, spans string, n_chars long")
+    rows = pii.redact(df, tagger).collect()
+    assert [(r["spans"], r["n_chars"]) for r in rows] == [("s", len(rows[0]["text"])), (None, 0)] and "host" not in rows[0]["text"]
+    assert pii.redact(df.limit(0), tagger).count() == 0

@@ -1,5 +1,6 @@
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -46,7 +47,7 @@ def test_full_caches_change_nothing(enc, monkeypatch):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["alpha", "beta.", "Gamma", "x1", "été,"]) + rng.choice("ab") for _ in range(20)) for _ in range(20)]
     fresh = Encoder.__new__(Encoder)
-    fresh.__dict__.update(enc.__dict__ | {"words": {}, "chunks": {}})
+    fresh.__dict__.update(enc.__dict__ | {"words": {}, "chunks": {}, "share": 0.8})
     for t in texts:
         assert fresh.batch([t]) == library(enc, [t])
 
@@ -87,7 +88,9 @@ def test_files_round_trip(spark, docs):
     path = common.new_path(spark, "test")
     token_files.write_tokens(docs, vocabulary(FILES[0]), 1, path)
     got = token_files.read_tokens(spark, path).orderBy("start").collect()
-    want = sorted(expected(enc, docs, 1), key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]), r[1]))
+    width = token_files.id_width(vocabulary(FILES[0]))
+    packed = lambda x: zlib.crc32(np.frombuffer(x, "<u4").astype(width).tobytes())
+    want = sorted(expected(enc, docs, 1), key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]), packed(r[1])))
     assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(d, len(x) // 4) for d, x in want]
     assert [r["ids_crc32"] for r in got] == [zlib.crc32(x) for _, x in want]
     assert [r["start"] for r in got] == np.cumsum([0, *(len(x) // 4 for _, x in want)])[:-1].tolist()
@@ -183,3 +186,66 @@ def test_empty_tables(spark, docs):
     assert token_counts.token_counts(none, vocabulary(FILES[1]), common.new_path(spark, "cache"), 1).count() == 0
     token_files.write_tokens(none, vocabulary(FILES[0]), 1, path)
     assert token_files.read_tokens(spark, path).count() == 0
+
+
+def sequential_round_robin(tokens, weights, quantum):
+    """Stream positions of the quanta of each queue, one served after the other: the queue whose deficit is due first."""
+    served, at, out = [0] * len(tokens), 0, [[] for _ in tokens]
+    while True:
+        open_queues = [q for q in range(len(tokens)) if served[q] * quantum < tokens[q]]
+        if not open_queues:
+            return out
+        q = min(open_queues, key=lambda q: (Fraction(2 * served[q] + 1, 2 * weights[q]), q))
+        out[q].append(at)
+        at += min(quantum, tokens[q] - served[q] * quantum)
+        served[q] += 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_places_are_those_of_a_sequential_round_robin(seed):
+    rng = random.Random(seed)
+    tokens = np.array([rng.randrange(1, 4000) for _ in range(rng.randrange(1, 7))], np.int64)
+    weights = tokens if seed % 2 else np.array([rng.randrange(1, 9) for _ in tokens], np.int64)
+    want = sequential_round_robin(tokens.tolist(), weights.tolist(), 64)
+    for q in range(len(tokens)):
+        k = np.arange(-(-tokens[q] // 64))
+        assert packing.positions(q, k, tokens, weights, 64).tolist() == want[q]
+
+
+def test_rows_lie_where_their_numbers_say(spark, docs):
+    rows = sharding.shard(docs, 5, seed=9).collect()
+    numbers = np.array([r["row_number"] for r in rows])
+    where, slot = sharding.locate(numbers, len(rows), 5, 9)
+    assert sorted(numbers.tolist()) == list(range(len(rows)))
+    assert [(r["shard"], r["slot"]) for r in rows] == list(zip(where.tolist(), slot.tolist()))
+    back = sharding.permute(slot * 5 + where, len(rows), 9, inverse=True)
+    assert back.tolist() == numbers.tolist()
+
+
+def test_filled_cache_with_a_hot_text_encodes_only_what_is_new(spark):
+    cache, path = common.new_path(spark, "cache"), vocabulary(FILES[1])
+    old = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    token_counts.token_counts(old, path, cache, 10).collect()
+    hot = [(100 + i, "a hot text " * 3) for i in range(400)] + [(900, None), (901, "text 3"), (None, "text 4"), (902, "new")]
+    rows = token_counts.token_counts(spark.createDataFrame(hot, "doc_id long, text string").repartition(5), path, cache, 5).collect()
+    enc = Encoder(path)
+    want = {t: len(enc.tok.encode(t or "", add_special_tokens=False).ids) for _, t in hot}
+    assert len(rows) == len(hot) and {r["doc_id"]: r["n_tokens"] for r in rows} == {d: want[t] for d, t in hot}
+    stored = spark.read.parquet(cache)
+    assert stored.count() == stored.select("content_digest").distinct().count() == 50 + 3
+
+
+def test_string_ids_in_files(spark):
+    rows = [("b", "x y"), ("a", "z"), (None, "q"), ("a", "z"), ("c", None)]
+    path = common.new_path(spark, "ids")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id string, text string"), vocabulary(FILES[0]), 1, path)
+    got = token_files.read_tokens(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, "a", "a", "b", "c"] and got[-1]["n_tokens"] == 1
+
+
+def test_very_long_texts(spark):
+    long = "word and word, " * 200_000
+    df = spark.createDataFrame([(1, long, "s"), (2, "short", "s")], "doc_id long, text string, source string")
+    rows = packing.pack_documents(df, vocabulary(FILES[0]), 2).collect()
+    enc = Encoder(vocabulary(FILES[0]))
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == len(enc.tok.encode(long, add_special_tokens=False).ids) + 1

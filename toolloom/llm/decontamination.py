@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from toolloom.llm import common
 
 SIZE = 10
-#: Words of the benchmark that one broadcast holds: about 100 MB in a worker.
-BLOCK_WORDS = 2_000_000
+#: Words of the benchmark that one broadcast holds: at most some 100 MB in a worker, if all of them are different.
+BLOCK_WORDS = 500_000
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 LOWERED = {c: c + 32 for c in range(65, 91)}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -51,30 +52,43 @@ def _hashes(numbers: np.ndarray, size: int) -> np.ndarray:
 
 
 class Index:
-    """Windows of benchmark items: numbers of words, and by window length the sorted hashes with their windows."""
+    """Windows of benchmark items: numbers of words, and by window length the sorted hashes with a place and the owners of each window.
+
+    A word of the items takes 4 bytes, a window 20 and 4 for each further owner; different words take some 150 bytes.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], size: int = SIZE):
         self.words: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item, words in items:
-            numbers = [self.words.setdefault(w, len(self.words) + 1) for w in words]
-            for i in range(max(1, len(numbers) - size + 1) if numbers else 0):
-                windows.setdefault(tuple(numbers[i : i + size]), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, list[frozenset[str]]]] = {}
-        for length in sorted({len(w) for w in windows}):
-            own = [w for w in windows if len(w) == length]
-            rows = np.array(own, np.int64).reshape(len(own), length)
-            h = np.array([_hashes(r, length)[0] for r in rows], np.uint64)
-            order = np.argsort(h, kind="stable")
-            self.by_length[length] = h[order], rows[order], [frozenset(windows[own[i]]) for i in order]
+        self.names = [item for item, _ in items]
+        numbers = [np.fromiter((self.words.setdefault(w, len(self.words) + 1) for w in words), np.int32, len(words)) for _, words in items]
+        self.flat = np.concatenate([*numbers, np.zeros(0, np.int32)])
+        begins = np.cumsum([0, *map(len, numbers)])
+        own: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for item, row in enumerate(numbers):
+            if len(row):
+                h = _hashes(row.astype(np.int64), n := min(size, len(row)))
+                own.setdefault(n, []).append((h, begins[item] + np.arange(len(h)), np.full(len(h), item, np.int32)))
+        self.by_length = {n: self._grouped(n, *(np.concatenate(x) for x in zip(*own[n], strict=True))) for n in sorted(own)}
+
+    def _grouped(self, length: int, hashes: np.ndarray, places: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, places, offsets and owners of the different windows of one length."""
+        order = np.argsort(hashes, kind="stable")
+        hashes, places, items = hashes[order], places[order], items[order]
+        # equal hashes are equal windows but for collisions, which a word by word comparison finds
+        same = np.append(False, hashes[1:] == hashes[:-1])
+        for k in np.flatnonzero(same).tolist():
+            if not np.array_equal(self.flat[places[k] : places[k] + length], self.flat[places[k - 1] : places[k - 1] + length]):
+                same[k] = False
+        begin = np.flatnonzero(~same)
+        return hashes[begin], places[begin].astype(np.int64), np.append(begin, len(hashes)), items
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of words (begin, end) that are windows, and the items whose windows they are."""
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        found_items: set[int] = set()
         numbers = np.fromiter(map(self.words.get, words, [0] * len(words)), np.int64, len(words))
         unknown = np.append(0, np.cumsum(numbers == 0))
-        for length, (hashes, rows, owners) in self.by_length.items():
+        for length, (hashes, places, offsets, owners) in self.by_length.items():
             if len(numbers) < length:
                 continue
             at = np.flatnonzero(unknown[length:] == unknown[:-length])
@@ -82,19 +96,22 @@ class Index:
                 continue
             h = _hashes(numbers, length)[at]
             found = np.searchsorted(hashes, h)
+            seen: set[int] = set()
             for i in np.flatnonzero((found < len(hashes)) & (hashes[np.minimum(found, len(hashes) - 1)] == h)).tolist():
                 begin, k = int(at[i]), int(found[i])
                 while k < len(hashes) and hashes[k] == h[i]:  # windows whose hashes agree
-                    if np.array_equal(rows[k], numbers[begin : begin + length]):
+                    if np.array_equal(self.flat[places[k] : places[k] + length], numbers[begin : begin + length]):
                         spans.append((begin, begin + length))
-                        items |= owners[k]
+                        if k not in seen:
+                            seen.add(k)
+                            found_items.update(owners[offsets[k] : offsets[k + 1]].tolist())
                     k += 1
-        return spans, items
+        return spans, {self.names[i] for i in found_items}
 
 
-def item_blocks(benchmark: DataFrame, size: int, block_words: int) -> list[Index]:
-    """Indexes of the items of ``benchmark(item_id, text, ...)``, read item by item, each block bounded."""
-    blocks, items, n = [], [], 0
+def item_blocks(benchmark: DataFrame, size: int, block_words: int) -> Iterator[Index]:
+    """Indexes of the items of ``benchmark(item_id, text, ...)``, one after another: items are read one by one, each block is bounded."""
+    items, n, some = [], 0, False
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").orderBy("item", "text")
     for r in rows.toLocalIterator():
         words = words_of(r["text"])
@@ -102,20 +119,25 @@ def item_blocks(benchmark: DataFrame, size: int, block_words: int) -> list[Index
         for i in range(0, max(1, len(words) - size + 1), block_words):
             part = words[i : i + block_words + size - 1]
             if items and n + len(part) > block_words:
-                blocks.append(Index(items, size))
-                items, n = [], 0
+                yield Index(items, size)
+                items, n, some = [], 0, True
             items.append((r["item"], part))
             n += len(part)
-    return [*blocks, Index(items, size)] if items or not blocks else blocks
+    if items or not some:
+        yield Index(items, size)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_words: int = BLOCK_WORDS, text: str = "text") -> tuple[DataFrame, str, str]:
-    """``docs`` with the hit word spans (flat begin, end, ...) and the hit items; and these columns' names."""
+    """``docs`` with the hit word spans (flat begin, end, ...) and the hit items; and these columns' names.
+
+    The driver holds one block of the benchmark and the next, whatever the benchmark's size.
+    """
     spark = docs.sparkSession
     spans, items = common.fresh_names(docs, "hit_spans", "hit_items")
     out = docs.withColumn(spans, F.array().cast("array<long>")).withColumn(items, F.array().cast("array<string>"))
     blocks = item_blocks(benchmark, size, block_words)
-    for number, block in enumerate(blocks):
+    block = next(blocks)
+    while block is not None:
         held = spark.sparkContext.broadcast(block)
 
         def search(batches, held=held):
@@ -131,8 +153,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_words: i
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         out = out.mapInArrow(search, out.schema)
-        if number + 1 < len(blocks):
+        block = next(blocks, None)
+        if block is not None:
             out = common.written(out, "decontamination")
+            held.destroy()
     return out, spans, items
 
 
@@ -171,7 +195,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, whole: float = 0.3, size: int
     """``docs`` without what the benchmark holds, same columns.
 
     A document of whose words a share of ``whole`` or more is hit goes; from other documents the hit words
-    go with what stands between them. ``n_chars``, where there is one, follows the text.
+    go with what stands between them. ``n_chars``, where there is one, follows the text. Null and empty texts have no
+    words and stay; null or repeated doc_ids stay rows of their own; an empty table gives no rows, an empty benchmark
+    changes nothing; columns named like the ones used here stay as they are.
     """
     found, spans, items = scan(docs, benchmark, size, block_words)
     names = docs.columns

@@ -67,6 +67,8 @@ class Encoder:
         self.line = 0 if self.word_ends else len(self._encode(["\n"])[0])
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        #: Share of the caches' bounds that is used: less memory, more calls of the library, the same ids.
+        self.share = 1.0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,7 +104,7 @@ class Encoder:
         out = [words[k] + words[t] for k, (_, t) in zip(keys, pairs, strict=True)]
         for i, x in zip(whole, self._encode([c if self.word_ends or c[0] == "\n" else lead + c for c in map(missing.__getitem__, whole)]), strict=True):
             out[i] = x
-        if len(self.words) > KEEP_WORDS:  # what was met first is what is frequent
+        if len(self.words) > KEEP_WORDS * self.share:  # what was met first is what is frequent
             for x in need:
                 del self.words[x]
         return out
@@ -146,10 +148,10 @@ class Encoder:
             ids = iter(self._encode([c for x in spans for c in x]))
             for i, x in zip(rest, spans, strict=True):
                 out[i] = b"".join(next(ids) for _ in x)
-        if len(kept) > KEEP_CHUNKS and len(found) > 0.3 * n:  # the texts have changed
+        if len(kept) > KEEP_CHUNKS * self.share and len(found) > 0.3 * n:  # the texts have changed
             kept.clear()
             self.words.clear()
-        elif len(kept) <= KEEP_CHUNKS:
+        elif len(kept) <= KEEP_CHUNKS * self.share:
             kept.update((c, x) for c, x in found.items() if len(c) <= LONG)
         return out
 
@@ -184,10 +186,11 @@ def slices(texts: list[str], most: int = 1 << 20):
         yield texts[begin:]
 
 
-def encode_column(batches, path: str, column: str):
+def encode_column(batches, path: str, column: str, cache_share: float = 1.0):
     """(Arrow batch, packed ids of each of its texts) for Arrow batches with a text column, null as empty."""
     common.own_cache("encoding")
     enc = encoder(path)
+    enc.share = cache_share
     for batch in batches:
         ids: list[bytes] = []
         for part in slices([x or "" for x in batch.column(column).to_pylist()]):

@@ -13,8 +13,8 @@ is then exhaustive: the sample always meets its recall.
 
 Equal vectors are one candidate that carries its six smallest ids, which is all that any answer can use,
 so a vector that a third of the rows share costs as much as any other. Buckets are cut into cells of
-about ``CELL`` vectors by salt, and a probe goes to all cells of its bucket. A cell of candidates and its
-probes meet in one task, which hands on no more than six candidates a probe: no pair rows are made.
+about ``CELL`` vectors by salt, their probes into lots of as many, and every lot meets every cell. A cell and a lot
+meet in one task, which hands on no more than six candidates a probe: no pair rows are made.
 """
 
 from __future__ import annotations
@@ -97,15 +97,20 @@ class Tables:
         return keys
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: exact, and no square overflows."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of rows of ``q`` with the same rows of ``x``, in double precision, the same for the same pair anywhere."""
-    q, x = q.astype(np.float64), x.astype(np.float64)
+    q, x = _scaled(q), _scaled(x)
     return (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow below
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -131,7 +136,7 @@ def usable(vector: Column) -> Column:
 
 
 def _stack(column) -> np.ndarray:
-    return np.array(column.to_pylist() if isinstance(column, pa.Array) else [np.asarray(v) for v in column], np.float32)
+    return np.array(column.to_pylist() if isinstance(column, pa.Array) else [np.asarray(v) for v in column], np.float64)
 
 
 def search(vectors: DataFrame, query: Column, k: int = 5, tables: int = TABLES, recall: float = RECALL) -> DataFrame:
@@ -143,7 +148,9 @@ def search(vectors: DataFrame, query: Column, k: int = 5, tables: int = TABLES,
     it is there, but never for its own id. Empty tables give no rows; other columns are not read.
     """
     spark = vectors.sparkSession
-    valid = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), query.alias("is_query")).where(F.col("vec_id").isNotNull()).where(usable(F.col("embedding")))
+    # single precision is kept as it is, all other numbers are taken as doubles
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    valid = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"), query.alias("is_query")).where(F.col("vec_id").isNotNull()).where(usable(F.col("embedding")))
     sizes = valid.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -159,12 +166,14 @@ def search(vectors: DataFrame, query: Column, k: int = 5, tables: int = TABLES,
     index, probes = _calibrate(distinct, asked, Tables(dim, tables, hashes), k, recall)
 
     def placed(batches):
+        common.own_cache("neighbours")
         for batch in batches:
             unit = _unit(_stack(batch.column("embedding"))) if len(batch) else np.zeros((0, dim))
             for t in range(index.tables):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), t, np.int32)), pa.array(index.buckets(unit, t)), *(batch.column(c) for c in ("v1", "v2", "head", "embedding"))], ["t", "bucket", "v1", "v2", "head", "embedding"])
 
     def probed(batches):
+        common.own_cache("neighbours")
         for batch in batches:
             unit = _unit(_stack(batch.column("embedding"))) if len(batch) else np.zeros((0, dim))
             for t in range(index.tables):
@@ -172,12 +181,16 @@ def search(vectors: DataFrame, query: Column, k: int = 5, tables: int = TABLES,
                 rows = pa.array(np.repeat(np.arange(len(batch)), keys.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, t, np.int32)), pa.array(keys.reshape(-1)), *(batch.column(c).take(rows) for c in ("v1", "v2", "embedding"))], ["t", "bucket", "v1", "v2", "embedding"])
 
-    cells = common.written(distinct.mapInArrow(placed, "t int, bucket long, v1 long, v2 long, head long, embedding array<float>"), "ann-index")
+    cells = common.written(distinct.mapInArrow(placed, f"t int, bucket long, v1 long, v2 long, head long, embedding {kind}"), "ann-index")
     counts = common.written(cells.groupBy("t", "bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells")), "ann-buckets")
-    sized = counts.select(F.col("t").alias("t_"), F.col("bucket").alias("bucket_"), F.col("cells").alias("n_cells"))
-    cells = cells.join(sized, (F.col("t") == F.col("t_")) & (F.col("bucket") == F.col("bucket_"))).select("t", "bucket", F.pmod(F.col("v1"), F.col("n_cells")).cast("int").alias("cell"), "v1", "v2", "head", "embedding")
-    asks = asked.mapInArrow(probed, "t int, bucket long, v1 long, v2 long, embedding array<float>").join(counts, ["t", "bucket"])
-    asks = asks.select("t", "bucket", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "v1", "v2", "embedding")
+    asks = common.written(asked.mapInArrow(probed, f"t int, bucket long, v1 long, v2 long, embedding {kind}").join(counts, ["t", "bucket"]), "ann-probes")
+    # buckets of many vectors and of many probes are cut on both sides; buckets without a probe go no further
+    parts = counts.join(asks.groupBy("t", "bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("lots")), ["t", "bucket"])
+    parts = common.written(parts, "ann-parts")
+    cells = cells.join(parts, ["t", "bucket"]).withColumn("cell", F.pmod(F.col("v1"), F.col("cells")).cast("int"))
+    cells = cells.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select("t", "bucket", "cell", "lot", "v1", "v2", "head", "embedding")
+    asks = asks.drop("cells").join(parts, ["t", "bucket"]).withColumn("lot", F.pmod(F.xxhash64("v1", "v2"), F.col("lots")).cast("int"))
+    asks = asks.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("t", "bucket", "cell", "lot", "v1", "v2", "embedding")
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
@@ -188,7 +201,7 @@ def search(vectors: DataFrame, query: Column, k: int = 5, tables: int = TABLES,
         row, near, score = (np.concatenate(p) for p in zip(*parts, strict=True))
         return pd.DataFrame({"q1": q["v1"].to_numpy()[row], "q2": q["v2"].to_numpy()[row], "v1": c["v1"].to_numpy()[near], "v2": c["v2"].to_numpy()[near], "head": c["head"].to_numpy()[near], "score": score})
 
-    by = ["t", "bucket", "cell"]
+    by = ["t", "bucket", "cell", "lot"]
     met = asks.groupBy(*by).cogroup(cells.groupBy(*by)).applyInPandas(meet, "q1 long, q2 long, v1 long, v2 long, head long, score double")
     met = met.groupBy("q1", "q2", "v1", "v2").agg(F.min("head").alias("head"), F.max("score").alias("score"))
     best = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "head")
@@ -209,6 +222,7 @@ def _calibrate(distinct: DataFrame, asked: DataFrame, index: Tables, k: int, rec
     q, own = _stack(sample["embedding"]), set(zip(sample["v1"], sample["v2"], strict=True))
 
     def scan(batches):
+        common.own_cache("neighbours")
         for batch in batches:
             if not len(batch):
                 continue
@@ -216,7 +230,7 @@ def _calibrate(distinct: DataFrame, asked: DataFrame, index: Tables, k: int, rec
             row, near, score = _top(q, _stack(batch.column("embedding")), k + 1)
             yield pa.RecordBatch.from_arrays([pa.array(row), *(batch.column(c).take(pa.array(near)) for c in ("v1", "v2", "head", "embedding")), pa.array(score)], ["row", "v1", "v2", "head", "embedding", "score"])
 
-    found = distinct.mapInArrow(scan, "row long, v1 long, v2 long, head long, embedding array<float>, score double")
+    found = distinct.mapInArrow(scan, f"row long, v1 long, v2 long, head long, embedding {distinct.schema['embedding'].dataType.simpleString()}, score double")
     best = Window.partitionBy("row").orderBy(F.desc("score"), "head")
     found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).toPandas()
     mine = list(zip(sample["v1"], sample["v2"], strict=True))

@@ -1,13 +1,14 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The model is trained in numpy from labelled spans: at most 800 windows of the corpus (``CORPUS_WINDOWS``)
-labelled by the shapes of the patterns, and the same windows with invented items written into them, many
-side by side, where a greedy pattern swallows its neighbour and then drops the match. It tags characters
+labelled by the shapes of the patterns, and windows with invented items written into them, many side by
+side, where a greedy pattern swallows its neighbour and then drops the match, and many in layouts that no
+pattern here has (``joe [at] host (dot) org``, ``10 . 0 . 0 . 1``, ``4532/1234/...``, ``0044 20 ...``). It tags characters
 with B/I of four kinds or O.
 
 A text is covered by windows of ``WINDOW`` characters that advance by half of it. Every window with a
-digit or ``@`` is decoded by Viterbi's algorithm; windows with neither can't hold an item of any kind, so
-leaving them out changes nothing. Spans of all windows are reconciled over the whole text: spans cut by a
+digit, ``@`` or spelled-out signs of an address is decoded by Viterbi's algorithm; the others can't hold an
+item of any kind, so leaving them out changes nothing. Spans of all windows are reconciled over the whole text: spans cut by a
 window's edge yield to whole ones, better scored ones come first, overlaps go, and so does what overlaps a
 base span or fails its kind's check (check digit, number ranges, digit counts).
 
@@ -32,7 +33,7 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW = 128
 SAMPLE, EPOCHS, BATCH = 20_000, 10, 64
 #: Corpus windows and windows with invented items that the model is trained on, at most.
-CORPUS_WINDOWS, INVENTED_WINDOWS = 800, 1200
+CORPUS_WINDOWS, INVENTED_WINDOWS = 800, 2000
 #: Windows decoded together.
 DECODE = 512
 
@@ -41,8 +42,15 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ANY_PHONE = re.compile(r"(?:\+|\()?[0-9][ ().0-9-]+[0-9]")
 _ANCHOR = re.compile("[0-9@]")
+#: What a window is decoded for: a digit, ``@``, or an address that spells them out.
+_SIGN = re.compile(r"[0-9@]|[\[({] ?(?:at|AT) ?[\])}]|\s(?:at|AT)\s\S+\s(?:dot|DOT)\s")
+#: Spelled-out or spaced-out signs of an address, and what stands between the numbers of other kinds.
+_AT = re.compile(r" ?[\[({] ?(?:at|AT|@) ?[\])}] ?| (?:at|AT) | @ ?|@ ")
+_DOT = re.compile(r" ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| (?:dot|DOT) | \. ?|\. ")
+_LOOSE_IP = re.compile(r"[0-9]{1,3}(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}")
+_LOOSE_CARD = re.compile(r"[0-9](?:[ ./_-]{0,2}[0-9])+")
+_LOOSE_PHONE = re.compile(r"[+(]?[0-9](?:[ ()./-]{0,3}[0-9])+")
 
 
 def luhn(digits: str) -> bool:
@@ -86,16 +94,25 @@ def base_spans(text: str, checked: bool = True) -> list[tuple[str, int, int]]:
 
 
 def passes(kind: str, item: str) -> bool:
-    """Whether a span that the model proposes is an item of its kind."""
+    """Whether a span that the model proposes is an item of its kind: its parts, ranges, digits and check digit, not its layout."""
     if kind == "email":
-        return emails(item) == [(0, len(item))]
-    if kind == "ip":
-        return bool(_IP.fullmatch(item)) and all(len(p) <= 3 and int(p) <= 255 for p in item.split("."))
+        if emails(item) == [(0, len(item))]:
+            return True
+        spelled = _DOT.sub(".", _AT.sub("@", item))
+        return spelled.count("@") == 1 and " " not in spelled and emails(spelled) == [(0, len(spelled))]
     digits = _digits(item)
+    if kind == "ip":
+        return bool(_LOOSE_IP.fullmatch(item)) and all(int(p) <= 255 for p in re.findall("[0-9]+", item))
     if kind == "card":
-        return bool(_CARD.fullmatch(item)) and 14 <= len(digits) <= 19 and luhn(digits)
-    marked = item[0] == "+" or len(re.findall("[ ().-]+", item)) >= 2
-    return bool(_ANY_PHONE.fullmatch(item)) and 10 <= len(digits) <= 15 and marked and item.count("(") == item.count(")") and not _IP.fullmatch(item)
+        return bool(_LOOSE_CARD.fullmatch(item)) and 14 <= len(digits) <= 19 and luhn(digits)
+    marked = item[0] == "+" or item[:2] == "00" or len(re.findall("[ ()./-]+", item)) >= 2
+    return bool(_LOOSE_PHONE.fullmatch(item)) and 10 <= len(digits) <= 15 and marked and item.count("(") == item.count(")") and not _LOOSE_IP.fullmatch(item)
+
+
+def apart(kind: str, text: str, begin: int, end: int) -> bool:
+    """Whether a span is not a piece of a longer number or name."""
+    inner = (lambda c: c.isalnum()) if kind == "email" else (lambda c: "0" <= c <= "9")
+    return not (begin > 0 and inner(text[begin - 1]) and inner(text[begin])) and not (end < len(text) and inner(text[end]) and inner(text[end - 1]))
 
 
 _CLASS = np.full(0x110000, 1, np.uint8)
@@ -143,7 +160,7 @@ def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
 class Tagger:
     """Bidirectional LSTM over character classes, linear layer, CRF."""
 
-    def __init__(self, embed: int = 8, hidden: int = 12, seed: int = 5):
+    def __init__(self, embed: int = 8, hidden: int = 16, seed: int = 5):
         rng = np.random.default_rng(seed)
 
         def draw(*shape):
@@ -170,10 +187,12 @@ class Tagger:
             old, before = cell, state
             cell = f * old + i * g
             tc = np.tanh(cell)
-            state = o * tc
+            # places beyond the text leave no trace, so a short text is read like a long one
+            live = (both[:, t] != 0)[..., None].astype(np.float32)
+            state, cell = o * tc * live, cell * live
             out[:, t] = state
             if keep:
-                steps.append((i, f, o, g, old, tc, before))
+                steps.append((i, f, o, g, old, tc, before, live))
         joined = np.concatenate((out[0], out[1, ::-1]), axis=2)  # place, window, 2 hidden
         return (joined @ p["wo"] + p["bo"]).transpose(1, 0, 2), (both, e, steps, joined)
 
@@ -209,9 +228,9 @@ class Tagger:
         d_state, d_cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
         d["wh"] = np.zeros_like(p["wh"])
         for t in range(places - 1, -1, -1):
-            i, f, o, g, old, tc, before = steps[t]
-            ds = d_out[:, t] + d_state
-            dc = ds * o * (1 - tc * tc) + d_cell
+            i, f, o, g, old, tc, before, live = steps[t]
+            ds = (d_out[:, t] + d_state) * live
+            dc = ds * o * (1 - tc * tc) + d_cell * live
             z = np.concatenate((dc * g * i * (1 - i), dc * old * f * (1 - f), ds * tc * o * (1 - o), dc * i * (1 - g * g)), axis=2)
             d_zx[:, t] = z
             d["wh"] += before.transpose(0, 2, 1) @ z
@@ -264,9 +283,9 @@ class Tagger:
 
 
 def windows(text: str) -> Iterator[int]:
-    """Begins of the windows of a text that have a digit or ``@``."""
+    """Begins of the windows of a text in which a sign of an item begins."""
     step, last = WINDOW // 2, -1
-    for m in _ANCHOR.finditer(text):
+    for m in _SIGN.finditer(text):
         for k in (m.start() // step - 1, m.start() // step):
             if k >= 0 and k > last:
                 last = k
@@ -278,7 +297,7 @@ def reconcile(text: str, proposed: list[tuple[str, int, int, float, bool]], base
     taken: list[tuple[int, int]] = sorted((a, b) for _, a, b in base)
     out = []
     for kind, a, b, _, _ in sorted(set(proposed), key=lambda s: (s[4], -round(s[3], 3), s[1], s[2], s[0])):
-        if passes(kind, text[a:b]) and not any(a < y and x < b for x, y in taken):
+        if apart(kind, text, a, b) and passes(kind, text[a:b]) and not any(a < y and x < b for x, y in taken):
             taken.append((a, b))
             out.append((kind, a, b))
     return sorted(out, key=lambda s: s[1])
@@ -336,13 +355,23 @@ def _invented(rng: np.random.Generator) -> tuple[str, str]:
     def name(n):
         return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
 
-    kind = KINDS[rng.integers(len(KINDS))]
+    kind, broken = KINDS[rng.integers(len(KINDS))], rng.random() < 0.4
     if kind == "email":
-        return kind, name(rng.integers(2, 9)) + rng.choice(["", ".", "_", "-"]) + rng.choice([name(3), number(2)]) + "@" + name(rng.integers(3, 8)) + rng.choice(["", number(1)]) + "." + rng.choice(["com", "org", "example.com", "net", "co.uk", "de"])
+        local = name(rng.integers(2, 9)) + rng.choice(["", "." + name(rng.integers(1, 6)), "_" + name(3), "-" + number(2), number(2)])
+        host, end = name(rng.integers(3, 8)) + rng.choice(["", number(1)]), rng.choice(["com", "org", "example.com", "net", "co.uk", "de"])
+        at, dot = rng.choice(["[at]", "(at)", " [at] ", " (at) ", " @ ", "@ "]) if broken else "@", "."
+        if broken and rng.random() < 0.5:
+            at = rng.choice([" at ", "(at)", "[at]", " [at] ", " (at) "])
+            dot = " dot " if at == " at " else rng.choice(["(dot)", "[dot]", " [dot] ", " (dot) "])
+            end = end.replace(".", str(dot))
+        return kind, f"{local}{at}{host}{dot}{end}"
     if kind == "ip":
-        return kind, ".".join(map(str, rng.integers(0, 256, 4)))
+        return kind, str(rng.choice([" . ", "[.]", "(.)", " .", ". "]) if broken else ".").join(map(str, rng.integers(0, rng.choice([10, 256], 4))))
     if kind == "card":
-        return kind, rng.choice([number(16), number(15), "-".join(number(4) for _ in range(4)), " ".join(number(4) for _ in range(4))])
+        sign = str(rng.choice([".", "/", "  ", "_", " - "])) if broken else str(rng.choice(["", "-", " "]))
+        return kind, number(15) if not broken and rng.random() < 0.2 else sign.join(number(4) for _ in range(4))
+    if broken:
+        return kind, str(rng.choice([f"00{rng.integers(1, 99)} {number(3)} {number(3)} {number(4)}", f"+{rng.integers(1, 99)} (0) {number(3)}/{number(3)}-{number(4)}", f"({number(3)})/{number(3)}/{number(4)}", f"+{rng.integers(1, 99)}/{number(3)}/{number(7)}"]))
     return kind, str(rng.choice([f"+{rng.integers(1, 99)} ({number(3)}) {number(3)}-{number(4)}", f"+{rng.integers(1, 99)} {number(3)} {number(3)} {number(4)}", f"+{number(11)}", f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"+1.{number(3)}.{number(3)}.{number(4)}"]))
 
 
@@ -432,7 +461,11 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
-    """``docs`` with personal data masked, same columns and rows; ``n_chars``, where there is one, follows the text."""
+    """``docs`` with personal data masked, same columns and rows; ``n_chars``, where there is one, follows the text.
+
+    Null texts stay null, empty ones empty; null or repeated doc_ids stay rows of their own; an empty table gives no
+    rows; other columns stay as they are.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     def cut(batches):

@@ -153,8 +153,12 @@ def fold(doc_id: Column) -> Column:
 HELD_OUT = 2
 
 
+def _featured_texts(texts: list[str | None]) -> np.ndarray:
+    return np.array([features(x) for x in texts], np.float64).reshape(-1, len(FEATURES))
+
+
 def _featured(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    return np.array([features(x) for x in batch.column(batch.schema.names.index(column)).to_pylist()], np.float64).reshape(-1, len(FEATURES))
+    return _featured_texts(batch.column(batch.schema.names.index(column)).to_pylist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
@@ -205,6 +209,10 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, same columns."""
+    """The rows of ``docs`` that score ``threshold`` or more, same columns.
+
+    Null and empty texts are scored like any other; null or repeated doc_ids stay rows of their own; an empty table
+    gives no rows; a column that is named ``score`` stays as it is.
+    """
     (name,) = common.fresh_names(docs, "score")
     return with_scores(docs, fit(docs, labels, sample), name).where(F.col(name) >= threshold).drop(name)

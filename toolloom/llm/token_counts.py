@@ -44,14 +44,24 @@ def _counter(path: str):
 
 
 def count_misses(docs: DataFrame, tokenizer_path: str, cache: str) -> None:
-    """Encode the distinct contents of ``docs(text)`` that the cache lacks and append their counts."""
+    """Encode the distinct contents of ``docs(text)`` that the cache lacks and append their counts.
+
+    With a cache only digests are shuffled to find what is missing; a sieve of the missing ones then picks the texts.
+    """
     spark, version = docs.sparkSession, version_digest(tokenizer_path)
-    texts = docs.select(common.text_or_empty().alias("text")).withColumn("content_digest", content_digest(F.col("text")))
-    missing = texts
-    if common.exists(spark, cache):
-        missing = texts.join(cached(spark, cache, version), "content_digest", "left_anti")
-    counts = missing.groupBy("content_digest").agg(F.first("text").alias("text")).select("content_digest", "text").mapInArrow(_counter(tokenizer_path), "content_digest string, n_tokens long")
-    counts.select(F.lit(version).alias("tokenizer_digest"), "content_digest", "n_tokens").write.mode("append").parquet(cache)
+    with common.scratch(spark):
+        texts = docs.select(common.text_or_empty().alias("text")).withColumn("content_digest", content_digest(F.col("text")))
+        if common.exists(spark, cache):
+            missing = texts.select("content_digest").distinct().join(cached(spark, cache, version), "content_digest", "left_anti")
+            missing = common.written(missing.select("content_digest"), "missing-digests")
+            keyed = texts.withColumn("key", F.xxhash64("content_digest"))
+            marked = common.with_mark(keyed, "key", missing.select(F.xxhash64("content_digest").alias("key")), "may").where("may")
+            # copies are merged before the shuffle, so a text that a third of the rows share crosses it once a task
+            wanted = marked.groupBy("content_digest").agg(F.first("text").alias("text")).join(missing, "content_digest", "left_semi")
+        else:
+            wanted = texts.groupBy("content_digest").agg(F.first("text").alias("text"))
+        counts = wanted.select("content_digest", "text").mapInArrow(_counter(tokenizer_path), "content_digest string, n_tokens long")
+        counts.select(F.lit(version).alias("tokenizer_digest"), "content_digest", "n_tokens").write.mode("append").parquet(cache)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int) -> DataFrame:

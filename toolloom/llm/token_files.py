@@ -133,7 +133,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -
     """Encode ``docs(doc_id, text, ...)`` and write ``path/blocks`` and ``path/ranks``.
 
     Documents come in ascending doc_id order, null ids first; of rows with equal ids the shorter text
-    in tokens comes first, then the one with smaller ids. Null text is empty: the end id alone.
+    in tokens comes first, then the one whose ids have the smaller CRC-32. Null text is empty: the end id alone. doc_ids are whole
+    numbers or strings; other columns are not read; an empty table gives files without blocks.
     """
     spark = docs.sparkSession
     width = id_width(tokenizer_path)
@@ -149,15 +150,17 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -
     def encode(batches):
         from pyspark import TaskContext
 
-        part, start, held, lengths, doc_ids = TaskContext.get().partitionId(), 0, [], [], []
+        common.own_cache("token_files")
+        part, start, held, lengths, doc_ids, id_type = TaskContext.get().partitionId(), 0, [], [], [], pa.int64()
         number = 0
 
         def block():
             ranks = np.concatenate(held) if held else np.zeros(0, np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([start], pa.int64()), pa.array([len(ranks)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([pack_block(ranks, lengths)], pa.binary())], ["part", "block", "start_in_part", "n_tokens", "doc_ids", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([start], pa.int64()), pa.array([len(ranks)], pa.int64()), pa.array([doc_ids], pa.list_(id_type)), pa.array([pack_block(ranks, lengths)], pa.binary())], ["part", "block", "start_in_part", "n_tokens", "doc_ids", "payload"])
 
         size = 0
         for batch in batches:
+            id_type = batch.column("doc_id").type
             for doc_id, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 ranks = rank_of[np.frombuffer(x, width)]
                 if lengths and size + len(ranks) > BLOCK_TOKENS:
@@ -170,26 +173,34 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -
         if lengths:
             yield block()
 
-    order = ["doc_id", "n_tokens", "ids"]
-    sorted_docs = tokens.repartitionByRange("doc_id", "n_tokens").sortWithinPartitions(*order).select("doc_id", "ids")
-    sorted_docs.mapInArrow(encode, "part int, block long, start_in_part long, n_tokens long, doc_ids array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    # copies under one id that many rows share are told apart by their content; equal content may lie in any order
+    order = ["doc_id", "n_tokens", F.crc32("ids"), "ids"]
+    sorted_docs = tokens.repartitionByRange("doc_id", "n_tokens", F.crc32("ids")).sortWithinPartitions(*order).select("doc_id", "ids")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sorted_docs.mapInArrow(encode, f"part int, block long, start_in_part long, n_tokens long, doc_ids array<{kind}>, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32, ids`` of each document in the files, decoded."""
+    """``doc_id, start, n_tokens, ids_crc32, ids`` of each document in the files, decoded; a damaged block raises.
+
+    Files of an empty table give no rows; doc_ids come back in the type in which they were written.
+    """
     blocks = spark.read.parquet(f"{path}/blocks")
     ranks = np.array([r["id"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)  # bounded by the vocabulary
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row a shuffle partition
     starts = dict(zip((r["part"] for r in parts), np.cumsum([0, *(r["n"] for r in parts)]).tolist(), strict=False))
 
     def decode(batches):
+        common.own_cache("token_files")
         for batch in batches:
+            id_type = batch.column("doc_ids").type.value_type
             for row in batch.to_pylist():
                 values, lengths = unpack_block(row["payload"])
                 ids = np.ascontiguousarray(ranks[values], "<u4").tobytes()
                 ends = np.cumsum(lengths, dtype=np.int64)
                 first = starts[row["part"]] + row["start_in_part"]
                 cut = [ids[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(first + ends - lengths), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) for x in cut], pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], id_type), pa.array(first + ends - lengths), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) for x in cut], pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return blocks.select("part", "start_in_part", "doc_ids", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    return blocks.select("part", "start_in_part", "doc_ids", "payload").mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids binary")
