@@ -15,6 +15,8 @@ from toolloom.llm.encoding import vocabulary
 GOOD = 0.7
 #: The id that closes a document.
 END = 2
+#: Workers have other stages' tables and modules in memory as well, so they keep fewer encoded words.
+CACHE_SHARE = 0.4
 #: Whose tables a stage's result reads; they go when the next stage begins.
 OWNER = "pipeline"
 
@@ -46,7 +48,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full windows, sources in proportion to their tokens."""
     with common.results_of(spark, OWNER):
-        return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), END)
+        return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), END, cache_share=CACHE_SHARE)
 
 
 STAGES = [
