@@ -48,7 +48,7 @@ VALID = {
     "vi": "Phản hồi hợp lệ: gọi hàm đã qua kiểm tra schema, hợp đồng và thực thi.",
     "en": "Valid response: the call passed schema, contract, and execution checks.",
 }
-#: Corrective action for an issue code.
+#: Corrective action for an issue code (fixed values).
 SUGGESTED_ACTION = {
     "unknown_tool": "abstain",
     "deprecated_tool": "abstain",
@@ -69,7 +69,7 @@ SUGGESTED_ACTION = {
     "invalid_code": "fix_arguments",
     "parse_error": "fix_format",
 }
-#: Lines by code: {p} path, {e} expected, {E} expected as Python shows it, {A} actual as Python shows it. In brackets: only if that value is there.
+#: Lines by code (fixed values): {p} path, {e} expected, {E} expected as Python shows it, {A} actual as Python shows it. In brackets: only if that value is there.
 LINES = {
     "vi": {
         "invalid_enum": "Tham số `{p}` không hợp lệ: Kỳ vọng một trong {e}, thực tế {A}.",

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 TAGS = ("parallel", "multi_step", "abstain", "missing_slot", "masked", "unseen")
 FEATURES = 6
+#: Bounds closer than this are equal: what rounding leaves of a tie.
+TIE = 1e-9
 
 
 def features(df: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def bounds(rewards: DataFrame) -> DataFrame:
 def linucb(samples: DataFrame, replicas: DataFrame) -> DataFrame:
     """``alpha, seed, id, split, arm, hit`` of each step; ``samples(id, split, x, reward_a, reward_b)``, ``replicas(alpha, seed)``.
 
-    A tie takes arm 0. The inverse matrices are updated by rank one, so a step costs 36 products.
+    A tie, up to rounding, takes arm 0. The inverse matrices are updated by rank one, so a step costs 36 products.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -48,7 +50,7 @@ def linucb(samples: DataFrame, replicas: DataFrame) -> DataFrame:
         for x, *rewards in zip(group["x"], group["reward_a"], group["reward_b"], strict=True):
             x = np.asarray(x, np.float64)
             scores = [float(b[i] @ inverse[i] @ x) + alpha * float(np.sqrt(x @ inverse[i] @ x)) for i in (0, 1)]
-            arm = int(scores[1] > scores[0])
+            arm = int(scores[1] > scores[0] + TIE)
             ax = inverse[arm] @ x
             inverse[arm] = inverse[arm] - np.outer(ax, ax) / (1 + x @ ax)
             b[arm] = b[arm] + rewards[arm] * x

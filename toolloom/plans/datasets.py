@@ -75,11 +75,11 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
              q AS (SELECT item_id, token, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM benchmark) GROUP BY 1, 2),
              s AS (SELECT item_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg_len FROM st)))), 6) AS score FROM q JOIN idf USING (token) JOIN tf USING (token) JOIN dl USING (doc_id) GROUP BY 1, 2),
              r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
-        SELECT item_id AS query_id, rank, round(score, 4) AS score FROM r WHERE rank <= 8"""
+        SELECT item_id AS query_id, doc_id, rank, round(score, 4) AS score FROM r WHERE rank <= 8"""
 )
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight best documents of each benchmark text by score (documents with equal texts share scores)."""
-    return retrieval.bm25_top_k(*_asked(spark, sf_dir), k=8).select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+    """The eight best documents of each benchmark text by score, ties to the smaller document."""
+    return retrieval.bm25_top_k(*_asked(spark, sf_dir), k=8).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 @plans.query(
@@ -110,14 +110,13 @@ def first_user_last_assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivation.first_and_last(table(spark, sf_dir, "conversations"))
 
 
-@plans.query(_WITH_TURNS + "SELECT conv_id % 4 AS bucket, count(*) AS n, sum(length(first_text) + length(last_text))::BIGINT AS chars FROM f JOIN l USING (conv_id) GROUP BY 1")
-def chat_messages_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+@plans.query(_WITH_TURNS + "SELECT CAST(conv_id AS VARCHAR) AS id, 'system:system|user:' || first_text || '|assistant:' || last_text AS messages, 'abstain' AS expected_action FROM f JOIN l USING (conv_id)")
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat records of three messages from each conversation that has both sides."""
     turns = derivation.first_and_last(table(spark, sf_dir, "conversations")).where("first_text is not null and last_text is not null")
     rows = turns.select(F.col("conv_id").cast("string").alias("id"), F.lit("chat").alias("source"), F.col("first_text").alias("instruction"), F.lit("abstain").alias("expected_action"), "last_text")
     chats = derivation.chat_record(rows, F.lit("system"), F.col("last_text"))
-    chars = F.length(F.col("messages")[1]["content"]) + F.length(F.col("messages")[2]["content"])
-    return chats.groupBy((F.col("id").cast("long") % 4).alias("bucket")).agg(F.count("*").alias("n"), F.sum(chars).cast("long").alias("chars"))
+    return chats.select("id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("messages"), "expected_action")
 
 
 @plans.query(
@@ -238,14 +237,14 @@ def prompt_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plans.query(
-    """WITH r AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY lpad(CAST(s_suppkey AS VARCHAR), 9, '0')) AS n FROM supplier WHERE s_nationkey < 20),
-            o AS (SELECT s_nationkey, string_agg(lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), ',' ORDER BY s_suppkey) AS own FROM r WHERE n <= 3 GROUP BY 1),
-            a AS (SELECT string_agg(x, ',' ORDER BY x) AS anywhere FROM (SELECT lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS x FROM supplier WHERE s_nationkey < 20 ORDER BY x LIMIT 3))
-       SELECT n_nationkey, coalesce(own, anywhere) AS stations FROM nation LEFT JOIN o ON n_nationkey = s_nationkey, a"""
+    """WITH r AS (SELECT s_suppkey, s_nationkey % 20 AS loc, row_number() OVER (PARTITION BY s_nationkey % 20 ORDER BY lpad(CAST(s_suppkey AS VARCHAR), 9, '0')) AS n FROM supplier),
+            o AS (SELECT loc, string_agg(lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), ',' ORDER BY s_suppkey) AS own FROM r WHERE n <= 3 GROUP BY 1),
+            a AS (SELECT string_agg(x, ',' ORDER BY x) AS anywhere FROM (SELECT lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS x FROM supplier ORDER BY x LIMIT 3))
+       SELECT n_nationkey, coalesce(own, anywhere) AS stations FROM nation LEFT JOIN o ON n_nationkey = loc, a"""
 )
 def stations_by_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three stations of a location, of the whole catalogue where it has none."""
-    stations = table(spark, sf_dir, "supplier").where("s_nationkey < 20").select(F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("station_code"), F.col("s_nationkey").alias("location_code"))
+    stations = table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("station_code"), (F.col("s_nationkey") % 20).alias("location_code"))
     places = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").alias("location_code"))
     return sampling.stations_of(places, stations).select("n_nationkey", F.array_join("stations", ",").alias("stations"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolloom.functions import scores as S
-from toolloom.functions.feedback import SUGGESTED_ACTION, render
+from toolloom.functions.feedback import render, suggested_action
 from toolloom.functions.json import with_predictions
 from toolloom.operators import audit, reports, scoring
 from toolloom.operators.validation import ISSUE
@@ -180,18 +180,45 @@ def parse_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.groupBy(F.col("p.action").alias("action"), F.size(calls).alias("n_calls"), F.col("p.parse_error").isNotNull().alias("failed")).agg(F.sum(k).alias("sum_k"), F.count("*").alias("n"))
 
 
-def _rendered_sql() -> str:
-    cases = " ".join(f"WHEN {i} THEN '{code}'" for i, code in enumerate(SUGGESTED_ACTION))
-    return f"SELECT CASE event_id % {len(SUGGESTED_ACTION)} {cases} END AS code, count(*) AS n, min(length(event_type)) AS shortest FROM events GROUP BY 1"
-
-
-@plans.query(_rendered_sql())
+#: What the feedback says of an issue at {p} with expected value x and actual value {a}: English, Vietnamese (fixed values, whole lines).
+SAID = {
+    "unknown_tool": ("Tool `{p}` does not exist in the registry. → Suggested: abstain safely, do not call any tool (abstain).", "Hàm `{p}` không tồn tại trong danh mục. → Gợi ý: từ chối an toàn, không gọi hàm (abstain)."),
+    "deprecated_tool": ("Tool `{p}` is deprecated. → Suggested: abstain safely, do not call any tool (abstain).", "Hàm `{p}` đã ngừng hỗ trợ (deprecated). → Gợi ý: từ chối an toàn, không gọi hàm (abstain)."),
+    "missing_arg": ("Missing required argument `{p}`. → Suggested: ask the user for a valid value (ask_clarification).", "Thiếu tham số bắt buộc `{p}`. → Gợi ý: hỏi lại người dùng giá trị hợp lệ (ask_clarification)."),
+    "invalid_enum": ("Argument `{p}` invalid: expected one of x, got {a}. → Suggested: ask the user for a valid value (ask_clarification).", "Tham số `{p}` không hợp lệ: Kỳ vọng một trong x, thực tế {a}. → Gợi ý: hỏi lại người dùng giá trị hợp lệ (ask_clarification)."),
+    "invalid_type": ("Argument `{p}` has wrong type: expected x, got {a}. → Suggested: fix the arguments then call the tool.", "Sai kiểu tham số `{p}`: Kỳ vọng kiểu x, thực tế {a}. → Gợi ý: sửa lại tham số rồi gọi hàm."),
+    "precondition_failed": ("Precondition failed at `{p}`: expected 'x', got {a}. → Suggested: abstain safely, do not call any tool (abstain).", "Vi phạm điều kiện nghiệp vụ tại `{p}`: Kỳ vọng 'x', thực tế {a}. → Gợi ý: từ chối an toàn, không gọi hàm (abstain)."),
+    "permission_denied": ("Permission denied: the action requires a verified customer (`{p}`). → Suggested: abstain safely, do not call any tool (abstain).", "Thiếu quyền: thao tác yêu cầu khách hàng đã được xác minh (`{p}`). → Gợi ý: từ chối an toàn, không gọi hàm (abstain)."),
+    "wrong_function": ("Wrong function `{p}` selected. Use `x` instead. → Suggested: call the required function (call_function).", "Gọi sai hàm `{p}`. Nên dùng `x`. → Gợi ý: gọi đúng hàm yêu cầu (call_function)."),
+    "wrong_argument_value": ("Wrong value for `{p}` (you used {a}). Should be 'x'. → Suggested: fix the arguments then call the tool.", "Sai giá trị tham số `{p}` (bạn dùng {a}). Đúng phải là 'x'. → Gợi ý: sửa lại tham số rồi gọi hàm."),
+    "missing_argument": ("Missing argument `{p}` required by the request. → Suggested: fix the arguments then call the tool.", "Thiếu tham số `{p}` mà câu hỏi yêu cầu. → Gợi ý: sửa lại tham số rồi gọi hàm."),
+    "extra_argument": ("Unnecessary argument `{p}` (value {a}). → Suggested: fix the arguments then call the tool.", "Thừa tham số `{p}` (giá trị {a}) không cần thiết. → Gợi ý: sửa lại tham số rồi gọi hàm."),
+    "invalid_code": ("Code `{p}` = {a} is not in the valid catalogue. → Suggested: fix the arguments then call the tool.", "Mã `{p}` = {a} không có trong danh mục mã hợp lệ. → Gợi ý: sửa lại tham số rồi gọi hàm."),
+    "unnecessary_call": ("said so → Suggested: issue all required calls (call_functions).", "said so → Gợi ý: gọi đủ các hàm cần thiết (call_functions)."),
+    "missing_subscriber": ("said so → Suggested: ask the user for a valid value (ask_clarification).", "said so → Gợi ý: hỏi lại người dùng giá trị hợp lệ (ask_clarification)."),
+    "parse_error": ("said so", "said so"),
+}
+#: Headers by status and language (fixed values).
+HEADED = {
+    "schema_invalid": ("The response has schema errors:", "Phản hồi có lỗi schema:"), "contract_invalid": ("The response violates business preconditions:", "Phản hồi vi phạm điều kiện nghiệp vụ:"),
+    "execution_failed": ("The response failed at execution:", "Phản hồi gây lỗi khi thực thi:"), "wrong_call": ("The response calls the wrong function or arguments:", "Phản hồi gọi sai (hàm hoặc tham số):"), "other": ("The response is incorrect:", "Phản hồi chưa đúng:"),
+}
+
+
+def _said_sql() -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    lines = ", ".join(f"({i}, {quoted(code)}, {quoted(en)}, {quoted(vi)})" for i, (code, (en, vi)) in enumerate(SAID.items()))
+    heads = ", ".join(f"({i}, {quoted(en)}, {quoted(vi)})" for i, (en, vi) in enumerate(HEADED.values()))
+    return f"""SELECT event_id, code, CASE WHEN event_id % 2 = 0 THEN h.en ELSE h.vi END || chr(10) || '• ' || replace(replace(CASE WHEN event_id % 2 = 0 THEN l.en ELSE l.vi END, '{{p}}', event_type), '{{a}}', props) AS text
+               FROM events JOIN (VALUES {lines}) AS l(i, code, en, vi) ON event_id % {len(SAID)} = l.i JOIN (VALUES {heads}) AS h(i, en, vi) ON event_id % {len(HEADED)} = h.i"""
+
+
+@plans.query(_said_sql())
 def issue_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feedback rendered for every issue code in two languages; the text names its argument."""
-    codes = list(SUGGESTED_ACTION)
-    code = F.element_at(F.array(*map(F.lit, codes)), (F.col("event_id") % len(codes)).cast("int") + 1)
-    one = F.struct(code.alias("code"), F.col("event_type").alias("path"), F.lit('"x"').alias("expected"), F.col("props").alias("actual"), code.alias("message"), F.element_at(F.create_map(*(F.lit(x) for p in SUGGESTED_ACTION.items() for x in p)), code).alias("suggested_action")).cast(ISSUE)
-    lang = F.when(F.col("event_id") % 2 == 0, "en").otherwise("vi")
-    text = render(F.lit("schema_invalid"), F.array(one), lang)
-    shown = table(spark, sf_dir, "events").select(code.alias("code"), "event_type", text.alias("text"))
-    return shown.where(F.length("text") > 20).groupBy("code").agg(F.count("*").alias("n"), F.min(F.length("event_type")).alias("shortest"))
+    """Feedback for every issue code and status in two languages, word for word."""
+    codes, statuses = list(SAID), list(HEADED)
+    turn = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values)).cast("int") + 1)
+    code = turn(codes)
+    one = F.struct(code.alias("code"), F.col("event_type").alias("path"), F.lit('"x"').alias("expected"), F.col("props").alias("actual"), F.lit("said so").alias("message"), suggested_action(code).alias("suggested_action")).cast(ISSUE)
+    text = render(turn(statuses), F.array(one), F.when(F.col("event_id") % 2 == 0, "en").otherwise("vi"))
+    return table(spark, sf_dir, "events").select("event_id", code.alias("code"), text.alias("text"))

@@ -55,9 +55,9 @@ def negative_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollouts.banks(rolled(spark, sf_dir))[1].groupBy("id").agg(F.count("*").alias("n"))
 
 
-@plans.query(_ROLLOUTS_SQL + "SELECT count(*) AS attempted, sum((reward = 1)::INT)::BIGINT AS valid, round(sum((reward = 1)::INT) / greatest(count(*), 1), 6) AS rate FROM r WHERE k % 2 = 1")
+@plans.query(_ROLLOUTS_SQL + "SELECT count(*) AS attempted, sum((reward = 1)::INT)::BIGINT AS valid, round(sum((reward = 1)::INT) / greatest(count(*), 1), 6) AS rate FROM r")
 def valid_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollouts.valid_corrections(rolled(spark, sf_dir).where("k % 2 = 1").withColumnRenamed("reward", "correction_reward")).withColumn("rate", F.round("rate", 6))
+    return rollouts.valid_corrections(rolled(spark, sf_dir).withColumnRenamed("reward", "correction_reward")).withColumn("rate", F.round("rate", 6))
 
 
 @plans.query(_ROLLOUTS_SQL + "SELECT count(*) AS n, round(sum((reward < 1)::INT) / greatest(count(*), 1), 6) AS failure_rate FROM r")
@@ -84,15 +84,15 @@ def implicit_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plans.query(
-    """WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d FROM embeddings),
-            p AS (SELECT vec_id, exp(a) / (exp(a) + exp(b)) AS p1, exp(b) / (exp(a) + exp(b)) AS p2, exp(c) / (exp(c) + exp(d)) AS q1, exp(d) / (exp(c) + exp(d)) AS q2 FROM e)
-       SELECT vec_id, round(p1 * ln(p1 / q1) + p2 * ln(p2 / q2), 6) + 0.0 AS kl,
-              round(0.5 * (p1 * ln(2 * p1 / (p1 + q1)) + p2 * ln(2 * p2 / (p2 + q2)) + q1 * ln(2 * q1 / (p1 + q1)) + q2 * ln(2 * q2 / (p2 + q2))), 6) + 0.0 AS jsd FROM p"""
+    """WITH e AS (SELECT vec_id, unnest(embedding[1:32])::DOUBLE AS a, unnest(embedding[33:64])::DOUBLE AS b FROM embeddings),
+            z AS (SELECT vec_id, sum(exp(a)) AS sa, sum(exp(b)) AS sb FROM e GROUP BY 1),
+            p AS (SELECT vec_id, exp(a) / sa AS p, exp(b) / sb AS q FROM e JOIN z USING (vec_id))
+       SELECT vec_id, round(sum(p * ln(p / q)), 5) + 0.0 AS kl, round(0.5 * sum(p * ln(2 * p / (p + q)) + q * ln(2 * q / (p + q))), 5) + 0.0 AS jsd FROM p GROUP BY 1"""
 )
 def token_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    p, q = F.slice("e", 1, 2), F.slice("e", 3, 2)
-    return e.select("vec_id", (F.round(S.top_k_kl(p, q), 6) + 0.0).alias("kl"), (F.round(S.top_k_jsd(p, q), 6) + 0.0).alias("jsd"))
+    p, q = F.slice("e", 1, 32), F.slice("e", 33, 32)  # both halves of a vector
+    return e.select("vec_id", (F.round(S.top_k_kl(p, q), 5) + 0.0).alias("kl"), (F.round(S.top_k_jsd(p, q), 5) + 0.0).alias("jsd"))
 
 
 @plans.query("SELECT vec_id, list_aggregate(list_sort(embedding, 'DESC')[1:3], 'sum')::DOUBLE > 0.5 AS large, list_sort(embedding, 'DESC')[1] AS first FROM embeddings")

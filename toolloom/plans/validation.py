@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from toolloom.functions import scores as S
@@ -131,14 +131,14 @@ def call_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.query(
     """SELECT c_custkey AS customer_id, count(*) AS n_payments, round(greatest(0.0, c_acctbal * 100 - sum(o_totalprice)), 2) AS outstanding, 'F' = min(o_orderstatus) AS any_f
-       FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY c_custkey, c_acctbal"""
+       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal"""
 )
 def state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as payments, folded in order over each customer's state."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     call = F.struct("o_orderkey", F.lit("pay_bill").alias("tool_name"), F.to_json(F.struct(F.col("o_totalprice").alias("amount"))).alias("arguments"))
     calls = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(call)).alias("calls"), F.min("o_orderstatus").alias("least"))
-    people = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", F.from_json(F.to_json(F.struct(F.col("c_custkey").cast("string").alias("customer_id"), F.lit("active").alias("status"), (F.col("c_acctbal") * 100).alias("outstanding_balance"))), executor.STATE).alias("state"))
+    people = table(spark, sf_dir, "customer").select("c_custkey", F.from_json(F.to_json(F.struct(F.col("c_custkey").cast("string").alias("customer_id"), F.lit("active").alias("status"), (F.col("c_acctbal") * 100).alias("outstanding_balance"))), executor.STATE).alias("state"))
     after = people.join(calls, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "calls", "least", executor.fold(F.col("state"), F.col("calls"), args_map).alias("after"))
     return after.select(F.col("c_custkey").alias("customer_id"), F.size("calls").cast("long").alias("n_payments"), F.round("after.outstanding_balance", 2).alias("outstanding"), (F.col("least") == "F").alias("any_f"))
 
@@ -231,32 +231,31 @@ def build_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("id", F.col("o.count").cast("long").alias("n"), F.array_join(F.transform("o.stations", lambda s: F.concat(s["station_code"], F.lit(":"), s["name"])), ",").alias("stations"), field.alias("field"), (fits & (F.col("o.location") == F.col("location"))).alias("in_range"))
 
 
-# Two lines of an order as predicted and gold arguments.
+# Each line of an order and the next one as predicted and gold arguments.
 _ARGS_SQL = """
-    WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem),
-    v AS (SELECT l_orderkey, r, l_returnflag AS a, CASE WHEN l_tax > 0.02 THEN l_linestatus END AS b, CASE WHEN l_discount > 0.05 THEN CAST(l_quantity AS INT) % 3 END AS c, l_returnflag || l_linestatus AS tool FROM n WHERE r <= 2),
-    p AS (SELECT l_orderkey, x.a AS pa, x.b AS pb, x.c AS pc, y.a AS ga, y.b AS gb, y.c AS gc, x.tool AS ptool, y.tool AS gtool FROM v x JOIN v y USING (l_orderkey) WHERE x.r = 1 AND y.r = 2),
+    WITH v AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r, l_returnflag AS a, CASE WHEN l_tax > 0.02 THEN l_linestatus END AS b, CASE WHEN l_discount > 0.05 THEN CAST(l_quantity AS INT) % 3 END AS c, l_returnflag || l_linestatus AS tool FROM lineitem),
+    p AS (SELECT l_orderkey, x.r AS pos, x.a AS pa, x.b AS pb, x.c AS pc, y.a AS ga, y.b AS gb, y.c AS gc, x.tool AS ptool, y.tool AS gtool FROM v x JOIN v y USING (l_orderkey) WHERE y.r = x.r + 1),
     k AS (SELECT *, 1 + (pb IS NOT NULL)::INT + (pc IS NOT NULL)::INT AS np, 1 + (gb IS NOT NULL)::INT + (gc IS NOT NULL)::INT AS ng,
                  1 + (pb IS NOT NULL AND gb IS NOT NULL)::INT + (pc IS NOT NULL AND gc IS NOT NULL)::INT AS nb FROM p)
 """
 
 
 def argument_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``l_orderkey, ptool, gtool, p, g``: argument maps of an order's first two lines; null arguments are absent."""
-    line = table(spark, sf_dir, "lineitem")
-    place = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.struct(F.concat("l_returnflag", "l_linestatus").alias("tool"), F.to_json(F.struct(F.col("l_returnflag").alias("a"), F.when(F.col("l_tax") > 0.02, F.col("l_linestatus")).alias("b"), F.when(F.col("l_discount") > 0.05, F.col("l_quantity").cast("int") % 3).alias("c"))).alias("args")).alias("call"))))
-    both = line.groupBy("l_orderkey").agg(place.alias("lines")).where("size(lines) >= 2")
-    return both.select("l_orderkey", F.try_element_at("lines", F.lit(1))["call"]["tool"].alias("ptool"), F.try_element_at("lines", F.lit(2))["call"]["tool"].alias("gtool"), args_map(F.try_element_at("lines", F.lit(1))["call"]["args"]).alias("p"), args_map(F.try_element_at("lines", F.lit(2))["call"]["args"]).alias("g"))
+    """``l_orderkey, pos, ptool, gtool, p, g``: argument maps of each line of an order and of the next one; null arguments are absent."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")  # seven lines an order at most
+    args = F.to_json(F.struct(F.col("l_returnflag").alias("a"), F.when(F.col("l_tax") > 0.02, F.col("l_linestatus")).alias("b"), F.when(F.col("l_discount") > 0.05, F.col("l_quantity").cast("int") % 3).alias("c")))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("ptool"), args.alias("pargs"), F.row_number().over(order).cast("long").alias("pos"), F.lead(F.concat("l_returnflag", "l_linestatus")).over(order).alias("gtool"), F.lead(args).over(order).alias("gargs"))
+    return line.where("gtool is not null").select("l_orderkey", "pos", "ptool", "gtool", args_map(F.col("pargs")).alias("p"), args_map(F.col("gargs")).alias("g"))
 
 
-@plans.query(_ARGS_SQL + "SELECT l_orderkey, round(2.0 * nb / (np + ng), 6) AS key_f1 FROM k")
+@plans.query(_ARGS_SQL + "SELECT l_orderkey, pos, round(2.0 * nb / (np + ng), 6) AS key_f1 FROM k")
 def key_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return argument_pairs(spark, sf_dir).select("l_orderkey", F.round(S.key_f1(F.col("p"), F.col("g")), 6).alias("key_f1"))
+    return argument_pairs(spark, sf_dir).select("l_orderkey", "pos", F.round(S.key_f1(F.col("p"), F.col("g")), 6).alias("key_f1"))
 
 
-@plans.query(_ARGS_SQL + "SELECT l_orderkey, round(((pa = ga)::INT + coalesce(pb = gb, false)::INT + coalesce(pc = gc, false)::INT) / ng, 6) AS value_accuracy FROM k")
+@plans.query(_ARGS_SQL + "SELECT l_orderkey, pos, round(((pa = ga)::INT + coalesce(pb = gb, false)::INT + coalesce(pc = gc, false)::INT) / ng, 6) AS value_accuracy FROM k")
 def value_acc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return argument_pairs(spark, sf_dir).select("l_orderkey", F.round(S.value_accuracy(F.col("p"), F.col("g")), 6).alias("value_accuracy"))
+    return argument_pairs(spark, sf_dir).select("l_orderkey", "pos", F.round(S.value_accuracy(F.col("p"), F.col("g")), 6).alias("value_accuracy"))
 
 
 @plans.query(
@@ -313,8 +312,6 @@ _CALLS_SQL = """
 def call_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity")
     tool, args = F.concat("l_returnflag", "l_linestatus"), F.to_json(F.struct((F.col("l_quantity").cast("int") % 2).alias("q")))
-    from pyspark.sql.window import Window
-
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     gold = line.select(F.col("l_orderkey").alias("id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("pos"), tool.alias("tool_name"), args.alias("arguments"))
     pred = line.where(F.col("l_partkey") % 9 != 0).select(F.col("l_orderkey").alias("id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", *order)).alias("pos"), F.when(F.col("l_partkey") % 4 == 0, "XX").otherwise(tool).alias("tool_name"), args.alias("arguments"))
