@@ -73,14 +73,17 @@ def waiting_key(args: Column) -> Column:
     return F.try_element_at(F.map_keys(F.map_filter(args, lambda k, v: F.to_json(v).contains(PLACEHOLDER))), F.lit(1))
 
 
-def react_steps(df: DataFrame) -> DataFrame:
+def react_steps(df: DataFrame, cap: int | None = None) -> DataFrame:
     """Chained rows ``id, instruction, steps, observation`` to two rows of one call each.
 
     The second shows the observation (array of station codes) and takes its first one. Rows with fewer than
-    two steps, without a waiting argument or without an observation give nothing.
+    two steps, without a waiting argument or without an observation give nothing. ``cap`` is the target number of records:
+    the chains of the first ids that fill it stay, whole.
     """
     one, two = F.try_element_at("steps", F.lit(1)), F.try_element_at("steps", F.lit(2))
     ready = df.withColumn("_key", waiting_key(two["arguments"])).where((F.size("steps") >= 2) & F.col("_key").isNotNull() & (F.size("observation") > 0))
+    if cap is not None:
+        ready = ready.orderBy("id").limit(-(-cap // 2))
     code = F.parse_json(F.concat(F.lit('"'), F.element_at("observation", 1), F.lit('"')))
     resolved = F.transform_values(two["arguments"], lambda k, v: F.when(k == F.col("_key"), code).otherwise(v))
 

@@ -35,6 +35,11 @@ def group_counts(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("groups"), F.count_if(F.col("best_k") >= 0).alias("with_success"), F.count_if((F.col("avg_reward") > 0) & (F.col("avg_reward") < 1)).alias("mixed"), F.avg("best_reward").alias("avg_best"))
 
 
+def demonstrations(groups: DataFrame) -> DataFrame:
+    """``groups, with_demo, avg_best``: of all groups those whose best rollout can serve as a demonstration, and the mean best reward (0 without groups)."""
+    return groups.agg(F.count("*").alias("groups"), F.count_if(F.col("best_k") >= 0).alias("with_demo"), F.coalesce(F.avg("best_reward"), F.lit(0.0)).alias("avg_best"))
+
+
 def centred(rollouts: DataFrame, value: str = "reward") -> DataFrame:
     """Rewards minus their group's mean: an aggregate and a join, so a hot group needs no single task."""
     means = rollouts.groupBy("id").agg(F.avg(value).alias("_mean"))

@@ -215,14 +215,18 @@ def evaluate_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@plans.query("SELECT expected_action, count(*) AS n, count(*)::BIGINT AS strict_success FROM (SELECT CASE c_custkey % 12 WHEN 5 THEN 'ask_clarification' WHEN 6 THEN 'abstain' WHEN 7 THEN 'abstain' WHEN 9 THEN 'call_functions' WHEN 10 THEN 'call_functions' WHEN 11 THEN 'call_functions' ELSE 'call_function' END AS expected_action FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 5 <> 0 AND c_nationkey % 4 <> 0) GROUP BY 1")
+@plans.query(
+    f"""WITH {_TRANSACTIONAL_SQL},
+            g AS (SELECT CASE WHEN kase IN (0, 1) THEN pay WHEN kase IN (2, 3, 8) THEN bal WHEN kase IN (4, 11) THEN plan WHEN kase = 9 THEN CASE WHEN bal <> 'ok' THEN bal ELSE pay END WHEN kase = 10 THEN CASE WHEN pay <> 'ok' THEN pay ELSE plan END END AS machine_status,
+                         CASE WHEN kase = 5 THEN 'ask_clarification' WHEN kase IN (6, 7) THEN 'abstain' WHEN kase >= 9 THEN 'call_functions' ELSE 'call_function' END AS expected_action FROM st)
+        SELECT expected_action, machine_status, count(*) AS n, sum((coalesce(machine_status, 'ok') = 'ok')::INT)::BIGINT AS strict_success FROM g GROUP BY 1, 2"""
+)
 def mock_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the test double says scores in full wherever the gold itself is allowed; the self-check raises if it does not."""
-    people = table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0 and c_custkey % 5 <> 0 and c_nationkey % 4 <> 0").select(F.col("c_custkey").alias("id"))
-    samples = transactional_samples(spark, sf_dir).join(people, "id")
+    """What the test double says scores in full wherever the gold itself is allowed."""
+    samples = transactional_samples(spark, sf_dir)
     samples = samples.withColumn("raw", evaluator.mock_output(samples))
     out = evaluator.evaluate(samples, "raw", transactional_tools(spark), contracts(spark), subscribers(spark, sf_dir))
-    return evaluator.self_checked(samples, out).groupBy("expected_action").agg(F.count("*").alias("n"), F.count_if(F.col("reward_strict") == 1).alias("strict_success"))
+    return out.groupBy("expected_action", "machine_status").agg(F.count("*").alias("n"), F.count_if(F.col("reward_strict") == 1).alias("strict_success"))
 
 
 #: A defect a case: what the sample has besides the plain ones, the audit's findings, and the verifier's first failing layer.
