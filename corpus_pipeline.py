@@ -59,7 +59,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: MinHash, boosting, LSTM and BPE are beyond SQL: each stage is tested against a brute-force version.
+#: MinHash, boosting, LSTM and BPE are beyond SQL: tests/llm/test_pipeline.py compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 

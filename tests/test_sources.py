@@ -123,3 +123,24 @@ def test_lines_and_values_of_a_folder(spark, tmp_path):
     rows = readers.json_any(spark, str(tmp_path)).orderBy("file", "pos").collect()
     assert [(r["file"], r["json"]) for r in rows] == [("a.jsonl", '{"k": 1}'), ("a.jsonl", '{"k": 2}'), ("b.json", '{"k":3}')]
     assert readers.json_any(spark, str(tmp_path / "a.jsonl")).count() == 2
+
+
+def test_function_sheet(spark, tmp_path):
+    from xml.sax.saxutils import escape
+
+    from toolloom.operators import generation
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    schema = '{"description": "from the schema", "parameters": {"required": ["b"], "properties": {"b": {"type": "string"}, "a": {"type": "integer"}}}}'
+    rows = [["name", "text", "", "schema", "queries", "call"], ["Radio_KPI ", "", "", schema, "- first\n\n-- second", '{"b": "x"}'], ["Other", " own text ", "", '{"parameters": {}}', "", "no json"], ["", "no name", "", "{}", "", ""]]
+    cells = "".join(f'<row r="{i}">' + "".join(f'<c r="{"ABCDEF"[k]}{i}" t="inlineStr"><is><t>{escape(x)}</t></is></c>' for k, x in enumerate(row) if x) + "</row>" for i, row in enumerate(rows, 1))
+    with zipfile.ZipFile(tmp_path / "t.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Function" sheetId="1"/></sheets></workbook>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{cells}</sheetData></worksheet>")
+    df = readers.function_sheet(spark, str(tmp_path / "t.xlsx"))
+    first, second = df.orderBy("pos").collect()
+    assert (first["name"], first["raw_name"], first["description"], first["split"]) == ("radio_kpi", "Radio_KPI", "from the schema", "unseen")
+    assert [(p["name"], p["required"]) for p in first["params"]] == [("a", False), ("b", True)]
+    assert [(e["query"], e["call"]) for e in first["seed_examples"]] == [("first", '{"b": "x"}'), ("second", '{"b": "x"}')]
+    assert (second["description"], second["split"], second["params"], second["seed_examples"], second["seed_call"]) == ("own text", "seen", [], [], None)
+    assert generation.seed_rows(df).count() == 2

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.window import Window
 
-from toolloom.operators.registry import TOOL_JSON, last_wins, tools
+from toolloom.functions.text import bullet_lines
+from toolloom.operators.registry import TOOL_JSON, last_wins, params_of, tools
 
 CALL = "struct<tool_name:string,arguments:string>"
 #: A labelled sample; every field but the id may be absent.
@@ -167,6 +168,30 @@ def code_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     return cells.where("code is not null and code <> ''")
 
 
+#: Tools that are held out for unseen evaluation.
+UNSEEN = ("radio_kpi", "thong_ke_cntt", "top_tram_max", "top_tram_min", "top_cell_max", "top_cell_min", "top_sub_attached_max", "top_sub_attached_min")
+
+
+def function_sheet(spark: SparkSession, path: str, sheet: str = "Function", unseen: tuple[str, ...] = UNSEEN) -> DataFrame:
+    """The tools of a sheet ``name, description, -, schema, queries, call``: ``pos, name, raw_name, description, deprecated, params, split, tool_id, seed_examples, seed_call``.
+
+    Names are lower-cased; the description is the cell's, else the schema's; queries are lines, bullets go; a call that is
+    no JSON object is none. Rows without a name go, a schema that is no JSON raises. Enums come by ``registry.inject_enums``.
+    """
+    spark.dataSource.register(SheetSource)
+    cell = lambda i: F.try_element_at("cells", F.lit(i))
+    rows = spark.read.format("sheet").option("path", path).option("sheet", sheet).load().where("pos > 1")
+    rows = rows.select("pos", F.trim(cell(1)).alias("raw_name"), F.nullif(F.trim(cell(2)), F.lit("")).alias("own"), F.parse_json(cell(4)).alias("v"), cell(5).alias("queries"), cell(6).alias("call")).where("raw_name is not null and raw_name <> ''")
+    call = F.when(F.coalesce(F.schema_of_variant(F.try_parse_json("call")).startswith("OBJECT"), F.lit(False)), F.col("call"))
+    properties = F.coalesce(F.try_variant_get("v", "$.parameters.properties", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    name = F.lower("raw_name")
+    return rows.select(
+        "pos", name.alias("name"), "raw_name", F.coalesce("own", F.try_variant_get("v", "$.description", "string"), F.lit("")).alias("description"), F.lit(False).alias("deprecated"),
+        params_of(properties, F.try_variant_get("v", "$.parameters.required", "array<string>")).alias("params"), F.when(name.isin(*unseen), "unseen").otherwise("seen").alias("split"),
+        F.concat(F.lit("telco.kpi."), name, F.lit(".v1.0")).alias("tool_id"), F.transform(bullet_lines(F.col("queries")), lambda q: F.struct(q.alias("query"), call.alias("call"))).alias("seed_examples"), call.alias("seed_call"),
+    )
+
+
 def with_position(df: DataFrame, *order: str) -> DataFrame:
     """Explicit positions for tables whose row order means something; for small tables."""
     return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
