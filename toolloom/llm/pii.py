@@ -47,7 +47,7 @@ _ANCHOR = re.compile("[0-9@]")
 _SIGN = re.compile(r"[0-9@]|[\[({] ?(?:at|AT) ?[\])}]|\s(?:at|AT)\s\S+\s(?:dot|DOT)\s")
 #: Spelled-out or spaced-out signs of an address, and what stands between the numbers of other kinds.
 _AT = re.compile(r" ?[\[({] ?(?:at|AT|@) ?[\])}] ?| (?:at|AT) | @ ?|@ ")
-_DOT = re.compile(r" ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| (?:dot|DOT) | \. ?|\. ")
+_DOT = re.compile(r" ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| (?:dot|DOT) | \. ")
 _LOOSE_IP = re.compile(r"[0-9]{1,3}(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}")
 _LOOSE_CARD = re.compile(r"[0-9](?:[ ./_-]{0,2}[0-9])+")
 _LOOSE_PHONE = re.compile(r"[+(]?[0-9](?:[ ()./-]{0,3}[0-9])+")
@@ -98,8 +98,9 @@ def passes(kind: str, item: str) -> bool:
     if kind == "email":
         if emails(item) == [(0, len(item))]:
             return True
-        spelled = _DOT.sub(".", _AT.sub("@", item))
-        return spelled.count("@") == 1 and " " not in spelled and emails(spelled) == [(0, len(spelled))]
+        local, at, domain = _AT.sub("@", item).partition("@")
+        spelled = f"{local}@{_DOT.sub('.', domain)}"
+        return bool(at) and spelled.count("@") == 1 and emails(spelled) == [(0, len(spelled))]
     digits = _digits(item)
     if kind == "ip":
         return bool(_LOOSE_IP.fullmatch(item)) and all(int(p) <= 255 for p in re.findall("[0-9]+", item))
@@ -109,6 +110,13 @@ def passes(kind: str, item: str) -> bool:
     return bool(_LOOSE_PHONE.fullmatch(item)) and 10 <= len(digits) <= 15 and marked and item.count("(") == item.count(")") and not _LOOSE_IP.fullmatch(item)
 
 
+def trimmed(kind: str, text: str, begin: int, end: int) -> int:
+    """Begin of a proposed span without what an address can't hold: words before its local part."""
+    m = _AT.search(text, begin, end) if kind == "email" else None
+    at = m.start() if m else text.find("@", begin, end) if kind == "email" else -1
+    return begin if at < 0 else begin + len(re.match(r"(?s)(?:.*\s)?", text[begin:at])[0])
+
+
 def apart(kind: str, text: str, begin: int, end: int) -> bool:
     """Whether a span is not a piece of a longer number or name."""
     inner = (lambda c: c.isalnum()) if kind == "email" else (lambda c: "0" <= c <= "9")
@@ -297,6 +305,7 @@ def reconcile(text: str, proposed: list[tuple[str, int, int, float, bool]], base
     taken: list[tuple[int, int]] = sorted((a, b) for _, a, b in base)
     out = []
     for kind, a, b, _, _ in sorted(set(proposed), key=lambda s: (s[4], -round(s[3], 3), s[1], s[2], s[0])):
+        a = trimmed(kind, text, a, b)
         if apart(kind, text, a, b) and passes(kind, text[a:b]) and not any(a < y and x < b for x, y in taken):
             taken.append((a, b))
             out.append((kind, a, b))
