@@ -207,6 +207,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def finite(vector: Column) -> Column:
+    """Whether a vector is there and all its components are finite."""
+    return vector.isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
+
+
 def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that start with ``wanted`` and clash with none of ``df``."""
     taken = {c.lower() for c in df.columns}

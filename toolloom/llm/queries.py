@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolloom.llm import common, decontamination, near_duplicates, neighbours, packing, pii, quality, sharding, token_counts, token_files, urls
+from toolloom.llm import common, conversations, decontamination, near_duplicates, neighbours, packing, pii, pivots, quality, runs, sharding, token_counts, token_files, urls
 from toolloom.llm.encoding import vocabulary
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -57,7 +57,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_token_files, op4_decontamination, op5_personal_data, op6_token_counts, op7_neighbours, op8_quality, op9_url_filter, op10_sharding)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damaged(common.read(spark, sf_dir, "conversations")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(common.read(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.search(common.read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_token_files, op4_decontamination, op5_personal_data, op6_token_counts, op7_neighbours, op8_quality, op9_url_filter, op10_sharding, op11_conversation_repair, op12_periodic_runs, op13_exact_search)}
 
 ORACLES: dict[str, str] = {
     "op9_url_filter": r"""
