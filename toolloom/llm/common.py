@@ -37,13 +37,15 @@ _results: dict[str | None, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) a folder below the warehouse is
-    taken and set as the checkpoint folder.
+    Only where a session on one machine leaves it unset, as in tests, a folder below the warehouse is
+    taken and set as the checkpoint folder; on a cluster a missing setting is an error.
     """
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         return own.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     spark.sparkContext.setCheckpointDir(path)
     return path

@@ -69,8 +69,9 @@ def shard(docs: DataFrame, shards: int, seed: int = 1) -> DataFrame:
     """
     text = common.text_or_empty()
     light = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    light = common.written(light, "sharding-rows")
-    ordered = light.repartitionByRange("doc_id", "text_crc32", "size").sortWithinPartitions("doc_id", "text_crc32", "size")
+    light = common.written(light.withColumn("salt", F.monotonically_increasing_id()), "sharding-rows")
+    # equal rows that make up a large part of the table are cut by the salt
+    ordered = light.repartitionByRange("doc_id", "text_crc32", "size", "salt").sortWithinPartitions("doc_id", "text_crc32", "size").drop("salt")
     # partition number in the upper 31 bits, place in the partition in the lower 33
     ordered = common.written(ordered.withColumn("at", F.monotonically_increasing_id()), "sharding-sorted")
     counts = ordered.groupBy(F.shiftright("at", 33).alias("part")).count().orderBy("part").collect()  # a row a shuffle partition

@@ -173,9 +173,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -
         if lengths:
             yield block()
 
-    # copies under one id that many rows share are told apart by their content; equal content may lie in any order
+    # copies under one id that many rows share are told apart by their content; equal content may lie in any order and is cut by a salt
     order = ["doc_id", "n_tokens", F.crc32("ids"), "ids"]
-    sorted_docs = tokens.repartitionByRange("doc_id", "n_tokens", F.crc32("ids")).sortWithinPartitions(*order).select("doc_id", "ids")
+    sorted_docs = tokens.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange("doc_id", "n_tokens", F.crc32("ids"), "salt").sortWithinPartitions(*order).select("doc_id", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sorted_docs.mapInArrow(encode, f"part int, block long, start_in_part long, n_tokens long, doc_ids array<{kind}>, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
