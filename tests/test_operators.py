@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -220,13 +221,97 @@ def test_evaluator_routes_and_self_check(spark):
     assert evaluator.evaluate_read_only(samples.limit(0), "raw", read_only_tools(spark)).count() == 0
 
 
-def test_large_registries_are_refused(spark, monkeypatch):
+SAMPLE = "id int, source string, expected_action string, expected_status string, customer_verified boolean, missing_slots array<string>, gold_call struct<tool_name:string,arguments:string>, gold_calls array<struct<tool_name:string,arguments:string>>, gold_steps array<struct<tool_name:string,arguments:string>>"
+
+
+def _people(spark):
+    rows = [(str(i), json.dumps({"customer_id": str(i), "status": "active", "plan_id": "P1", "outstanding_balance": 50.0, "balance": 7.0})) for i in (1, 2)]
+    return spark.createDataFrame(rows, "customer_id string, s string").select("customer_id", F.from_json("s", executor.STATE).alias("state"))
+
+
+def test_two_customers_null_and_repeated_ids(spark):
+    """Writes are seen by later calls on the same customer only; tickets are numbered in the sample; equal rows stay apart."""
+    from toolloom.operators import evaluator
+    from toolloom.plans.end_to_end import contracts, transactional_tools
+
+    pay, bal, plan = (lambda c, n: ("pay_bill", f'{{"customer_id": "{c}", "amount": {n}}}')), (lambda c: ("get_balance", f'{{"customer_id": "{c}"}}')), (lambda c, p: ("change_plan", f'{{"customer_id": "{c}", "new_plan": "{p}"}}'))
+    steps = [pay(1, 10), bal(2), bal(1), pay(1, 100), bal(1), plan(2, "P2"), plan(2, "P2"), plan(1, "P2")]
+    rows = [(i, "o", "call_functions", None, True, None, None, None, steps) for i in (None, None, 5, 5)]
+    samples = spark.createDataFrame(rows, SAMPLE)
+    out = evaluator.evaluate(samples.withColumn("raw", evaluator.mock_output(samples)), "raw", transactional_tools(spark), contracts(spark), _people(spark)).collect()
+    assert sorted(str(r["id"]) for r in out) == ["5", "5", "None", "None"]
+    for r in out:
+        said = [json.loads(x) if x else None for x in r["execution_output"]]
+        assert [x and x.get("outstanding_balance") for x in said] == [40.0, 50.0, 40.0, 0.0, 0.0, None, None, None]
+        assert [i["code"] for i in r["issues"]] == ["precondition_failed"] and said[6] is None and said[5]["plan_id"] == said[7]["plan_id"] == "P2"
+        assert r["machine_status"] == "contract_invalid" and r["execution_success_rate"] == 7 / 8
+
+
+def test_tickets_are_numbered_in_the_sample(spark):
     from toolloom.operators import evaluator
+    from toolloom.plans.end_to_end import _tools, contracts
+
+    tools = _tools(spark, [("open_support_ticket", False, '{"customer_id": {"type": "string"}, "category": {"type": "string"}}', ["customer_id"])])
+    calls = [("open_support_ticket", f'{{"customer_id": "{c}", "category": "x"}}') for c in (1, 2, 1)]
+    samples = spark.createDataFrame([(1, "o", "call_functions", None, True, None, None, calls, None)], SAMPLE)
+    out = evaluator.evaluate(samples.withColumn("raw", evaluator.mock_output(samples)), "raw", tools, contracts(spark), _people(spark)).first()
+    assert [json.loads(x)["ticket_id"] for x in out["execution_output"]] == ["T0001", "T0002", "T0003"]
+
+
+def test_a_registry_of_200000_tools(spark):
+    """Large registries and catalogues are joined, not held beside a row; the plan scans the samples once."""
+    from toolloom.operators import evaluator
+    from toolloom.plans.end_to_end import contracts, read_only_tools, transactional_tools
 
-    monkeypatch.setattr(evaluator, "REGISTRY_ROWS", 2)
-    tools = spark.range(3).select(F.col("id").cast("string").alias("name"), F.lit(False).alias("deprecated"), F.array().alias("params"))
-    with pytest.raises(ValueError, match="more than 2 rows"):
-        evaluator.beside(spark.range(1), tools)
+    who = '{"name": "customer_id", "type": "string", "required": true, "place": 0}'
+    kind = transactional_tools(spark).schema["params"].dataType.simpleString()
+    many = spark.range(200_000).select(F.concat(F.lit("tool_"), F.col("id").cast("string")).alias("name"), F.lit(False).alias("deprecated"), F.from_json(F.lit(f"[{who}]"), kind).alias("params"))
+    tools = transactional_tools(spark).select("name", "deprecated", "params").unionByName(read_only_tools(spark).select("name", "deprecated", "params")).unionByName(many)
+    codes = spark.range(150_000).select(F.lit("location_code").alias("param"), F.concat(F.lit("L"), F.col("id").cast("string")).alias("code"))
+    seen = ("station_info", '{"location_code": "L149999"}'), ("station_info", '{"location_code": "L150000"}')
+    rows = [(1, "o", "call_function", None, True, None, ("get_balance", '{"customer_id": "1"}'), None, None), (2, "o", "call_function", "execution_failed", True, None, ("tool_199999", '{"customer_id": "2"}'), None, None), (3, "real_tool_xlsx", "call_function", None, True, None, seen[0], None, None), (4, "real_tool_xlsx", "call_function", None, True, None, seen[1], None, None)]
+    samples = spark.createDataFrame(rows, SAMPLE)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = evaluator.route(samples.withColumn("raw", evaluator.mock_output(samples)), "raw", tools, contracts(spark), _people(spark), codes)
+        assert {r["id"]: (r["read_only"], r["machine_status"]) for r in out.collect()} == {1: (False, "ok"), 2: (False, "execution_failed"), 3: (True, "ok"), 4: (True, "wrong_call")}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[-1].count("ArrowEvalPython") == 1  # parsed once
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lookups_keep_rows_and_order(spark):
+    from toolloom.operators.lookup import with_lookups
+
+    held = spark.createDataFrame([(f"k{i}", i) for i in range(50)] + [("k7", 7)], "key string, value int")
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 1, 2]), None if rng.random() < 0.1 else [rng.choice([None, "zz", *(f"k{i}" for i in range(50))]) for _ in range(rng.randrange(5))]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "key int, keys array<string>").repartition(5)
+    found = sorted(((r["key"], r["keys"], r["_found"]) for r in with_lookups(df, F.col("keys"), held).collect()), key=repr)
+    assert found == sorted(((k, ks, [int(x[1:]) if x and x != "zz" else None for x in ks or []]) for k, ks in rows), key=repr)
+    assert with_lookups(df.limit(0), F.col("keys"), held).collect() == []
+
+
+def test_names_in_texts_equal_trying_each_name(spark):
+    import re
+
+    from toolloom.operators import audit
+
+    names = [("Hà Nội", "A"), (" hà nội ", "B"), ("TP. Hồ Chí Minh", "C"), ("Bà Rịa - Vũng Tàu", "D"), ("Hue", "E"), ("a-b c", "F"), ("....", "G"), ("Minh", "H"), ("(x) ab", "I"), (None, "J")]
+    texts = ["đi Hà Nội hôm nay", "hà nội2", "TP. Hồ Chí Minh!", "TP Hồ Chí Minh", "bà rịa - vũng tàu và hà nội", "bà rịa-vũng tàu", "at hue", "x a-b c.", "wait ....", "a....b", "(x) ab", "y(x) ab", "", None, "MINH minh"]
+    low: dict = {}
+    for n, c in names:
+        if n and len(n.strip()) >= 4:
+            low[n.strip().lower()] = min(c, low.get(n.strip().lower(), c))
+    word = r"[^\W]"
+
+    def wanted(t):
+        return sorted(c for n, c in low.items() if t and re.search(rf"(?<!{word}){re.escape(n)}(?!{word})", t.lower()))
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    found = audit.with_named(df, "text", spark.createDataFrame(names, "name string, code string")).collect()
+    assert {r["id"]: sorted(x["code"] for x in r["named"] or []) for r in found} == {i: wanted(t) for i, t in enumerate(texts)}
 
 
 def test_hand_written_samples(spark):

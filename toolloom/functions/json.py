@@ -30,8 +30,12 @@ def value_text(value: Column) -> Column:
 
 def json_type(value: Column) -> Column:
     """string, integer, number, boolean, object, array or null."""
-    kind = F.schema_of_variant(value)
-    whole = kind.isin("BIGINT", "TINYINT", "SMALLINT", "INT") | (kind.startswith("DECIMAL") & ~F.to_json(value).contains("."))
+    return kind_of(F.schema_of_variant(value), F.to_json(value))
+
+
+def kind_of(kind: Column, text: Column) -> Column:
+    """The JSON type of a variant with this schema and this text."""
+    whole = kind.isin("BIGINT", "TINYINT", "SMALLINT", "INT") | (kind.startswith("DECIMAL") & ~text.contains("."))
     return (
         F.when(kind == "STRING", "string")
         .when(kind == "BOOLEAN", "boolean")
@@ -147,7 +151,7 @@ def _prediction(v: Column) -> Column:
     def made(kind, calls=no_calls, slots=no_slots, reason=none, error=none):
         return F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("action"), calls.alias("calls"), slots.alias("asked_slots"), reason.alias("reason"), error.alias("parse_error"))
 
-    error = made("abstain", reason=F.lit("parse_error"), error=F.lit("JSON object does not match expected action schema."))
+    error = made("abstain", reason=F.lit("parse_error"), error=F.lit(NO_ACTION))
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), (
         F.when((action == "call_function") & one_ok, made("call_function", one))
         .when((action == "call_functions") & (F.size(many) == 1), made("call_function", many))
@@ -202,6 +206,10 @@ def _is_one_object(candidate: Column) -> Column:
     return F.coalesce(F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), candidate, F.lit("]"))), "$", "array<variant>")) == 1, F.lit(False))
 
 
+#: Texts of parse errors.
+NO_OBJECT, INVALID, NO_ACTION = "No JSON object found in model output.", "Invalid JSON", "JSON object does not match expected action schema."
+
+
 def with_predictions(df: DataFrame, text: Column, name: str = "prediction") -> DataFrame:
     """``df`` with the predictions in raw model outputs. Python only sees outputs that don't parse as one object.
 
@@ -211,7 +219,7 @@ def with_predictions(df: DataFrame, text: Column, name: str = "prediction") -> D
     out = df.withColumn("_seen", seen)
     c = F.col("_seen")
     out = out.withColumn("_repaired", _repaired(F.when(c["candidate"].isNotNull() & ~c["one"], c["clean"])))
-    error = F.when(c["candidate"].isNull(), "No JSON object found in model output.").otherwise("Invalid JSON")
+    error = F.when(c["candidate"].isNull(), NO_OBJECT).otherwise(INVALID)
     none = F.lit(None)
     failed = F.struct(F.lit("abstain").alias("action"), none.cast(f"array<{CALL}>").alias("calls"), none.cast("array<string>").alias("asked_slots"), F.lit("parse_error").alias("reason"), error.alias("parse_error"))
     repaired = _prediction(F.try_parse_json(F.col("_repaired")))

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolloom.functions.json import args_map
-from toolloom.functions.text import has_phrase, is_date, token_set, too_short
+from toolloom.functions.text import has_phrase, is_date, token_set, tokens, too_short
 from toolloom.functions.values import first_filled
-from toolloom.operators.evaluator import REGISTRY_ROWS, beside
+from toolloom.operators.evaluator import CALLS, catalogue, code_keys, tool_keys, with_listed
+from toolloom.operators.lookup import key, with_lookups
 from toolloom.operators.validation import PLACEHOLDER, schema_issues
 
 SHORT = 8
@@ -43,27 +44,58 @@ def dates_ok(calls: Column) -> Column:
     return ~F.exists(calls, one)
 
 
-def codes_ok(calls: Column, locations: Column, stations: Column) -> Column:
-    """Object codes are locations or stations; station codes are stations where there are any."""
+def codes_ok(calls: Column) -> Column:
+    """Object codes are locations or stations; station codes are stations where there are any. Calls as in ``_looked_up``."""
 
     def one(c: Column) -> Column:
-        o, s = _text(c["arguments"], "object_code"), _text(c["arguments"], "station_code")
-        bad_o = o.isNotNull() & ~_open(o) & ~F.array_contains(F.array_union(locations, stations), o)
-        bad_s = s.isNotNull() & ~_open(s) & (F.size(stations) > 0) & ~F.array_contains(stations, s)
-        return bad_o | bad_s
+        bad_s = _off(c, "station_code") & F.array_contains(F.col("_listed"), F.lit("station_code"))
+        return _off(c, "object_code") | bad_s
 
     return ~F.exists(calls, one)
 
 
-def matched_locations(instruction: Column, names: Column, least: int = 4) -> Column:
-    """Codes of ``names`` (array of struct<name, code>) whose names stand in the request as whole words."""
-    low = F.lower(instruction)
-    return F.transform(F.filter(names, lambda n: (F.length(F.trim(n["name"])) >= least) & has_phrase(low, F.lower(F.trim(n["name"])))), lambda n: n["code"])
+def name_catalogue(names: DataFrame, least: int = 4) -> tuple[DataFrame, DataFrame]:
+    """``key, places`` of ``names(name, code)`` of at least so many letters by their words, and one row ``_sizes`` of their numbers of words.
+
+    Of equal names the least code stays. Names without a word have the key of no words.
+    """
+    low = names.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("code").alias("code")).where(F.length("name") >= least)
+    worded = low.withColumn("words", tokens(F.col("name")))
+    places = worded.groupBy(key("name", F.array_join("words", " ")).alias("key")).agg(F.sort_array(F.collect_list(F.struct("name", "code"))).alias("places"))
+    return places, worded.agg(F.array_union(F.collect_set(F.size("words")), F.array(F.lit(0))).alias("_sizes"))
+
+
+def name_keys(text: Column, sizes: Column) -> Column:
+    """Keys of the word sequences of a text that can be names: each sequence of one of ``sizes`` words once."""
+
+    def of_size(words: Column, k: Column) -> Column:
+        last = F.when(k == 0, F.lit(1)).otherwise(F.size(words) - k + 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: key("name", F.array_join(F.slice(words, i, k), " ")))).otherwise(F.array().cast("array<string>"))
+
+    each = F.transform(F.array(tokens(text)), lambda words: F.flatten(F.transform(sizes, lambda k: of_size(words, k))))
+    return F.array_distinct(F.element_at(each, 1))
+
+
+def _named(text: Column, found: Column) -> Column:
+    """``struct<name, code>`` of the names that stand in the text as whole words, of the catalogue's values for its ``name_keys``."""
+    met = F.flatten(F.transform(F.filter(found, lambda v: v["places"].isNotNull()), lambda v: v["places"]))
+    return F.filter(met, lambda n: has_phrase(F.lower(text), n["name"]))
 
 
-def city_ok(instruction: Column, names: Column, calls: Column) -> Column:
-    """If the request names locations, every gold location is one of them."""
-    matched = matched_locations(instruction, names)
+def with_named(df: DataFrame, text: str, names: DataFrame, least: int = 4, name: str = "named") -> DataFrame:
+    """``df`` with ``name``, ``struct<name, code>`` of the names that stand in a text as whole words.
+
+    The text's word sequences meet the names in one hash join; only what meets is compared in full, so the work does not
+    grow with the number of names.
+    """
+    places, sizes = name_catalogue(names, least)
+    asked = df.crossJoin(F.broadcast(sizes))  # one row of a few numbers
+    met = with_lookups(asked, name_keys(F.col(text), F.col("_sizes")), places.select("key", F.struct("places").alias("value")), "_places")
+    return met.withColumn(name, _named(F.col(text), F.col("_places"))).drop("_sizes", "_places")
+
+
+def city_ok(matched: Column, calls: Column) -> Column:
+    """If the request names locations (their codes), every gold location is one of them."""
     gold = F.filter(F.transform(calls, lambda c: _text(c["arguments"], "location_code")), lambda x: x.isNotNull() & (x != ""))
     return (F.size(matched) == 0) | (F.size(F.array_except(gold, matched)) == 0)
 
@@ -100,9 +132,10 @@ def all_calls(single: Column, several: Column, steps: Column) -> Column:
     return F.when(single.isNotNull(), F.array(single)).otherwise(first_filled(several, steps))
 
 
-def _off(value: Column, valid: Column) -> Column:
+def _off(call: Column, name: str) -> Column:
     """Whether a given code is none of the catalogue's; waiting values are not looked up."""
-    return value.isNotNull() & ~_open(value) & ~F.coalesce(F.array_contains(valid, value), F.lit(False))
+    value = _text(call["arguments"], name)
+    return value.isNotNull() & ~_open(value) & ~call["known"][name]
 
 
 def _names(*checks: tuple[Column, str]) -> Column:
@@ -113,43 +146,28 @@ def _names(*checks: tuple[Column, str]) -> Column:
 def row_checks() -> Column:
     """Names of the failed checks of a sample, in order; a check that several calls or dates fail comes as often.
 
-    A row has the columns of ``audit`` and the maps that stand beside it. A masked tool without parameters has no schema.
+    A row has the columns of ``_looked_up``. A masked tool without parameters has no schema.
     """
     c, none = F.col, F.array().cast("array<string>")
-    action = c("expected_action")
-    calls = all_calls(c("gold_call"), c("gold_calls"), c("gold_steps"))
-    masked = c("masked_tool")
-
-    def tool_of(name: Column) -> Column:
-        return F.when(masked["name"].eqNullSafe(name), masked).otherwise(F.try_element_at("_tools", F.coalesce(name, F.lit(""))))
-
-    def codes(name: str) -> Column:
-        return F.coalesce(F.try_element_at("_codes", F.lit(name)), none)
-
-    def of_call(call: Column) -> Column:
-        found = F.struct(call["tool_name"].alias("name"), tool_of(call["tool_name"]).alias("tool"), args_map(call["arguments"]).alias("args"))
-
-        def one(x: Column) -> Column:
-            issues = schema_issues(x["tool"], substituted(x["args"], x["tool"]["params"]), x["name"])
-            bad = F.exists(issues, lambda i: i["code"] != "deprecated_tool")
-            f, t = _text(x["args"], "from_date"), _text(x["args"], "to_date")
-            dates = [(v.isNotNull() & ~_open(v) & ~is_date(v), "bad_date_format") for v in (_text(x["args"], k) for k in DATE_KEYS)]
-            checks = _names(
-                (bad, "schema_invalid_gold"),
-                (_off(_text(x["args"], "object_code"), F.array_union(codes("location_code"), codes("station_code"))), "object_code_off_catalogue"),
-                *((_off(_text(x["args"], k), codes(k)), f"{k}_off_catalogue") for k in CATALOGUES),
-                *dates, (F.coalesce(is_date(f) & is_date(t) & (f > t), F.lit(False)), "from_after_to"),
-            )
-            return F.when(x["tool"].isNull(), F.array(F.lit("unknown_tool"))).otherwise(checks)
-
-        return F.element_at(F.transform(F.array(found), one), 1)
+    action, masked, calls = c("expected_action"), c("masked_tool"), c("_typed")
+
+    def of_call(x: Column) -> Column:
+        issues = schema_issues(x["tool"], substituted(x["arguments"], x["tool"]["params"]), x["name"])
+        bad = F.exists(issues, lambda i: i["code"] != "deprecated_tool")
+        f, t = _text(x["arguments"], "from_date"), _text(x["arguments"], "to_date")
+        dates = [(v.isNotNull() & ~_open(v) & ~is_date(v), "bad_date_format") for v in (_text(x["arguments"], k) for k in DATE_KEYS)]
+        checks = _names(
+            (bad, "schema_invalid_gold"), (_off(x, "object_code"), "object_code_off_catalogue"), *((_off(x, k), f"{k}_off_catalogue") for k in CATALOGUES),
+            *dates, (F.coalesce(is_date(f) & is_date(t) & (f > t), F.lit(False)), "from_after_to"),
+        )
+        return F.when(x["tool"].isNull(), F.array(F.lit("unknown_tool"))).otherwise(checks)
 
     slots = F.coalesce(c("missing_slots"), none)
     asks, is_masked = action == "ask_clarification", (c("scenario_family") == "masking") | masked.isNotNull()
-    checker = F.struct(tool_of(c("checker_call")["tool_name"]).alias("tool"), args_map(c("checker_call")["arguments"]).alias("args"))
+    checker, given = c("_checker"), args_map(c("checker_call")["arguments"])
     required = F.coalesce(F.transform(F.filter(checker["tool"]["params"], lambda p: p["required"]), lambda p: p["name"]), none)
     both = F.array(F.lit("from_date"), F.lit("to_date"))
-    valid = checker["tool"].isNotNull() & (F.size(schema_issues(checker["tool"], checker["args"], c("checker_call")["tool_name"])) == 0)
+    valid = checker["tool"].isNotNull() & (F.size(schema_issues(checker["tool"], checker["arguments"], checker["name"])) == 0)
     before = _names(
         (too_short(c("instruction"), SHORT), "short_instruction"),
         ((action == "call_function") & c("gold_call").isNull(), "missing_gold_call"),
@@ -157,9 +175,9 @@ def row_checks() -> Column:
         (asks & ((F.size(slots) == 0) | c("checker_call").isNull()), "missing_clar_fields"),
         ((action == "abstain") & c("reason").isNull(), "missing_abstain_reason"),
     )
-    locations = F.filter(F.transform(calls, lambda x: _text(args_map(x["arguments"]), "location_code")), lambda x: x.isNotNull() & (x != ""))
-    matched = matched_locations(c("instruction"), c("_names"))
-    waits = F.exists(calls, lambda x: F.coalesce(x["arguments"].contains(PLACEHOLDER), F.lit(False)))
+    locations = F.filter(F.transform(calls, lambda x: _text(x["arguments"], "location_code")), lambda x: x.isNotNull() & (x != ""))
+    matched = c("_matched")
+    waits = F.exists(c("_calls"), lambda x: F.coalesce(x["arguments"].contains(PLACEHOLDER), F.lit(False)))
     after = _names(
         ((F.size(matched) > 0) & (F.size(F.array_except(locations, matched)) > 0), "city_code_mismatch"),
         (waits & ~((action == "call_functions") & F.coalesce(F.size("gold_steps") > 0, F.lit(False))), "placeholder_leak"),
@@ -167,19 +185,43 @@ def row_checks() -> Column:
         (is_masked & (F.coalesce(F.size(masked["params"]), F.lit(0)) <= 0), "masked_no_schema"),
         (is_masked & (masked["name"] != "") & ~F.contains(F.coalesce(c("instruction"), F.lit("")), masked["name"]), "masked_name_not_in_instruction"),
         (asks & (F.size(F.array_except(slots, required)) > 0), "missing_slot_not_required"),
-        (asks & (F.size(F.array_intersect(slots, F.map_keys(checker["args"]))) > 0), "missing_slot_present_in_checker"),
+        (asks & (F.size(F.array_intersect(slots, F.map_keys(given))) > 0), "missing_slot_present_in_checker"),
         (asks & F.arrays_overlap(slots, both) & (F.size(F.array_except(both, slots)) > 0), "date_pair_incomplete"),
         (asks & valid, "clarification_checker_actually_valid"),
     )
     return F.concat(before, F.flatten(F.transform(calls, of_call)), after)
 
 
-def with_catalogues(samples: DataFrame, tools: DataFrame, references: DataFrame, names: DataFrame) -> DataFrame:
-    """``samples`` with the catalogues beside them: tools, ``references(param, code)`` (stations as ``station_code``) and ``names(name, code)`` of locations."""
-    row = names.groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("code").alias("code")).limit(REGISTRY_ROWS + 1)
-    listed = row.agg(F.collect_list(F.struct("name", "code")).alias("_names"))
-    out = beside(samples, tools, None, references).crossJoin(F.broadcast(listed))  # one row
-    return out.withColumn("_names", F.when(F.size("_names") > REGISTRY_ROWS, F.raise_error(F.lit("too many location names"))).otherwise(F.col("_names")))
+def _looked_up(samples: DataFrame, tools: DataFrame, references: DataFrame, names: DataFrame) -> DataFrame:
+    """``samples`` with what their calls and requests name, by one lookup in catalogues of any size.
+
+    ``_typed`` are the gold calls and ``_checker`` the checker call as ``struct<name, arguments map, tool, known>``, where ``known`` says by
+    parameter whether the catalogue has the code; ``_matched`` are the codes of locations that the request names, ``_listed`` the
+    parameters that have a catalogue. ``references(param, code)`` has stations as ``station_code``; ``names(name, code)`` are locations.
+    """
+    c = F.col
+    df = samples.withColumn("_calls", all_calls(c("gold_call"), c("gold_calls"), c("gold_steps")))
+    checker = F.when(c("checker_call").isNotNull(), F.array(c("checker_call"))).otherwise(F.array().cast(CALLS))
+    df = df.withColumn("_every", F.concat("_calls", checker))
+    places, sizes = name_catalogue(names)
+    df = df.crossJoin(F.broadcast(sizes))  # one row of a few numbers
+    every, n = c("_every"), F.size("_every")
+    wanted = [(k, k) for k in CATALOGUES] + [("object_code", "location_code"), ("object_code", "station_code")]
+    keys = F.concat(tool_keys(every), *(code_keys(every, name, param) for name, param in wanted), name_keys(c("instruction"), c("_sizes")))
+    df = with_lookups(df, keys, catalogue(tools, None, None, references, places))
+    df = with_listed(df, references, CATALOGUES)
+    masked, found = c("masked_tool"), c("_found")
+
+    def typed(x: Column, i: Column) -> Column:
+        held = [F.coalesce(F.get(found, n * (k + 1) + i)["listed"], F.lit(False)) for k in range(len(wanted))]
+        known = F.struct(*(h.alias(name) for h, (name, _) in zip(held, wanted[: len(CATALOGUES)], strict=False)), (held[-2] | held[-1]).alias("object_code"))
+        tool = F.when(masked["name"].eqNullSafe(x["tool_name"]), masked).otherwise(F.get(found, i)["tool"])
+        return F.struct(x["tool_name"].alias("name"), args_map(x["arguments"]).alias("arguments"), tool.alias("tool"), known.alias("known"))
+
+    df = df.withColumn("_all", F.transform(every, typed))
+    matched = F.transform(_named(c("instruction"), F.slice(found, n * (len(wanted) + 1) + 1, F.greatest(F.size(found), F.lit(1)))), lambda p: p["code"])
+    df = df.withColumns({"_typed": F.slice("_all", F.lit(1), F.size("_calls")), "_checker": F.try_element_at("_all", F.size("_calls") + 1), "_matched": matched})
+    return df.drop("_found", "_every", "_all", "_sizes")
 
 
 def audit(samples: DataFrame, tools: DataFrame, references: DataFrame, names: DataFrame, file: str = "file") -> DataFrame:
@@ -188,7 +230,7 @@ def audit(samples: DataFrame, tools: DataFrame, references: DataFrame, names: Da
     Samples: ``id, instruction, scenario_family, expected_action, gold_call, gold_calls, gold_steps, missing_slots,
     checker_call, reason, masked_tool`` and the file's column.
     """
-    return with_catalogues(samples, tools, references, names).select(file, "id", F.explode(row_checks()).alias("check"))
+    return _looked_up(samples, tools, references, names).select(file, "id", F.explode(row_checks()).alias("check"))
 
 
 def primary_tool(single: Column, several: Column, steps: Column, checker: Column) -> Column:
@@ -209,22 +251,15 @@ def verify(samples: DataFrame, tools: DataFrame, references: DataFrame, names: D
 
     Columns as ``audit``; ``semantic`` names a judge's verdict (boolean, null keeps).
     """
-    df = with_catalogues(samples, tools, references, names)
-    c, none = F.col, F.array().cast("array<string>")
-    calls = all_calls(c("gold_call"), c("gold_calls"), c("gold_steps"))
-    typed = F.transform(calls, lambda x: F.struct(x["tool_name"].alias("tool_name"), args_map(x["arguments"]).alias("arguments")))
-    masked = c("masked_tool")
+    df, c = _looked_up(samples, tools, references, names), F.col
 
-    def issues_of(name: Column, args: Column, waiting: bool) -> Column:
-        tool = F.when(masked["name"].eqNullSafe(name), masked).otherwise(F.try_element_at("_tools", F.coalesce(name, F.lit(""))))
-        return F.element_at(F.transform(F.array(F.struct(tool.alias("t"), args.alias("a"))), lambda x: F.size(schema_issues(x["t"], substituted(x["a"], x["t"]["params"]) if waiting else x["a"], name))), 1)
+    def issues_of(x: Column, args: Column) -> Column:
+        return F.size(schema_issues(x["tool"], args, x["name"]))
 
-    df = df.withColumn("_typed", typed)
-    broken = F.size(F.filter("_typed", lambda x: issues_of(x["tool_name"], x["arguments"], True) > 0))
-    checker = c("checker_call").isNotNull() & (issues_of(c("checker_call")["tool_name"], args_map(c("checker_call")["arguments"]), False) > 0)
+    broken = F.size(F.filter("_typed", lambda x: issues_of(x, substituted(x["arguments"], x["tool"]["params"])) > 0))
+    checker = c("checker_call").isNotNull() & (issues_of(c("_checker"), c("_checker")["arguments"]) > 0)
     schema = schema_ok(c("expected_action"), F.size("_typed"), broken, checker)
-    at = lambda name: F.coalesce(F.try_element_at("_codes", F.lit(name)), none)
-    fail = first_fail(c("instruction"), schema, codes_ok(c("_typed"), at("location_code"), at("station_code")), dates_ok(c("_typed")), city_ok(c("instruction"), c("_names"), c("_typed")), None if semantic is None else c(semantic), c("scenario_family"))
+    fail = first_fail(c("instruction"), schema, codes_ok(c("_typed")), dates_ok(c("_typed")), city_ok(c("_matched"), c("_typed")), None if semantic is None else c(semantic), c("scenario_family"))
     return df.withColumn("first_fail", fail).select(*samples.columns, "first_fail")
 
 

@@ -87,7 +87,7 @@ OUTPUTS: dict[str, dict[str, Callable[[Column, Column], Column]]] = {
     "activate_esim": {"esim_active": _always(True), "eid": _echo("eid")},
     "replace_sim": {"sim_type": _echo("sim_type"), "status": _always("replacement_queued")},
     "open_support_ticket": {
-        "ticket_id": lambda s, a: F.format_string("T%04d", F.coalesce(s["tickets"], F.lit(0)) + 1),
+        "ticket_id": lambda s, a: F.lit(None).cast("string"),  # numbered by ``output``
         "customer_id": _echo("customer_id"), "category": _echo("category"),
         "priority": lambda s, a: F.coalesce(_arg(a, "priority"), F.lit("normal")),
     },
@@ -103,6 +103,8 @@ OUTPUTS: dict[str, dict[str, Callable[[Column, Column], Column]]] = {
     "remove_autopay": {"autopay_enabled": _always(False)},
     "transfer_ownership": {"owner_id": _echo("new_owner_id")},
 }
+#: The tool whose answers are numbered.
+TICKET = "open_support_ticket"
 #: Tools that answer from other tables: network status by area, all plans.
 LOOKUPS = ("check_network_status", "list_available_plans")
 SUPPORTED = sorted({*OUTPUTS, *LOOKUPS})
@@ -127,15 +129,20 @@ def apply_call(state: Column, tool: Column, args: Column) -> Column:
     return out
 
 
-def output(state: Column, tool: Column, args: Column, networks: Column | None = None, plans: Column | None = None) -> Column:
+def output(state: Column, tool: Column, args: Column, networks: Column | None = None, plans: Column | None = None, tickets: Column | None = None) -> Column:
     """A call's answer as JSON, null fields shown; null where ``execution_error`` is not.
 
+    ``tickets`` is how many the sample has opened before, of whatever subscriber; none if it is left out.
+
     ``networks`` is a map of areas' rows as JSON texts, ``plans`` an array of all plans' rows; an area that the map
     lacks is ``unknown``.
     """
     keep = {"ignoreNullFields": "false"}
     out = F.when(execution_error(tool, state).isNotNull(), None)
+    number = F.format_string("T%04d", F.lit(1) if tickets is None else tickets + 1)
     for name, fields in OUTPUTS.items():
+        if "ticket_id" in fields and name == TICKET:
+            fields = fields | {"ticket_id": lambda s, a: number}
         out = out.when(tool == name, F.to_json(F.struct(*(made(state, args).alias(f) for f, made in fields.items())), keep))
     area = _arg(args, "area_code")
     unknown = F.to_json(F.struct(_given(args, "area_code").alias("area_code"), F.lit("unknown").alias("status")), keep)

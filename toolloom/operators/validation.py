@@ -7,11 +7,13 @@ table (Spark broadcasts it if it is small) and no shuffle of its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toolloom.functions.feedback import suggested_action
-from toolloom.functions.json import args_map, fits_type, json_type, value_text
+from toolloom.functions.feedback import SUGGESTED_ACTION
+from toolloom.functions.json import args_map, fits_type, kind_of, value_text
 
 ISSUE = "struct<code:string,path:string,expected:string,actual:string,message:string,suggested_action:string>"
 PLACEHOLDER = "<from_step_1>"
@@ -21,7 +23,7 @@ CODE_PARAMS = ("location_code", "kpi_code", "unit_code")
 
 def issue(code: str, path: Column, message: Column, expected: Column | None = None, actual: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
-    return F.struct(F.lit(code).alias("code"), path.alias("path"), (none if expected is None else expected).alias("expected"), (none if actual is None else actual).alias("actual"), message.alias("message"), suggested_action(F.lit(code)).alias("suggested_action"))
+    return F.struct(F.lit(code).alias("code"), path.alias("path"), (none if expected is None else expected).alias("expected"), (none if actual is None else actual).alias("actual"), message.alias("message"), F.lit(SUGGESTED_ACTION.get(code)).cast("string").alias("suggested_action"))
 
 
 def none_of() -> Column:
@@ -46,16 +48,17 @@ def schema_issues(tool: Column, args: Column, tool_name: Column, bool_is_int: bo
     missing = F.transform(gone, lambda p: issue("missing_arg", _path(p["name"]), F.concat(F.lit("Missing required argument: "), p["name"]), F.lit('"present"'), F.lit('"missing"')))
     extra = F.transform(F.filter(F.map_keys(args), lambda k: ~F.exists(params, lambda p: p["name"] == k)), lambda k: issue("unknown_arg", _path(k), F.concat(F.lit("Unknown argument: "), k)))
 
-    def one(p: Column) -> Column:
-        value = F.try_element_at(args, p["name"])
-        kind, text = json_type(value), value_text(value)
+    def one(x: Column) -> Column:
+        p, kind, text = x["p"], x["kind"], x["text"]
         wrong = F.when(~fits_type(kind, p["type"], bool_is_int), F.array(issue("invalid_type", _path(p["name"]), F.concat(F.lit("Invalid type for "), p["name"], F.lit(": expected "), p["type"]), _quoted(p["type"]), _quoted(kind)))).otherwise(none_of())
         outside = F.when(p["enum"].isNotNull() & ~F.coalesce(F.array_contains(p["enum"], text), F.lit(False)), F.array(issue("invalid_enum", _path(p["name"]), F.concat(F.lit("Invalid value for "), p["name"]), F.to_json(p["enum"]), text))).otherwise(none_of())
-        off = (p["type"] == "string") & p["pattern"].isNotNull() & (kind == "string") & ~F.call_function("rlike", value.cast("string"), F.concat(F.lit(r"\A(?:"), p["pattern"], F.lit(r")\z")))
+        off = (p["type"] == "string") & p["pattern"].isNotNull() & (kind == "string") & ~F.call_function("rlike", x["value"].cast("string"), F.concat(F.lit(r"\A(?:"), p["pattern"], F.lit(r")\z")))
         shape = F.when(off, F.array(issue("pattern_mismatch", _path(p["name"]), F.concat(F.lit("Invalid format for "), p["name"]), _quoted(p["pattern"]), text))).otherwise(none_of())
         return F.concat(wrong, outside, shape)
 
-    known = F.flatten(F.transform(F.map_keys(args), lambda k: F.filter(params, lambda p: p["name"] == k)))
+    # a chain of steps: each computes its values once
+    known = F.transform(F.map_entries(args), lambda e: F.struct(e.value.alias("value"), F.schema_of_variant(e.value).alias("schema"), F.to_json(e.value).alias("text"), F.filter(params, lambda p: p["name"] == e.key).alias("ps")))
+    known = F.flatten(F.transform(known, lambda x: F.transform(x["ps"], lambda p: F.struct(p.alias("p"), x["value"].alias("value"), x["text"].alias("text"), kind_of(x["schema"], x["text"]).alias("kind")))))
     return (
         F.when(tool.isNull(), F.array(issue("unknown_tool", F.lit("tool_name"), F.concat(F.lit("Unknown tool: "), F.coalesce(tool_name, F.lit("None"))))))
         .when(tool["deprecated"], F.array(issue("deprecated_tool", F.lit("tool_name"), F.concat(F.lit("Tool is deprecated: "), tool["name"]))))
@@ -101,8 +104,9 @@ def contract_issues(contract: Column, state: Column, args: Column, verified: Col
         return F.when(r["op"].endswith("_path"), at(F.regexp_replace(r["value"], '"', ""))).otherwise(r["value"])
 
     denied = F.when(contract["verified"] & ~F.coalesce(verified, F.lit(True)), F.array(issue("permission_denied", F.lit("customer_verified"), F.lit("Customer identity must be verified"), F.lit("true"), F.lit("false")))).otherwise(none_of())
-    failed = F.filter(contract["rules"], lambda r: ~passes(at(r["path"]), r["op"], expected(r)))
-    rules = F.transform(failed, lambda r: issue("precondition_failed", r["path"], F.coalesce(r["message"], F.concat(F.lit("Precondition failed: "), r["path"])), expected(r), at(r["path"])))
+    seen = F.transform(contract["rules"], lambda r: F.struct(r["path"].alias("path"), r["op"].alias("op"), r["message"].alias("message"), expected(r).alias("expected"), at(r["path"]).alias("actual")))
+    failed = F.filter(seen, lambda r: ~passes(r["actual"], r["op"], r["expected"]))
+    rules = F.transform(failed, lambda r: issue("precondition_failed", r["path"], F.coalesce(r["message"], F.concat(F.lit("Precondition failed: "), r["path"])), r["expected"], r["actual"]))
     return (
         F.when(contract.isNull(), none_of())
         .when(state.isNull(), F.array(issue("missing_subscriber", F.lit("subscriber"), F.lit("Subscriber not found"))))
@@ -130,11 +134,22 @@ def gold_issues(pred_tool: Column, pred: Column, gold_tool: Column, gold: Column
 
 def code_issues(args: Column, catalogues: Column) -> Column:
     """Codes that their catalogue lacks; ``catalogues`` maps parameter names to arrays of codes, empty ones check nothing."""
+
+    def held(name: str, text: Column) -> tuple[Column, Column]:
+        valid = F.try_element_at(catalogues, F.lit(name))
+        return F.size(valid) > 0, F.array_contains(valid, text)
+
+    return code_issues_by(args, held)
+
+
+def code_issues_by(args: Column, held: Callable[[str, Column], tuple[Column, Column]]) -> Column:
+    """Codes that their catalogue lacks; ``held`` says of a parameter and a code whether there is a catalogue, and whether it has the code."""
     out = none_of()
     for name in CODE_PARAMS:
-        value, valid = F.try_element_at(args, F.lit(name)), F.try_element_at(catalogues, F.lit(name))
+        value = F.try_element_at(args, F.lit(name))
         text = value.cast("string")
-        bad = F.map_contains_key(args, F.lit(name)) & (F.size(valid) > 0) & ~F.coalesce(text.contains(PLACEHOLDER), F.lit(False)) & ~F.coalesce(F.array_contains(valid, text), F.lit(False))
+        there, known = held(name, text)
+        bad = F.map_contains_key(args, F.lit(name)) & there & ~F.coalesce(text.contains(PLACEHOLDER), F.lit(False)) & ~F.coalesce(known, F.lit(False))
         out = F.concat(out, F.when(bad, F.array(issue("invalid_code", F.lit(f"arguments.{name}"), F.concat(F.lit(f"Code not in catalogue for {name}: "), F.coalesce(text, F.lit("null"))), None, F.to_json(value)))).otherwise(none_of()))
     return out
 

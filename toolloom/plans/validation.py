@@ -286,8 +286,8 @@ def code_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.query("SELECT p_partkey, count(*) AS n_names, min(w) AS first_name FROM part, (VALUES ('ring'), ('widget'), ('blue'), ('small'), ('red')) AS t(w) WHERE regexp_matches(lower(p_name), '(^|[^\\p{L}\\p{N}_])' || w || '([^\\p{L}\\p{N}_]|$)') AND length(w) >= 4 GROUP BY 1")
 def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue names of four letters or more as whole words in part names."""
-    names = F.array(*(F.struct(F.lit(w).alias("name"), F.lit(w).alias("code")) for w in ("ring", "widget", "blue", "small", "red")))
-    found = table(spark, sf_dir, "part").select("p_partkey", audit.matched_locations(F.col("p_name"), names).alias("m"))
+    names = spark.createDataFrame([(w, w) for w in ("ring", "widget", "blue", "small", "red")], "name string, code string")
+    found = audit.with_named(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", names, name="m").withColumn("m", F.col("m.code"))
     return found.where("size(m) > 0").select("p_partkey", F.size("m").cast("long").alias("n_names"), F.array_min("m").alias("first_name"))
 
 
