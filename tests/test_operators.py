@@ -221,6 +221,27 @@ def test_evaluator_routes_and_self_check(spark):
     assert evaluator.evaluate_read_only(samples.limit(0), "raw", read_only_tools(spark)).count() == 0
 
 
+@pytest.mark.parametrize("cap", [1, 3])
+def test_rounds_decide_one_key_as_the_loop(spark, cap):
+    """Chains and hubs of similar rows, many rows of one signature and of one class, exempt ones among them."""
+    rng = random.Random(cap)
+    n, groups = 400, 150
+    links = {frozenset((a, b)) for a, b in [(i, i + 1) for i in range(0, 60)] + [(70, rng.randrange(groups)) for _ in range(60)] + [(rng.randrange(groups), rng.randrange(groups)) for _ in range(80)] if a != b}
+    rows = [("x", i, f"s{0 if rng.random() < 0.3 else rng.randrange(40)}", rng.random() < 0.2, None if rng.random() < 0.1 else 5 if rng.random() < 0.2 else rng.randrange(groups)) for i in range(n)]
+    kept, counts = [], {}
+    for _, pos, sig, exempt, cid in rows:
+        near = cid is not None and any(c is not None and (c == cid or frozenset((c, cid)) in links) for c, _ in kept)
+        if not near and (exempt or counts.get(sig, 0) < cap):
+            kept.append((cid, pos))
+            counts[sig] = counts.get(sig, 0) + 1
+    df = spark.createDataFrame(rows, "key string, pos int, signature string, exempt boolean, cid int").repartition(3)
+    pairs = spark.createDataFrame([("x", a, b) for x in links for a, b in (tuple(x), tuple(x)[::-1])], "key string, cid int, other int")
+    out, rounds = dedup.in_rounds(df, pairs, cap)
+    assert sorted(r["pos"] for r in out.collect()) == sorted(p for _, p in kept)
+    assert 1 < rounds < 40  # of 400 rows
+    assert dedup.in_rounds(df.limit(0), pairs, cap)[1] == 0
+
+
 SAMPLE = "id int, source string, expected_action string, expected_status string, customer_verified boolean, missing_slots array<string>, gold_call struct<tool_name:string,arguments:string>, gold_calls array<struct<tool_name:string,arguments:string>>, gold_steps array<struct<tool_name:string,arguments:string>>"
 
 

@@ -7,11 +7,11 @@ superset and is plain relational algebra.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toolloom.functions.text import jaccard
+from toolloom.operators.rounds import settled
 
 #: Similarity above which a row is a near duplicate (strictly), and phrasings kept of one signature.
 THRESHOLD, PHRASINGS = 0.85, 3
@@ -73,18 +73,19 @@ def greedy(df: DataFrame, threshold: float = THRESHOLD, phrasings: int = PHRASIN
     """``key, pos`` of rows ``key, pos, tokens, signature, exempt`` that the order-dependent rule keeps.
 
     Of the rows of a key with one token set, signature and exemption only the first can stay, so the others go at
-    once. Of the rest only those need the sequential pass whose set has a similar one or several signatures, or whose
-    signature has more than ``phrasings`` rows; all others stay as they are. The pass runs for each key over positions,
-    set numbers and signatures, not over texts.
+    once. Of the rest only those are decided in turn whose set has a similar one or several signatures, or whose
+    signature has more than ``phrasings`` rows; all others stay as they are. They are decided in rounds (``in_rounds``), over
+    positions, set numbers and signatures, not over texts; no key is gathered in one task.
     """
     held = classes(df)
     pairs = _pairs(held, threshold)
     both = pairs.select("key", F.col("earlier").alias("cid"), F.col("later").alias("other")).unionByName(pairs.select("key", F.col("later").alias("cid"), F.col("earlier").alias("other")))
-    partners = both.groupBy("key", "cid").agg(F.collect_list("other").alias("partners"))
+    both = settled(both)
+    similar = both.select("key", "cid").distinct().withColumn("_similar", F.lit(True))
     light = df.select("key", "pos", "signature", "exempt", F.when(F.size("tokens") > 0, _digest(F.col("tokens"))).alias("_set"))
     first = light.where("_set is not null").groupBy("key", "_set", "signature", "exempt").agg(F.min("pos").alias("pos"))
     variants = first.groupBy("key", "_set").agg(F.min("pos").alias("cid"), F.count("*").alias("variants"))
-    first = first.join(variants, ["key", "_set"]).drop("_set").join(partners, ["key", "cid"], "left")
+    first = first.join(variants, ["key", "_set"]).drop("_set").join(similar, ["key", "cid"], "left")
     # rows without tokens are like no other: they only count for their signature
     empty = light.where("_set is null").select("key", "pos", "signature", "exempt")
     counted = empty.withColumn("_place", F.row_number().over(Window.partitionBy("key", "signature", "exempt").orderBy("pos"))).where(F.col("_place") <= phrasings).drop("_place")
@@ -92,23 +93,45 @@ def greedy(df: DataFrame, threshold: float = THRESHOLD, phrasings: int = PHRASIN
     rows = first.unionByName(counted, allowMissingColumns=True)
     crowded = rows.groupBy("key", "signature").agg(F.count("*").alias("_n")).where(F.col("_n") > phrasings).select("key", "signature", F.lit(True).alias("_crowded"))
     rows = rows.join(crowded, ["key", "signature"], "left")
-    involved = F.col("partners").isNotNull() | F.col("_crowded").isNotNull() | (F.coalesce(F.col("variants"), F.lit(1)) > 1)
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        blocked, counts, kept = set(), {}, []
-        for pos, sig, exempt, cid, others in group.sort_values("pos")[["pos", "signature", "exempt", "cid", "partners"]].itertuples(index=False):
-            if cid in blocked or (not exempt and counts.get(sig, 0) >= phrasings):
-                continue
-            kept.append(pos)
-            counts[sig] = counts.get(sig, 0) + 1
-            if cid == cid and cid is not None:  # a row with tokens
-                blocked.add(cid)
-                blocked.update(others if others is not None else ())
-        return pd.DataFrame({"key": group["key"].iloc[0], "pos": kept})
-
-    kinds = f"key {df.schema['key'].dataType.simpleString()}, pos {df.schema['pos'].dataType.simpleString()}"
-    walked = rows.where(involved).groupBy("key").applyInPandas(walk, kinds)
-    return walked.union(rows.where(~involved).select("key", "pos")).union(spare)
+    involved = F.col("_similar").isNotNull() | F.col("_crowded").isNotNull() | (F.coalesce(F.col("variants"), F.lit(1)) > 1)
+
+    rows = settled(rows.withColumn("_involved", involved).select("key", "pos", "signature", "exempt", "cid", "_involved"))
+    waiting = rows.where("_involved").drop("_involved")
+    kept, _ = in_rounds(waiting, both, phrasings)
+    return kept.union(rows.where("not _involved").select("key", "pos")).union(spare)
+
+
+def in_rounds(rows: DataFrame, pairs: DataFrame, phrasings: int) -> tuple[DataFrame, int]:
+    """``key, pos`` of what stays if rows are taken in order, and the number of rounds: the first independent set by position.
+
+    ``rows(key, pos, signature, exempt, cid)`` and ``pairs(key, cid, other)``, both directions, of classes of rows (``cid``, null: alike to none). A
+    row stays unless an earlier one of its class or of a paired class stays, or, if it is not exempt, ``phrasings`` earlier ones of its signature do.
+    In a round every row is decided whose earlier neighbours are decided or that a kept one already rules out, so a round
+    decides the first open row of every key, and mostly far more. Classes hand on two positions, signatures two.
+    """
+    by, n = ["key", "cid"], phrasings
+    open_rows, kept, rounds = rows, None, 0
+    near_to = pairs.select("key", "cid", "other").unionByName(rows.where("cid is not null").select("key", "cid", F.col("cid").alias("other")).distinct())
+    near_to = settled(near_to)
+    while not open_rows.isEmpty():
+        rounds += 1
+        seen = open_rows.select(*rows.columns, F.lit(False).alias("_kept"))
+        if kept is not None:
+            seen = seen.unionByName(kept.withColumn("_kept", F.lit(True)))
+        of_class = seen.where("cid is not null").groupBy(*by).agg(F.min(F.when(F.col("_kept"), F.col("pos"))).alias("k"), F.min(F.when(~F.col("_kept"), F.col("pos"))).alias("u"))
+        near = near_to.join(of_class.withColumnRenamed("cid", "other"), ["key", "other"]).groupBy(*by).agg(F.min("k").alias("k"), F.min("u").alias("u"))
+        # the place of the last row that a signature can still hold: of kept ones, and of kept and open ones
+        place = Window.partitionBy("key", "signature").orderBy("pos")
+        full = [x.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= n).groupBy("key", "signature").agg(F.max(F.when(F.col("_n") == n, F.col("pos"))).alias(name)) for x, name in ((seen.where("_kept"), "sure"), (seen, "most"))]
+        told = open_rows.join(near, by, "left").join(full[0], ["key", "signature"], "left").join(full[1], ["key", "signature"], "left")
+        before = lambda c: F.coalesce(F.col(c) < F.col("pos"), F.lit(False))
+        out = before("k") | (~F.col("exempt") & before("sure"))
+        stays = ~before("u") & (F.col("exempt") | ~before("most"))
+        told = settled(told.select(*rows.columns, F.when(out, "out").when(stays, "kept").otherwise("open").alias("_state")))
+        new = told.where("_state = 'kept'").drop("_state")
+        kept = new if kept is None else kept.unionByName(new)
+        open_rows = told.where("_state = 'open'").drop("_state")
+    return (rows.limit(0) if kept is None else kept).select("key", "pos"), rounds
 
 
 def decontaminate(train: DataFrame, held_out: DataFrame, signature: str = "signature") -> DataFrame:

@@ -37,9 +37,19 @@ def dedup_declarative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.drop_similar(tokenized(spark, sf_dir)).select(F.col("pos").alias("doc_id"))
 
 
-@plans.query()
+@plans.query(
+    _SIMILAR_SQL.replace("WITH t AS", "WITH RECURSIVE t AS", 1)
+    + """, r AS (SELECT row_number() OVER (ORDER BY t.doc_id) AS i, t.doc_id, t.key, array_to_string(t.w, ' ') AS sig, t.key LIKE 'es%' AS exempt, cl.doc_id AS cid FROM t LEFT JOIN cl ON cl.key = t.key AND cl.w = t.w),
+         near AS (SELECT key, earlier AS a, later AS b FROM p UNION ALL SELECT key, later, earlier FROM p UNION ALL SELECT key, doc_id, doc_id FROM cl),
+         nb AS (SELECT x.doc_id, list(y.doc_id) AS before FROM r x JOIN near ON near.key = x.key AND near.a = x.cid JOIN r y ON y.key = x.key AND y.cid = near.b AND y.doc_id < x.doc_id GROUP BY 1),
+         sg AS (SELECT x.doc_id, list(y.doc_id) AS same FROM r x JOIN r y ON y.key = x.key AND y.sig = x.sig AND y.doc_id < x.doc_id GROUP BY 1),
+         n AS (SELECT i, doc_id, exempt, coalesce(before, []) AS before, coalesce(same, []) AS same FROM r LEFT JOIN nb USING (doc_id) LEFT JOIN sg USING (doc_id)),
+         walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept
+                  UNION ALL SELECT n.i, CASE WHEN NOT list_has_any(before, kept) AND (exempt OR len(list_intersect(same, kept)) < 3) THEN list_append(kept, doc_id) ELSE kept END FROM walk JOIN n ON n.i = walk.i + 1)
+       SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)"""
+)
 def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order-dependent rule; sequential, so tested against a plain loop."""
+    """The order-dependent rule, decided in rounds; the oracle walks row by row."""
     rows = tokenized(spark, sf_dir).withColumns({"signature": F.array_join("tokens", " "), "exempt": F.col("key").startswith("es")})
     return dedup.greedy(rows).select(F.col("pos").alias("doc_id"))
 
