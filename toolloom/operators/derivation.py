@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from toolloom.functions.text import names_date
 from toolloom.functions.values import cycled, invert_map, rename_keys, shared_override, without_keys
+from toolloom.operators.ranks import first_k
 from toolloom.operators.sampling import MASK_MODES
 from toolloom.operators.validation import PLACEHOLDER
 
@@ -83,7 +84,7 @@ def react_steps(df: DataFrame, cap: int | None = None) -> DataFrame:
     one, two = F.try_element_at("steps", F.lit(1)), F.try_element_at("steps", F.lit(2))
     ready = df.withColumn("_key", waiting_key(two["arguments"])).where((F.size("steps") >= 2) & F.col("_key").isNotNull() & (F.size("observation") > 0))
     if cap is not None:
-        ready = ready.orderBy("id").limit(-(-cap // 2))
+        ready = first_k(ready, -(-cap // 2), ["id"])[0]
     code = F.parse_json(F.concat(F.lit('"'), F.element_at("observation", 1), F.lit('"')))
     resolved = F.transform_values(two["arguments"], lambda k, v: F.when(k == F.col("_key"), code).otherwise(v))
 

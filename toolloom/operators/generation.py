@@ -17,6 +17,7 @@ from toolloom.functions.text import first_line, token_set, too_short
 from toolloom.functions.values import shared_override
 from toolloom.operators import audit, dedup
 from toolloom.operators.derivation import SHARED
+from toolloom.operators.ranks import first_k
 from toolloom.operators.sampling import hash_order, hold_out
 from toolloom.operators.scoring import REAL_SOURCE
 from toolloom.operators.validation import PLACEHOLDER
@@ -67,7 +68,8 @@ def refusals(outputs: DataFrame, n: int, kind: str = "abstain", scenario: str =
     """Refusal samples from ``outputs(batch, raw)``, JSON arrays of requests: items that are no text or blank go, the first ``n`` by batch and place stay."""
     items = F.try_variant_get(F.try_parse_json(json_array_candidate(F.col("raw"))), "$", "array<variant>")
     rows = outputs.select("batch", F.posexplode(items).alias("j", "item")).where(F.schema_of_variant("item") == "STRING")
-    rows = rows.select("batch", "j", F.trim(F.col("item").cast("string")).alias("instruction")).where("instruction <> ''").orderBy("batch", "j").limit(n)
+    rows = rows.select("batch", "j", F.trim(F.col("item").cast("string")).alias("instruction")).where("instruction <> ''")
+    rows = first_k(rows, n, ["batch", "j"])[0]
     ident = F.concat(F.lit(f"real_{kind}_"), F.col("batch").cast("string"), F.lit("_"), F.format_string("%03d", F.col("j")))
     return _plain(rows, ident, F.lit(scenario), family, "abstain", F.lit("seen")).withColumn("reason", F.lit(OUT_OF_SCOPE)).drop("batch", "j")
 
@@ -160,7 +162,7 @@ def without_overlap(samples: DataFrame, train: DataFrame, n: int, flag: str = "f
     seen = train.where(F.col("gold_call").isNotNull()).select(call_signature(F.col("gold_call.tool_name"), F.col("gold_call.arguments")).alias("_sig")).distinct()
     marked = F.coalesce(F.col(flag), F.lit(False))
     fresh = samples.where(marked).withColumn("_sig", call_signature(F.col("gold_call.tool_name"), F.col("gold_call.arguments"))).join(seen, "_sig", "left_anti").drop("_sig")
-    return samples.where(~marked).unionByName(fresh.orderBy(position).limit(n).select(*samples.columns)).drop(flag)
+    return samples.where(~marked).unionByName(first_k(fresh, n, [position])[0].select(*samples.columns)).drop(flag)
 
 
 def hard_sets(samples: DataFrame, tools: DataFrame, references: DataFrame, names: DataFrame, train: DataFrame, n: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from toolloom.operators.ranks import first_k, numbered
+
 #: The ten-step cycle of difficulty tiers, and that of masking modes.
 TIERS = ["simple"] * 3 + ["medium"] * 4 + ["complex"] * 3
 MASK_MODES = ["fn", "fn", "param", "renamed"]
@@ -21,19 +23,17 @@ def hash_order(seed: int, *keys: str) -> Column:
 
 
 def hold_out(df: DataFrame, k: int, key: str, order: Column | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(held out, rest): the ``k`` rows that come first in hash order; a top-k, not a full sort."""
-    by = hash_order(seed, key) if order is None else order
-    chosen = df.select(key, by.alias("_h")).orderBy("_h", key).limit(k).select(key)
-    return df.join(chosen, key, "left_semi"), df.join(chosen, key, "left_anti")
+    """(held out, rest): the ``k`` rows that come first in hash order, cut by a histogram of the hashes."""
+    return first_k(df, k, [hash_order(seed, key) if order is None else order, key])
 
 
 def sample_cap(df: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame:
-    return df.orderBy(hash_order(seed, key), key).limit(k)
+    return first_k(df, k, [hash_order(seed, key), key])[0]
 
 
 def numbered_ids(df: DataFrame, prefix: Column, order: list[str], by: list[str], width: int = 4) -> DataFrame:
-    """Ids ``prefix`` + zero-padded number within ``by`` in ``order``."""
-    return df.withColumn("id", F.concat(prefix, F.format_string(f"%0{width}d", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)))
+    """Ids ``prefix`` + zero-padded number within ``by`` in ``order``, for groups of any size."""
+    return numbered(df, by, order, "_n").withColumn("id", F.concat(prefix, F.format_string(f"%0{width}d", "_n"))).drop("_n")
 
 
 def tier(position: Column) -> Column:
@@ -65,15 +65,15 @@ def over_generated(n: int, factor: float = 1.6) -> int:
 
 
 def first_n(df: DataFrame, n: int, position: str) -> DataFrame:
-    return df.orderBy(position).limit(n)
+    """The first ``n`` rows by position."""
+    return first_k(df, n, [position])[0]
 
 
 def station_catalogue(locations: DataFrame, per_location: int = 3, cap: int = 300) -> DataFrame:
     """Stations of ``locations(code, name, is_province, pos)``: provinces first, numbered, up to ``cap``."""
     per = locations.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(per_location))))
-    order = Window.orderBy(F.desc("is_province"), "pos", "j")  # a small code table
-    n = F.row_number().over(order)
-    return per.withColumn("n", n).where(F.col("n") <= cap).select(F.format_string("EHB%05d", "n").alias("station_code"), F.col("code").alias("location_code"), F.concat_ws(" ", "name", F.col("j").cast("string")).alias("name"))
+    per = numbered(per, [], [F.desc("is_province"), "pos", "j"]).withColumn("n", F.col("n") + 1)
+    return per.where(F.col("n") <= cap).select(F.format_string("EHB%05d", "n").alias("station_code"), F.col("code").alias("location_code"), F.concat_ws(" ", "name", F.col("j").cast("string")).alias("name"))
 
 
 def stations_of(requests: DataFrame, stations: DataFrame, k: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from toolloom.functions.json import args_map, call_signature
 from toolloom.functions.text import token_set
 from toolloom.functions.values import cycled, first_filled, last_n, slot_recall
-from toolloom.operators import dedup, derivation, normalise, registry, reports, retrieval, sampling
+from toolloom.operators import dedup, derivation, normalise, ranks, registry, reports, retrieval, sampling
 from toolloom.plans.base import Plans, table
 
 plans = Plans()
@@ -233,10 +233,8 @@ def registry_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.query("SELECT p_type AS code, arg_min(p_name, p_partkey) AS name, row_number() OVER (ORDER BY min(p_partkey)) AS place FROM part GROUP BY 1")
 def reference_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First name of each code, and codes in first-seen order."""
-    from pyspark.sql.window import Window
-
     firsts = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("code")).agg(F.min_by("p_name", "p_partkey").alias("name"), F.min("p_partkey").alias("pos"))
-    return firsts.select("code", "name", F.row_number().over(Window.orderBy("pos")).cast("long").alias("place"))  # a small code table
+    return ranks.numbered(firsts, [], ["pos"]).select("code", "name", (F.col("n") + 1).alias("place"))
 
 
 @plans.query("SELECT c_custkey, CASE WHEN c_nationkey = 1 THEN 't1,t0' WHEN c_nationkey = 0 THEN 't0,t1' ELSE 't' || CAST(c_nationkey AS VARCHAR) || ',t0,t1' END AS tools FROM customer")

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
-from pyspark.sql.window import Window
 
 from toolloom.functions.text import bullet_lines
+from toolloom.operators.ranks import numbered
 from toolloom.operators.registry import TOOL_JSON, last_wins, params_of, tools
 
 CALL = "struct<tool_name:string,arguments:string>"
@@ -193,5 +193,5 @@ def function_sheet(spark: SparkSession, path: str, sheet: str = "Function", unse
 
 
 def with_position(df: DataFrame, *order: str) -> DataFrame:
-    """Explicit positions for tables whose row order means something; for small tables."""
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
+    """Explicit positions for tables whose row order means something."""
+    return numbered(df, [], list(order), "pos")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from toolloom.operators.ranks import first_k
 from toolloom.operators.reports import markdown
 
 
@@ -62,11 +63,10 @@ def append_missing(jobs: DataFrame, path: str, key: str, work) -> None:
 
 
 def messages_with_tail(df: DataFrame, path: str, position: str = "pos", share: int = 10) -> None:
-    """Messages only, the last ``max(1, n // share)`` rows as validation set."""
-    k = max(1, df.count() // share)
-    tail = df.orderBy(F.desc(position)).limit(k).select(position)
-    df.join(tail, position, "left_anti").select("messages").write.mode("overwrite").json(f"{path}/train")
-    df.join(tail, position, "left_semi").select("messages").write.mode("overwrite").json(f"{path}/valid")
+    """Messages only, the last ``max(1, n // share)`` rows by a whole number as validation set; every row goes to one side, null positions to training."""
+    last, rest = first_k(df, max(1, df.count() // share), [F.bitwise_not(F.col(position).cast("long"))])
+    rest.select("messages").write.mode("overwrite").json(f"{path}/train")
+    last.select("messages").write.mode("overwrite").json(f"{path}/valid")
 
 
 def report(df: DataFrame, title: str, path: str) -> str:
@@ -77,5 +77,5 @@ def report(df: DataFrame, title: str, path: str) -> str:
 
 
 def tail(df: DataFrame, n: int, position: str) -> DataFrame:
-    """The last ``n`` rows by position: a top-k, not a sort of all rows."""
-    return df.orderBy(F.desc(position)).limit(n)
+    """The last ``n`` rows by position, a whole number, the last one first."""
+    return first_k(df, n, [F.bitwise_not(F.col(position).cast("long"))])[0].orderBy(F.desc(position))
