@@ -13,6 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from toolloom.functions.json import args_map
+from toolloom.operators.ranks import numbered
+
 STATE = "struct<customer_id:string,status:string,plan_id:string,subscription_type:string,outstanding_balance:double,balance:double,billing_email:string,roaming_enabled:boolean,lost_sim_reported:boolean,esim_supported:boolean,esim_active:boolean,sim_type:string,data_used_gb:double,voice_minutes:bigint,eid:string,credit_limit:double,spending_limit:double,premium_sms_blocked:boolean,autopay_enabled:boolean,owner_id:string,tickets:int>"
 #: Fixed value: the one-time code of the test double.
 TEST_CODE = "123456"
@@ -204,3 +207,46 @@ def observation(calls: DataFrame, stations: DataFrame, seed: int = 0, k: int = 3
 def fold(state: Column, calls: Column, args_of: Callable[[Column], Column]) -> Column:
     """The state after an array of calls ``struct<tool_name, arguments>`` in order."""
     return F.aggregate(calls, state, lambda s, c: apply_call(s, c["tool_name"], args_of(c["arguments"])))
+
+
+#: Rows of a stretch of calls whose running sums are taken in one go, as a power of two.
+STRETCH = 12
+
+
+def fold_table(states: DataFrame, calls: DataFrame) -> DataFrame:
+    """``customer_id, state`` after all of ``calls(customer_id, pos, tool_name, arguments)`` in order of ``pos``, for any number of calls on one customer.
+
+    ``states(customer_id, state)``; customers without calls keep theirs, calls on others do nothing. As in ``fold``, calls are not checked. No
+    customer's calls are gathered: a field that calls set takes the value of the last call that sets it (a maximum by position), tickets are a
+    count, and payments that never leave less than 0 are the greatest of the first balance and of all running sums, less the whole sum;
+    running sums are taken in stretches of 4,096 calls, and over the stretches' own sums.
+    """
+    c = F.col
+    known = calls.where(c("tool_name").isin(list(WRITES)) & c("customer_id").isNotNull()).select("customer_id", "pos", "tool_name", args_map(c("arguments")).alias("a"))
+    state = states.schema["state"].dataType
+    empty = F.lit(None).cast(state)
+    set_by: dict[str, Column] = {}
+    for tool, changes in WRITES.items():
+        for field, value in changes.items():
+            if field not in ("outstanding_balance", "tickets"):
+                held = F.struct(value(empty, c("a")).cast(state[field].dataType).alias("v"))
+                set_by[field] = F.when(c("tool_name") == tool, held) if field not in set_by else set_by[field].when(c("tool_name") == tool, held)
+    lasts = [F.max_by(v, F.when(v.isNotNull(), c("pos"))).alias(f"_{field}") for field, v in set_by.items()]
+    plain = known.groupBy("customer_id").agg(*lasts, F.count_if(c("tool_name") == TICKET).alias("_tickets"))
+
+    paid = known.where("tool_name = 'pay_bill'").select("customer_id", "pos", F.coalesce(_arg(c("a"), "amount", "double"), F.lit(0.0)).alias("amount"))
+    paid = numbered(paid, ["customer_id"], ["pos"], "_n").withColumn("_stretch", F.shiftright("_n", STRETCH))
+    running = Window.partitionBy("customer_id", "_stretch").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    sums = paid.withColumn("_s", F.sum("amount").over(running)).groupBy("customer_id", "_stretch").agg(F.sum("amount").alias("_sum"), F.max("_s").alias("_top"))
+    earlier = Window.partitionBy("customer_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    sums = sums.withColumn("_top", c("_top") + F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+    sums = sums.groupBy(c("customer_id").alias("_paying")).agg(F.sum("_sum").alias("_paid"), F.max("_top").alias("_top"))
+    out = states.join(plain.withColumnRenamed("customer_id", "_calling"), c("customer_id") == c("_calling"), "left").join(sums, c("customer_id") == c("_paying"), "left")
+    after = c("state")
+    for field in set_by:
+        after = after.withField(field, F.when(c(f"_{field}").isNotNull(), c(f"_{field}.v")).otherwise(c(f"state.{field}")))
+    # without a balance the first payment leaves 0, as the greatest of nothing and 0 does
+    owed = F.greatest(c("state.outstanding_balance"), c("_top")) - c("_paid")
+    after = after.withField("outstanding_balance", F.when(c("_paid").isNotNull(), owed).otherwise(c("state.outstanding_balance")))
+    after = after.withField("tickets", F.when(F.coalesce(c("_tickets"), F.lit(0)) > 0, F.coalesce(c("state.tickets"), F.lit(0)) + c("_tickets").cast("int")).otherwise(c("state.tickets")))
+    return out.select("customer_id", F.when(c("state").isNotNull(), after).alias("state"))

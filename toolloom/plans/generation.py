@@ -161,7 +161,7 @@ def hard_eval_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified rows without near duplicates and without overlap with training rows, split by family."""
     samples, known, codes, names = defect_samples(spark, sf_dir)
     samples = samples.withColumn("pos", F.col("id")).withColumn("filter_overlap", F.col("turn") == 0)
-    train = samples.where("turn = 0").limit(1)
+    train = samples.where("turn = 0")
     return generation.hard_sets(samples, known, codes, names, train, 5).select("split", "id")
 
 

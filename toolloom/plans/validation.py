@@ -135,12 +135,14 @@ def call_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as payments, folded in order over each customer's state."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    call = F.struct("o_orderkey", F.lit("pay_bill").alias("tool_name"), F.to_json(F.struct(F.col("o_totalprice").alias("amount"))).alias("arguments"))
-    calls = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(call)).alias("calls"), F.min("o_orderstatus").alias("least"))
-    people = table(spark, sf_dir, "customer").select("c_custkey", F.from_json(F.to_json(F.struct(F.col("c_custkey").cast("string").alias("customer_id"), F.lit("active").alias("status"), (F.col("c_acctbal") * 100).alias("outstanding_balance"))), executor.STATE).alias("state"))
-    after = people.join(calls, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "calls", "least", executor.fold(F.col("state"), F.col("calls"), args_map).alias("after"))
-    return after.select(F.col("c_custkey").alias("customer_id"), F.size("calls").cast("long").alias("n_payments"), F.round("after.outstanding_balance", 2).alias("outstanding"), (F.col("least") == "F").alias("any_f"))
+    c = F.col
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", c("o_custkey").cast("string").alias("customer_id"), "o_totalprice", "o_orderstatus")
+    calls = orders.select("customer_id", c("o_orderkey").alias("pos"), F.lit("pay_bill").alias("tool_name"), F.to_json(F.struct(c("o_totalprice").alias("amount"))).alias("arguments"))
+    counted = orders.groupBy(c("customer_id").alias("_id")).agg(F.count("*").alias("n_payments"), F.min("o_orderstatus").alias("least"))
+    made = F.struct(c("c_custkey").cast("string").alias("customer_id"), F.lit("active").alias("status"), (c("c_acctbal") * 100).alias("outstanding_balance"))
+    people = table(spark, sf_dir, "customer").select(c("c_custkey").cast("string").alias("customer_id"), F.from_json(F.to_json(made), executor.STATE).alias("state"))
+    after = executor.fold_table(people, calls).join(counted, c("customer_id") == c("_id"))
+    return after.select(c("customer_id").cast("long").alias("customer_id"), "n_payments", F.round("state.outstanding_balance", 2).alias("outstanding"), (c("least") == "F").alias("any_f"))
 
 
 #: The tools that customers call in turn: all that are supported and an unknown one.
