@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from toolloom.functions.text import bullet_lines
 from toolloom.operators.ranks import numbered
@@ -120,51 +121,57 @@ def demo_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, source string, json string")
 
 
-class _SheetReader(DataSourceReader):
-    def __init__(self, path: str, sheet: str, width: int):
-        self.path, self.sheet, self.width = path, sheet, width
-
-    def read(self, partition) -> Iterator[tuple]:
-        ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-        with zipfile.ZipFile(self.path) as z:
-            shared = []
-            if "xl/sharedStrings.xml" in z.namelist():
-                shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.parse(z.open("xl/sharedStrings.xml")).getroot()]
-            names = [s.get("name") for s in ElementTree.parse(z.open("xl/workbook.xml")).getroot().find("m:sheets", ns)]
-            root = ElementTree.parse(z.open(f"xl/worksheets/sheet{names.index(self.sheet) + 1}.xml")).getroot()
-            for row in root.iter(f"{{{ns['m']}}}row"):
-                out: list = [None] * self.width
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _sheet_cells(content: bytes, sheet: str, width: int) -> Iterator[tuple[int, list]]:
+    """Row number and cells of a workbook's sheet; the XML is pulled row by row and never held whole."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            with z.open("xl/sharedStrings.xml") as f:
+                for _, item in ElementTree.iterparse(f):
+                    if item.tag == f"{_SHEET}si":
+                        shared.append("".join(t.text or "" for t in item.iter(f"{_SHEET}t")))
+                        item.clear()
+        names = [s.get("name") for s in ElementTree.parse(z.open("xl/workbook.xml")).getroot().find(f"{_SHEET}sheets")]
+        if sheet not in names:
+            raise ValueError(f"no sheet {sheet!r}; there are {names}")
+        with z.open(f"xl/worksheets/sheet{names.index(sheet) + 1}.xml") as f:
+            for _, row in ElementTree.iterparse(f):
+                if row.tag != f"{_SHEET}row":
+                    continue
+                out: list = [None] * width
                 for cell in row:
-                    letters = re.match("[A-Z]+", cell.get("r"))[0]
                     column = 0
-                    for c in letters:
+                    for c in re.match("[A-Z]+", cell.get("r"))[0]:
                         column = column * 26 + ord(c) - 64
-                    value = cell.find("m:v", ns)
-                    text = shared[int(value.text)] if value is not None and cell.get("t") == "s" else value.text if value is not None else "".join(t.text or "" for t in cell.iter(f"{{{ns['m']}}}t")) or None
-                    if column <= self.width:
+                    value = cell.find(f"{_SHEET}v")
+                    text = shared[int(value.text)] if value is not None and cell.get("t") == "s" else value.text if value is not None else "".join(t.text or "" for t in cell.iter(f"{_SHEET}t")) or None
+                    if column <= width:
                         out[column - 1] = text
                 yield int(row.get("r")), out
+                row.clear()
 
 
-class SheetSource(DataSource):
-    """``spark.read.format("sheet").option("path", ...).option("sheet", ...)``: rows ``pos, cells`` of an XLSX sheet."""
+def sheet_rows(spark: SparkSession, path: str, sheets: list[str], width: int = 16) -> DataFrame:
+    """``sheet, pos, cells`` of sheets of an XLSX workbook at any URI that Spark reads; a task a sheet. A missing sheet raises."""
+    book = spark.read.format("binaryFile").load(path).select("content", F.explode(F.array(*map(F.lit, sheets))).alias("sheet"))
 
-    @classmethod
-    def name(cls) -> str:
-        return "sheet"
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, sheet in zip(batch.column("content"), batch.column("sheet").to_pylist(), strict=True):
+                cells = _sheet_cells(content.as_py(), sheet, width)
+                while part := list(itertools.islice(cells, 1000)):
+                    pos, held = zip(*part, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([sheet] * len(part)), pa.array(pos, pa.int32()), pa.array(list(held), pa.list_(pa.string()))], ["sheet", "pos", "cells"])
 
-    def schema(self) -> str:
-        return "pos int, cells array<string>"
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _SheetReader(self.options["path"], self.options["sheet"], int(self.options.get("width", "16")))
+    return book.repartition(len(sheets), "sheet").mapInArrow(rows, "sheet string, pos int, cells array<string>")
 
 
 def code_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     """``pos, code, name`` of a code sheet without its header row and rows without code."""
-    spark.dataSource.register(SheetSource)
-    df = spark.read.format("sheet").option("path", path).option("sheet", sheet).load()
-    cells = df.where("pos > 1").select("pos", F.trim(F.try_element_at("cells", F.lit(1))).alias("code"), F.trim(F.try_element_at("cells", F.lit(2))).alias("name"))
+    cells = sheet_rows(spark, path, [sheet]).where("pos > 1").select("pos", F.trim(F.try_element_at("cells", F.lit(1))).alias("code"), F.trim(F.try_element_at("cells", F.lit(2))).alias("name"))
     return cells.where("code is not null and code <> ''")
 
 
@@ -178,9 +185,8 @@ def function_sheet(spark: SparkSession, path: str, sheet: str = "Function", unse
     Names are lower-cased; the description is the cell's, else the schema's; queries are lines, bullets go; a call that is
     no JSON object is none. Rows without a name go, a schema that is no JSON raises. Enums come by ``registry.inject_enums``.
     """
-    spark.dataSource.register(SheetSource)
     cell = lambda i: F.try_element_at("cells", F.lit(i))
-    rows = spark.read.format("sheet").option("path", path).option("sheet", sheet).load().where("pos > 1")
+    rows = sheet_rows(spark, path, [sheet]).where("pos > 1")
     rows = rows.select("pos", F.trim(cell(1)).alias("raw_name"), F.nullif(F.trim(cell(2)), F.lit("")).alias("own"), F.parse_json(cell(4)).alias("v"), cell(5).alias("queries"), cell(6).alias("call")).where("raw_name is not null and raw_name <> ''")
     call = F.when(F.coalesce(F.schema_of_variant(F.try_parse_json("call")).startswith("OBJECT"), F.lit(False)), F.col("call"))
     properties = F.coalesce(F.try_variant_get("v", "$.parameters.properties", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))

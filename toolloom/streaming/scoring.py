@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from toolloom.functions.json import with_predictions
+from toolloom.operators import executor
 from toolloom.operators.bandit import FEATURES
 from toolloom.operators.validation import validate_calls
+from toolloom.sources import writers
 
 
 def parsed(outputs: DataFrame) -> DataFrame:
@@ -34,6 +36,33 @@ def windowed_rewards(results: DataFrame, time: str = "ts", window: str = "5 minu
     return results.withWatermark(time, late).groupBy(F.window(time, window), "split").agg(F.avg("reward").alias("avg_reward"), F.count("*").alias("n"))
 
 
+STATES = f"customer_id string, state {executor.STATE}, batch bigint"
+
+
+def fold_calls(calls: DataFrame, path: str, checkpoint: str):
+    """A writer of the states after a stream of ``calls(customer_id, pos, tool_name, arguments)``: the versioned table of ``start_states`` at ``path``.
+
+    Each micro-batch is folded in parallel over the current version and commits the next one; its number is kept in the rows, so a batch that is
+    repeated after a failure changes nothing. Calls go by batch, then by ``pos``. The result is a ``DataStreamWriter``.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+
+        def folded(held: DataFrame) -> DataFrame:
+            return executor.fold_table(held.select("customer_id", "state"), batch).withColumn("batch", F.lit(number).cast("long"))
+
+        if writers.current(spark, path, STATES).where(F.col("batch") >= number).isEmpty():
+            writers.update(spark, path, folded, STATES)
+
+    return calls.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def start_states(states: DataFrame, path: str) -> None:
+    """The first version of the table that ``fold_calls`` carries on, of ``states(customer_id, state)``."""
+    writers.replace(states.select("customer_id", "state", F.lit(-1).cast("long").alias("batch")), path)
+
+
 def linucb(samples: DataFrame, alpha: float = 1.0) -> DataFrame:
     """Online LinUCB for a stream ``policy, id, x, reward_a, reward_b``; state per policy: inverse matrices and vectors."""
 
