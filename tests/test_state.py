@@ -126,3 +126,32 @@ def test_bounded_retrieval_is_the_whole_one(spark, seed):
         top, met = retrieval.bounded_top_k(asked, postings, 5, "query_id", "doc_id")
         assert sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in top.collect()) == sorted((q, i + 1, d, -s) for q, v in scores.items() for i, (s, d) in enumerate(sorted(v)[:5]))
         assert met.count() < 0.8 * whole.count()
+
+
+def test_hard_jobs_become_verified_samples(spark):
+    """Jobs of all families, answered by a generator, pass the verifier as samples; places are the least used ones."""
+    from toolloom.operators import audit, hard
+    from toolloom.plans.end_to_end import _tools
+
+    props = '{"location_code": {"type": "string"}, "from_date": {"type": "string"}, "to_date": {"type": "string"}, "kpi_code": {"type": "string"}}'
+    tools = _tools(spark, [("kpi", False, props, ["location_code", "from_date", "to_date", "kpi_code"]), ("other", False, props, ["location_code"])]).withColumn("description", F.lit("Shows it. More"))
+    args = lambda i, loc: json.dumps({"location_code": loc, "from_date": f"2024-01-0{i % 9 + 1}", "to_date": "2024-01-31", "kpi_code": "K1"})
+    grid = spark.createDataFrame([(t, i, args(i, "L1"), {"location_code": "Da Nang", "_time": "now"}) for t in ("kpi", "other") for i in range(6)], "name string, i int, arguments string, hints map<string,string>")
+    call = "struct<tool_name:string,arguments:string>"
+    train = spark.createDataFrame([(("kpi", args(i, "L1")), None, None) for i in range(3)], f"gold_call {call}, gold_calls array<{call}>, gold_steps array<{call}>")
+    codes = spark.createDataFrame([("location_code", c) for c in ("L1", "L2", "L3")] + [("kpi_code", "K1")], "param string, code string")
+    contrasts = spark.createDataFrame([(0, "kpi", "other", "a", "b")], "pair int, a string, b string, a_text string, b_text string")
+    pairs = spark.createDataFrame([(0, "kpi", "other")], "pair int, a string, b string")
+    jobs = hard.hard_jobs(tools, grid, train, codes, contrasts, pairs, 6, 2)
+    rows = jobs.collect()
+    assert len({r["job_id"] for r in rows}) == len(rows)
+    assert {json.loads(r["arguments"])["location_code"] for r in rows if r["scenario"] == "hard_rare_location"} == {"L2", "L3"}
+    fresh = [(r["tool_name"], r["i"]) for r in rows if r["scenario"] == "hard_no_train_overlap"]
+    assert len(fresh) == 6 and not {("kpi", i) for i in range(3)} & set(fresh)
+    assert all(("KHÔNG nêu" in r["spec"]) == (r["scenario"] != "hard_missing_natural") for r in rows if r["missing_slots"])
+    texts = jobs.select("job_id", F.concat(F.lit("<think>x</think>please show "), "job_id").alias("raw"))
+    samples = hard.hard_samples(jobs, texts).withColumns({"gold_steps": F.lit(None).cast(f"array<{call}>"), "reason": F.lit(None).cast("string"), "masked_tool": F.lit(None).cast("struct<name:string,deprecated:boolean,params:array<struct<name:string,type:string,required:boolean,enum:array<string>,pattern:string,default:string,place:int>>>")})
+    samples = samples.withColumn("masked_tool", F.lit(None).cast(f"struct<name:string,deprecated:boolean,params:{tools.schema['params'].dataType.simpleString()}>"))
+    assert samples.count() == len(rows)
+    names = spark.createDataFrame([("Da Nang", "L1")], "name string, code string")
+    assert audit.verify(samples, tools, codes, names).where("first_fail is not null").count() == 0

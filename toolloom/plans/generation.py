@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolloom.functions.json import CALL
-from toolloom.operators import generation, registry, retrieval
+from toolloom.functions.json import CALL, args_map
+from toolloom.operators import generation, hard, registry, retrieval
 from toolloom.operators.scoring import REAL_SOURCE
 from toolloom.plans.base import Plans, table
-from toolloom.plans.end_to_end import DEFECTS, contracts, defect_samples, read_only_tools, transactional_tools
+from toolloom.plans.end_to_end import DEFECTS, _tools, contracts, defect_samples, read_only_tools, transactional_tools
 
 plans = Plans()
 
@@ -268,3 +268,44 @@ def prompt_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = plain.unionByName(rest).withColumn("c", F.from_json(F.regexp_extract(text, r"(?s)\n(\{.*)$", 1), shape))
     codes_ok = F.col("c.reference_codes").isNull() | (F.col("c.reference_codes")["location_code"]["L1"] == "Hanoi")
     return out.where(codes_ok).select("id", F.array_join(F.transform("c.available_tools", lambda t: t["name"]), ",").alias("shown"), F.coalesce(F.array_join(F.transform("c.tool_contracts", lambda t: t["tool_name"]), ","), F.lit("")).alias("contracts"), F.coalesce(F.col("c.customer_verified").cast("string"), F.lit("")).alias("verified"), request.alias("request"))
+
+
+def _hard_plan_sql() -> str:
+    date = "'2024-01-0' || (1 + {} % 9)"
+    return f"""
+        WITH g AS (SELECT CASE WHEN p_partkey % 2 = 1 THEN 'kpi' ELSE 'station' END AS tool_name, p_partkey // 2 AS i, 'L' || (p_size % 25) AS loc, {date.format("p_partkey")} AS d, 'K' || (p_size % 5) AS kpi FROM part),
+             t AS (SELECT 'L' || (CAST(json_extract_string(props, '$.k') AS INT) % 20) AS loc, {date.format("event_id")} AS d, 'K' || (event_id % 5) AS kpi FROM events),
+             rare AS (SELECT code, row_number() OVER (ORDER BY n, code) - 1 AS place FROM (SELECT 'L' || c AS code, (SELECT count(*) FROM t WHERE loc = 'L' || c) AS n FROM range(25) AS r(c)) ORDER BY n, code LIMIT 8),
+             n AS (SELECT count(*) // 2 AS n FROM part),
+             fresh AS (SELECT tool_name, i, loc FROM (SELECT g.*, row_number() OVER (ORDER BY i, tool_name) AS r FROM g WHERE i < CAST(floor((SELECT n FROM n) * 1.6) AS BIGINT) AND (tool_name = 'station' OR (loc, d, kpi) NOT IN (SELECT loc, d, kpi FROM t))) WHERE r <= (SELECT n FROM n)),
+             k AS (SELECT * FROM g WHERE i < (SELECT n FROM n)),
+             j AS (SELECT 'hard_rare_location' AS scenario, tool_name, i, code AS loc, 0 AS missing FROM k JOIN rare ON i % 8 = place WHERE tool_name = 'kpi'
+                   UNION ALL SELECT 'hard_disambiguation', tool_name, i, loc, 0 FROM k WHERE tool_name = 'kpi'
+                   UNION ALL SELECT 'hard_no_train_overlap', tool_name, i, CASE WHEN tool_name = 'kpi' THEN loc END, 0 FROM fresh
+                   UNION ALL SELECT s, tool_name, i, CASE WHEN tool_name = 'kpi' AND i % 3 = 1 THEN loc END, CASE WHEN tool_name = 'kpi' THEN CASE i % 3 WHEN 0 THEN 3 ELSE 2 END ELSE CASE i % 2 WHEN 0 THEN 2 ELSE 3 END END FROM k, (VALUES ('hard_missing_multi'), ('hard_missing_natural')) AS v(s)
+                   UNION ALL SELECT 'hard_missing_rare_slot', tool_name, i, CASE WHEN tool_name = 'kpi' THEN loc END, 1 FROM k
+                   UNION ALL SELECT 'hard_parallel_implicit', 'kpi', x.i, NULL, 0 FROM k x JOIN k y ON x.i = y.i AND x.tool_name = 'kpi' AND y.tool_name = 'station')
+        SELECT scenario, tool_name, count(*) AS n, sum(i)::BIGINT AS total, count(DISTINCT loc) AS places, min(loc) AS first_place, sum(missing)::BIGINT AS missing FROM j GROUP BY 1, 2"""
+
+
+@plans.query(_hard_plan_sql())
+def hard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of every hard family over the parts as argument sets, against all events as training calls."""
+    c = F.col
+    props = {"kpi": ("location_code", "from_date", "to_date", "kpi_code"), "station": ("station_code", "from_date", "to_date")}
+    made = _tools(spark, [(name, False, "{" + ", ".join(f'"{p}": {{"type": "string"}}' for p in ps) + "}", list(ps)) for name, ps in props.items()]).withColumn("description", F.concat(F.lit("Shows "), "name"))
+    date = lambda x: F.concat(F.lit("2024-01-0"), (1 + x % 9).cast("string"))
+    place, kpi, to = F.concat(F.lit("L"), (c("p_size") % 25).cast("string")), F.concat(F.lit("K"), (c("p_size") % 5).cast("string")), F.lit("2024-01-31")
+    odd = c("p_partkey") % 2 == 1
+    args = F.when(odd, F.to_json(F.struct(place.alias("location_code"), date(c("p_partkey")).alias("from_date"), to.alias("to_date"), kpi.alias("kpi_code")))).otherwise(F.to_json(F.struct(F.concat(F.lit("S"), c("p_size").cast("string")).alias("station_code"), date(c("p_partkey")).alias("from_date"), to.alias("to_date"))))
+    grid = table(spark, sf_dir, "part").select(F.when(odd, "kpi").otherwise("station").alias("name"), F.floor(c("p_partkey") / 2).alias("i"), args.alias("arguments"), F.create_map(F.lit("location_code"), place, F.lit("_time"), to).alias("hints"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    seen = F.to_json(F.struct(F.concat(F.lit("L"), (k % 20).cast("string")).alias("location_code"), date(c("event_id")).alias("from_date"), to.alias("to_date"), F.concat(F.lit("K"), (c("event_id") % 5).cast("string")).alias("kpi_code")))
+    none = F.lit(None).cast(f"array<{CALL}>")
+    train = table(spark, sf_dir, "events").select(_call("kpi", seen).alias("gold_call"), none.alias("gold_calls"), none.alias("gold_steps"))
+    codes = spark.createDataFrame([("location_code", f"L{i}") for i in range(25)], "param string, code string")
+    contrasts = spark.createDataFrame([(0, "kpi", "station", "figures", "stations"), (1, "nope", "kpi", "x", "y")], "pair int, a string, b string, a_text string, b_text string")
+    pairs = spark.createDataFrame([(0, "kpi", "station"), (1, "kpi", "nope")], "pair int, a string, b string")
+    jobs = hard.hard_jobs(made, grid, train, codes, contrasts, pairs, table(spark, sf_dir, "part").count() // 2, 8)
+    where = F.try_element_at(args_map(c("arguments")), F.lit("location_code")).cast("string")
+    return jobs.groupBy("scenario", "tool_name").agg(F.count("*").alias("n"), F.sum("i").alias("total"), F.count_distinct(where).alias("places"), F.min(where).alias("first_place"), F.sum(F.when(c("missing_slots").isNull(), 0).otherwise(F.size("missing_slots"))).alias("missing"))
