@@ -131,3 +131,19 @@ def test_indented_json(spark, value):
 
     text = json.dumps(value, separators=(",", ":"))
     assert spark.createDataFrame([(text,)], "t string").select(indented_json(F.col("t")).alias("x")).first()["x"] == json.dumps(value, indent=2)
+
+
+def test_masked_tools_show_known_keys_only(spark):
+    from toolloom.operators.retrieval import shown_tool
+
+    texts = ['{"secret": 1, "deprecated": false, "name": "f", "parameters": {"b": [1], "a": null}, "original_name": "g", "status": null}', '{}', "[1]", "no", None]
+    found = [r["x"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(shown_tool(F.col("t")).alias("x")).collect()]
+    assert found[1:] == ["{}", None, None, None]
+    assert list(json.loads(found[0]).items()) == [("name", "f"), ("parameters", {"a": None, "b": [1]}), ("status", None), ("deprecated", False)]
+
+
+def test_importance_ratio_is_clipped(spark):
+    row = spark.createDataFrame([(0.0, 0.0), (5.0, -5.0), (-100.0, 100.0)], "n double, o double").select(scores.importance_ratio(F.col("n"), F.col("o")).alias("r")).collect()
+    assert [r["r"] for r in row] == [1.0, 2.0, pytest.approx(2.718281828 ** -20, rel=1e-6)]
+    none = spark.range(1).select(scores.distillation_loss(*(F.array().cast(t) for t in ("array<array<double>>", "array<array<double>>", "array<double>", "array<double>"))).alias("x")).first()
+    assert none["x"] == 0.0

@@ -94,8 +94,18 @@ def top_k_jsd(p: Column, q: Column, alpha: float = 0.5) -> Column:
 
 
 def importance_ratio(new: Column, old: Column, clip: float = 2.0) -> Column:
-    """exp(new - old) of log probabilities, clipped from above."""
-    return F.least(F.exp(new - old), F.lit(clip))
+    """exp(new - old) of log probabilities, clipped from above; differences beyond 20 count as 20."""
+    return F.least(F.exp(F.least(F.greatest(new - old, F.lit(-20.0)), F.lit(20.0))), F.lit(clip))
+
+
+def distillation_loss(teacher: Column, student: Column, new: Column, old: Column, alpha: float = 0.5, clip: float = 2.0) -> Column:
+    """Mean over tokens of the divergence times the clipped importance ratio of the token said; 0 for no tokens.
+
+    ``teacher`` and ``student`` hold log probabilities of the teacher's top tokens for every token, ``new`` and ``old`` those of the
+    token said, by the student and by the policy that said it. At ``alpha`` 0 and 1 the mixture is one side, and the divergence 0.
+    """
+    each = F.transform(F.arrays_zip(teacher.alias("t"), student.alias("s"), new.alias("n"), old.alias("o")), lambda x: top_k_jsd(x["t"], x["s"], alpha) * importance_ratio(x["n"], x["o"], clip))
+    return F.when(F.size(each) > 0, _sum(each) / F.size(each)).otherwise(0.0)
 
 
 def implicit_reward(teacher: Column, policy: Column, beta: float = 1.0) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from toolloom.functions.json import args_map, call_signature
 from toolloom.functions.text import token_set
 from toolloom.functions.values import cycled, first_filled, last_n, slot_recall
-from toolloom.operators import dedup, derivation, normalise, ranks, registry, reports, retrieval, sampling
+from toolloom.operators import dedup, derivation, generation, normalise, ranks, registry, reports, retrieval, sampling
 from toolloom.plans.base import Plans, table
 
 plans = Plans()
@@ -101,6 +101,30 @@ def overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.overlap_top_k(*_asked(spark, sf_dir), k=8).withColumn("rank", F.col("rank").cast("long"))
 
 
+@plans.query(
+    r"""WITH q AS (SELECT page_id, regexp_extract_all(lower(regexp_extract(coalesce(url, ''), '\?([^#]*)', 1)), '[\p{L}\p{N}_]+') AS w FROM pages),
+             d AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) AS token FROM part),
+             m AS (SELECT page_id, p_partkey, count(*) AS score FROM (SELECT DISTINCT page_id, unnest(w) AS token FROM q) JOIN d USING (token) GROUP BY 1, 2),
+             r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, p_partkey) AS rank FROM m),
+             f AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rank FROM part ORDER BY p_partkey LIMIT 3)
+        SELECT page_id, p_partkey, score, rank FROM r WHERE rank <= 3 UNION ALL SELECT page_id, p_partkey, 0, rank FROM q, f WHERE len(w) = 0"""
+)
+def retrieval_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query parts of urls against part names; a page without a word gets the first parts."""
+    queries = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(F.coalesce("url", F.lit("")), r"\?([^#]*)", 1).alias("text"))
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))
+    top = retrieval.overlap_top_k(queries, docs, 3, "page_id", "p_partkey")
+    return retrieval.or_first(top, queries, docs, 3, "page_id", "p_partkey").select("page_id", "p_partkey", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@plans.query("SELECT event_id, CASE event_type WHEN 'view' THEN 'xlam' ELSE 'toolace' END AS source FROM events WHERE event_type IN ('view', 'click') ORDER BY event_id LIMIT 2000")
+def warmup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two thousand rows of public sources."""
+    source = F.when(F.col("event_type") == "view", "xlam").when(F.col("event_type") == "click", "toolace").otherwise(F.col("event_type"))
+    rows = generation.public_only(table(spark, sf_dir, "events").select("event_id", source.alias("source")))
+    return sampling.first_n(rows, 2000, "event_id")
+
+
 @plans.query("SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY (c_custkey * 7919 + 104729) % 1000003, c_custkey) <= 100 THEN 'eval' ELSE 'train' END AS side FROM customer")
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, rest = sampling.hold_out(table(spark, sf_dir, "customer").select("c_custkey"), 100, "c_custkey", sampling.arithmetic_hash(F.col("c_custkey")))

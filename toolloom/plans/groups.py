@@ -95,6 +95,26 @@ def token_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", (F.round(S.top_k_kl(p, q), 5) + 0.0).alias("kl"), (F.round(S.top_k_jsd(p, q), 5) + 0.0).alias("jsd"))
 
 
+def _loss_sql(alpha: float) -> str:
+    ratio = "least(exp(least(greatest(n - o, -20.0), 20.0)), 1.1)"
+    m = f"({alpha} * p[i] + {1 - alpha} * q[i])"
+    return f"avg(list_sum(list_transform(range(1, 9), lambda i: {alpha} * p[i] * (ln(p[i]) - ln({m})) + {1 - alpha} * q[i] * (ln(q[i]) - ln({m})))) * {ratio})"
+
+
+@plans.query(
+    f"""WITH t AS (SELECT vec_id, k, embedding[k + 1]::DOUBLE AS n, embedding[k + 33]::DOUBLE AS o, list_transform(embedding[33 + 8 * k : 40 + 8 * k], lambda x: exp(x::DOUBLE)) AS t, list_transform(embedding[1 + 8 * k : 8 + 8 * k], lambda x: exp(x::DOUBLE)) AS s
+                   FROM (SELECT *, unnest(range(4)) AS k FROM embeddings)),
+             x AS (SELECT vec_id, n, o, list_transform(t, lambda v: v / list_sum(t)) AS p, list_transform(s, lambda v: v / list_sum(s)) AS q FROM t)
+        SELECT vec_id, round({_loss_sql(0.5)}, 5) + 0.0 AS even, round({_loss_sql(0.3)}, 5) + 0.0 AS tilted, round({_loss_sql(0.0)}, 5) + 0.0 AS left_end, round({_loss_sql(1.0)}, 5) + 0.0 AS right_end FROM x GROUP BY 1"""
+)
+def distillation_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tokens a vector: divergences times clipped ratios, at both ends of the mixture and between."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    teacher, student = (F.array(*(F.slice("e", start + 8 * k, 8) for k in range(4))) for start in (33, 1))
+    new, old = F.slice("e", 1, 4), F.slice("e", 33, 4)
+    return e.select("vec_id", *((F.round(S.distillation_loss(teacher, student, new, old, alpha, 1.1), 5) + 0.0).alias(name) for name, alpha in (("even", 0.5), ("tilted", 0.3), ("left_end", 0.0), ("right_end", 1.0))))
+
+
 @plans.query("SELECT vec_id, list_aggregate(list_sort(embedding, 'DESC')[1:3], 'sum')::DOUBLE > 0.5 AS large, list_sort(embedding, 'DESC')[1] AS first FROM embeddings")
 def top_k_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = S.top_k(F.col("embedding"), 3)
