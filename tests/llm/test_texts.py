@@ -344,3 +344,36 @@ def test_redaction_of_empty_tables_and_clashing_columns(spark, tagger):
     rows = pii.redact(df, tagger).collect()
     assert [(r["spans"], r["n_chars"]) for r in rows] == [("s", len(rows[0]["text"])), (None, 0)] and "host" not in rows[0]["text"]
     assert pii.redact(df.limit(0), tagger).count() == 0
+
+
+def test_quality_scores_are_sums_of_table_entries():
+    """Bin additions against a plain loop over features and pairs."""
+    import bisect
+    import math
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(600, len(quality.FEATURES))), 1)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=600) * 0.3) > 0).astype(float)
+    model = quality.AdditiveModel(x, y)
+    assert len(model.pairs) == quality.PAIRS
+    for row, score in zip(x[:100], model.score(x[:100]), strict=True):
+        logit = model.base + sum(t[bisect.bisect_left(list(e), v)] for t, e, v in zip(model.tables, model.edges, row, strict=True))
+        logit += sum(t[bisect.bisect_left(list(model.coarse[i]), row[i])][bisect.bisect_left(list(model.coarse[j]), row[j])] for i, j, t in model.pairs)
+        assert math.isclose(score, 1 / (1 + math.exp(-logit)), rel_tol=1e-9)
+    assert ((model.score(x) >= 0.5) == y).mean() > 0.9
+
+
+def test_shallow_trees_take_the_best_cuts():
+    """Three leaves and crossed cuts against trying all of them."""
+    rng = np.random.default_rng(4)
+    part = lambda g, h: g.sum() ** 2 / (h.sum() + quality.RIDGE)
+    for _ in range(50):
+        g, h = rng.normal(size=9), rng.random(9)
+        steps = quality._best_steps(g, h)
+        ends = [0, *(np.flatnonzero(np.diff(steps)) + 1), 9]
+        best = max(part(g[:i], h[:i]) + part(g[i:j], h[i:j]) + part(g[j:], h[j:]) for i in range(1, 9) for j in range(i + 1, 10))  # the last leaf may be empty
+        assert len(ends) <= 4 and np.isclose(sum(part(g[a:b], h[a:b]) for a, b in zip(ends, ends[1:], strict=False)), best)
+        g, h = rng.normal(size=(5, 4)), rng.random((5, 4))
+        gain, step = quality._best_crossed(g, h)
+        cuts = [sum(part(g[a, b], h[a, b]) for a in (slice(0, i), slice(i, 5)) for b in (slice(0, j), slice(j, 4))) for i in range(1, 5) for j in range(1, 4)]
+        assert np.isclose(gain, max(cuts)) and step.shape == g.shape
