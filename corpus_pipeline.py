@@ -22,31 +22,47 @@ OWNER = "pipeline"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; the held-out fold's labels are not learnt from."""
+    """Documents that the quality classifier rejects go; the held-out fold's labels are not learnt from.
+
+    Null and empty texts are scored like any other, long texts whole; equal rows stay or go together; an empty table stays empty.
+    """
     with common.results_of(spark, OWNER):
         return quality.keep_good(docs, common.read(spark, sf_dir, "labels"), GOOD)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least doc_id."""
+    """One document of each group of near duplicates stays, the one with the least doc_id.
+
+    Null and empty texts are one group; of equal ids the first row stays; long texts count whole; an empty table stays empty.
+    """
     with common.results_of(spark, OWNER):
         return near_duplicates.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the benchmark go, and documents of which they are a large part."""
+    """Passages of the benchmark go, and documents of which they are a large part.
+
+    Null and empty texts stay as they are; equal rows are treated alike; without a benchmark nothing changes; an empty table stays empty.
+    """
     with common.results_of(spark, OWNER):
         return decontamination.remove(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked by its kind."""
+    """Personal data is masked by its kind.
+
+    Null texts stay null; long texts are searched whole in overlapping windows; equal rows are treated alike; an empty table stays empty.
+    """
     with common.results_of(spark, OWNER):
         return pii.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full windows, sources in proportion to their tokens."""
+    """Pieces of full windows, sources in proportion to their tokens.
+
+    Null texts are empty and have the closing id alone; null sources are a source; long texts are cut; equal rows are packed one by one; an
+    empty table gives no pieces.
+    """
     with common.results_of(spark, OWNER):
         return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), END, cache_share=CACHE_SHARE)
 
@@ -59,7 +75,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: MinHash, boosting, LSTM and BPE are beyond SQL: tests/llm/test_pipeline.py compares each stage with a brute-force version.
+#: MinHash, boosting, LSTM and BPE are beyond SQL: tests/llm compares near duplicates, decontamination, packing and periods with brute force and
+#: the classifier and the tagger by held-out accuracy; tests/llm/test_pipeline.py checks that each stage applies its operator to all rows.
 ORACLE_SQL = None
 
 

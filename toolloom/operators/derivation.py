@@ -18,6 +18,8 @@ DATES = ["from_date", "to_date"]
 #: Arguments that parallel calls share, and shares of masking curricula.
 SHARED = ["location_code", "from_date", "to_date", "data_level"]
 CURRICULUM = {"real_names": 0.50, "function_name_masked": 0.25, "function_and_parameter_masked": 0.15, "renamed_or_paraphrased_schema": 0.10}
+#: How the result of a first step is shown.
+OBSERVED = ("\n\n[Kết quả bước 1 — danh sách trạm]:\n", "\nHãy dùng kết quả trên để tra cứu tiếp.")
 #: Target shares of scenario families.
 PROFILE = {"single_step_valid": 0.25, "missing_slot": 0.15, "abstention": 0.10, "contract_aware": 0.20, "multi_step": 0.10, "parallel": 0.05, "masking": 0.10, "schema_or_deprecated": 0.05}
 
@@ -91,7 +93,7 @@ def react_steps(df: DataFrame, cap: int | None = None) -> DataFrame:
     def row(suffix: str, scenario: str, instruction: Column, tool: Column, args: Column) -> Column:
         return F.struct(F.concat("id", F.lit(suffix)).alias("id"), F.lit(scenario).alias("scenario"), instruction.alias("instruction"), tool.alias("tool_name"), args.alias("arguments"))
 
-    shown = F.concat(F.col("instruction"), F.lit("\n\n[Kết quả bước 1 — danh sách trạm]:\n"), F.to_json("observation"), F.lit("\nHãy dùng kết quả trên để tra cứu tiếp."))
+    shown = F.concat(F.col("instruction"), F.lit(OBSERVED[0]), F.to_json("observation"), F.lit(OBSERVED[1]))
     both = F.array(row("_r1", "react_step1", F.col("instruction"), one["tool_name"], one["arguments"]), row("_r2", "react_step2", shown, two["tool_name"], resolved))
     return ready.select(F.explode(both).alias("r")).select("r.*")
 

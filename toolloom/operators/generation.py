@@ -26,6 +26,9 @@ from toolloom.operators.validation import PLACEHOLDER
 HINTS = {"location_code": "địa điểm: ", "object_code": "địa điểm: ", "station_code": "trạm: ", "_time": "thời gian: ", "_granularity": "mức thời gian: ", "_topk": "", "kpi_code": "chỉ số: ", "unit_code": "đơn vị: "}
 #: Texts of requests, reasons and verdicts.
 OUT_OF_SCOPE = "ngoài phạm vi công cụ KPI"
+SAYS, LEFT_OUT, ANYWHERE = ("Nội dung: ", ". Phải nêu: "), ("  (CỐ TÌNH KHÔNG nêu ", ")"), "Hà Nội"
+CHAINED = ("Quy trình 2 bước: trước tiên tìm các trạm ở ", " trong ", ", sau đó tra cứu ", " của các trạm đó.")
+TOGETHER = ("Hỏi CẢ HAI trong một câu: (1) ", "; (2) ", ". ")
 MASK_REQUEST = ("Dùng ", " để: ")
 YES, NO = "CO", "KHONG"
 #: Public sources of warm-up rows, and the prefix of masked rows.
@@ -38,8 +41,8 @@ def spec_text(description: Column, hints: Column, left_out: Column | None = None
     told = [F.when(F.map_contains_key(hints, F.lit(k)), F.concat(F.lit(label), F.element_at(hints, F.lit(k)))) for k, label in HINTS.items()]
     others = F.map_values(F.map_filter(hints, lambda k, v: ~k.isin(list(HINTS))))
     parts = F.concat(F.filter(F.array(*told), lambda x: x.isNotNull()), others)
-    text = F.concat(F.lit("Nội dung: "), F.substring(F.split(description, r"\.")[0], 1, 90), F.lit(". Phải nêu: "), F.array_join(parts, "; "))
-    return text if left_out is None else F.concat(text, F.lit("  (CỐ TÌNH KHÔNG nêu "), left_out, F.lit(")"))
+    text = F.concat(F.lit(SAYS[0]), F.substring(F.split(description, r"\.")[0], 1, 90), F.lit(SAYS[1]), F.array_join(parts, "; "))
+    return text if left_out is None else F.concat(text, F.lit(LEFT_OUT[0]), left_out, F.lit(LEFT_OUT[1]))
 
 
 def call_of(tool: Column, arguments: Column) -> Column:
@@ -108,14 +111,14 @@ def pair_jobs(pairs: DataFrame, tools: DataFrame, grid: DataFrame, per_pair: int
     if chained:
         rest = F.map_filter(b, lambda k, v: k != F.col("key"))
         waiting = F.map_concat(rest, F.create_map(F.col("key"), F.parse_json(F.lit(f'"{PLACEHOLDER}"'))))
-        place = F.coalesce(F.try_element_at("_hints", F.lit("location_code")), F.try_element_at("_hints", F.lit("object_code")), F.lit("Hà Nội"))
-        when = F.coalesce(F.concat(F.lit(" trong "), F.try_element_at("_hints", F.lit("_time"))), F.lit(""))
-        spec = F.concat(F.lit("Quy trình 2 bước: trước tiên tìm các trạm ở "), place, when, F.lit(", sau đó tra cứu "), F.substring(F.split("b_description", r"\.")[0], 1, 60), F.lit(" của các trạm đó."))
+        place = F.coalesce(F.try_element_at("_hints", F.lit("location_code")), F.try_element_at("_hints", F.lit("object_code")), F.lit(ANYWHERE))
+        when = F.coalesce(F.concat(F.lit(CHAINED[1]), F.try_element_at("_hints", F.lit("_time"))), F.lit(""))
+        spec = F.concat(F.lit(CHAINED[0]), place, when, F.lit(CHAINED[2]), F.substring(F.split("b_description", r"\.")[0], 1, 60), F.lit(CHAINED[3]))
     else:
         waiting = shared_override(b, a, SHARED)
         told = F.map_filter("_hints", lambda k, v: k.startswith("_") | k.isin("location_code", "object_code"))
         heads = [F.substring(F.split(f"{side}_description", r"\.")[0], 1, 60) for side in ("a", "b")]
-        spec = F.concat(F.lit("Hỏi CẢ HAI trong một câu: (1) "), heads[0], F.lit("; (2) "), heads[1], F.lit(". "), F.element_at(F.split(spec_text(F.col("a_description"), told), "Phải nêu:"), -1))
+        spec = F.concat(F.lit(TOGETHER[0]), heads[0], F.lit(TOGETHER[1]), heads[1], F.lit(TOGETHER[2]), F.element_at(F.split(spec_text(F.col("a_description"), told), SAYS[1].strip(" .")), -1))
     calls = F.array(call_of(F.col("a"), F.to_json(a)), call_of(F.col("b"), F.to_json(waiting)))
     return both.select(F.concat_ws("_", F.col("pair").cast("string"), F.col("i").cast("string")).alias("job_id"), "pair", "i", spec.alias("spec"), calls.alias("calls"))
 
