@@ -345,3 +345,21 @@ def test_hand_written_samples(spark):
         generation.specs(spark, rows + rows[:1])
     with pytest.raises(ValueError, match="no such fields"):
         generation.call_spec("d", "seen", "s", "do", "t", "{}", typo=1)
+
+
+def test_similarity_join_makes_no_rows_of_sets_that_share_a_few_words(spark):
+    """Long and short sets of a small vocabulary, so that all meet at some token: what the join hands on are the similar pairs, and none is lost."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    sets = [sorted(rng.sample(vocabulary, n)) for n in (30, 120, 250, 256, 300, 520, 1100) for _ in range(25)]
+    for base in sets[::3]:  # near copies, some of them below the threshold, some cut into other groups
+        for share in (0.03, 0.07, 0.12):
+            gone = set(rng.sample(base, max(1, int(len(base) * share))))
+            sets.append([w for w in base if w not in gone] + [f"x{rng.randrange(9)}"])
+    rows = [("k" if i % 7 else "other", i, s) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key string, pos int, tokens array<string>")
+    held = [(k, p, set(s)) for k, p, s in rows]
+    wanted = {(p, q) for k, p, s in held for other, q, t in held if k == other and p < q and len(s & t) / len(s | t) > 0.85}
+    assert {(r["earlier"], r["later"]) for r in dedup.similar_pairs(df).collect()} == wanted and len(wanted) > 100
+    met = dedup._candidates(dedup.classes(dedup.cut_up(df)), dedup.THRESHOLD).count()
+    assert len(wanted) <= met < 2 * len(wanted)

@@ -17,7 +17,7 @@ def tokens(text: Column) -> Column:
 
 
 def token_set(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(tokens(text)))
+    return F.sort_array(F.array_distinct(tokens(text)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

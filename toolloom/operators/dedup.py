@@ -7,6 +7,11 @@ superset and is plain relational algebra.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,49 +22,167 @@ from toolloom.operators.rounds import settled
 THRESHOLD, PHRASINGS = 0.85, 3
 
 
-def _digest(tokens: Column) -> Column:
-    return F.sha2(F.array_join(tokens, "\n"), 256)
+#: Bins of the table of counts by which tokens are ordered (a byte each), bins of a piece of it, and tokens of a group, between this and twice as many.
+BINS, PIECE, GROUP = 1 << 24, 1 << 18, 128
+#: What rounding may hide.
+SLACK = 1e-9
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _hashed(df: DataFrame, *more: Column) -> DataFrame:
+    """``key, pos, _set, h`` and more of all rows: the digest of the set (null: no tokens), and a hash of each token with its key."""
+    digest = F.when(F.size("tokens") > 0, _digest(F.array_join("tokens", "\n")))
+    return df.select("key", "pos", digest.alias("_set"), F.transform("tokens", lambda t: F.xxhash64(F.col("key"), t)).alias("h"), *more)
+
+
+def _table(bins: DataFrame, code: Callable[[np.ndarray], np.ndarray], none: int) -> np.ndarray:
+    """A byte for each of ``BINS``: that of the count in ``bins(bin, count)``, ``none`` where there is no row."""
+
+    def packed(keys: tuple, t: pa.Table) -> pa.Table:
+        piece = np.full(PIECE, none, np.uint8)
+        piece[t["bin"].to_numpy() % PIECE] = code(t["count"].to_numpy())
+        return pa.table({"at": [keys[0].as_py()], "codes": [piece.tobytes()]}, schema=pa.schema([("at", pa.int64()), ("codes", pa.binary())]))
+
+    out = np.full(BINS, none, np.uint8)
+    for at, piece in bins.withColumn("at", F.floor(F.col("bin") / PIECE)).groupBy("at").applyInArrow(packed, "at long, codes binary").collect():  # 64 at most
+        out[at * PIECE : (at + 1) * PIECE] = np.frombuffer(piece, np.uint8)
+    return out
+
+
+def _binned(h: Column) -> Column:
+    return F.pmod(h, F.lit(BINS)).alias("bin")
+
+
+def _codes(hashed: DataFrame) -> np.ndarray:
+    """For each bin of hashes a byte that grows with its tokens: their number up to 16, then eight steps a doubling; 1 where there is one or none."""
+    counted = hashed.select(F.explode("h").alias("h")).groupBy(_binned(F.col("h"))).count().where("count > 1")
+    return _table(counted, lambda n: np.minimum(np.where(n <= 16, n, 16 + np.ceil(8 * np.log2(n / 16))), 255), 1)
+
+
+def _sieved(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` that ``wanted(key, pos)`` holds, and a few more: the others go before anything of them is computed or moved."""
+    held = df.sparkSession.sparkContext.broadcast(_table(wanted.groupBy(_binned(F.xxhash64("key", "pos"))).count(), np.ones_like, 0))
+
+    @F.pandas_udf("boolean")
+    def likely(h: pd.Series) -> pd.Series:
+        return pd.Series(held.value[h.to_numpy() & (BINS - 1)] > 0)
+
+    return df.where(likely(F.xxhash64("key", "pos")))
 
 
-def classes(df: DataFrame) -> DataFrame:
-    """``key, pos, tokens, rows`` of the different token sets of each key: the first row stands for all with its set; rows without tokens have none."""
-    sets = df.where("size(tokens) > 0").withColumn("_set", _digest(F.col("tokens")))
-    return sets.groupBy("key", "_set").agg(F.min("pos").alias("pos"), F.first("tokens").alias("tokens"), F.count("*").alias("rows")).drop("_set")
+def _groups_of(n: np.ndarray) -> np.ndarray:
+    """The groups, a power of two, into which a set of ``n`` tokens is cut."""
+    return 1 << np.floor(np.log2(np.maximum(n // GROUP, 1))).astype(np.int64)
+
+
+GROUPS = "array<struct<cut:long,own:boolean,m:int,s0:long,s1:long,prefix:array<long>>>"
+
+
+def _grouped(offsets: np.ndarray, h: np.ndarray, codes: np.ndarray, threshold: float) -> pa.Array:
+    """For each set its groups (``GROUPS``) with what ``_candidates`` compares."""
+    n = np.diff(offsets)
+    own = _groups_of(n)
+    more = _groups_of(np.floor(n / threshold + SLACK).astype(np.int64))  # of the largest set that may be similar
+    wider = np.flatnonzero(more > own)
+    row, cut = np.concatenate([np.arange(len(n)), wider]), np.concatenate([own, more[wider]])
+    order = np.argsort(row, kind="stable")
+    row, cut = row[order], cut[order]
+    mine = cut == own[row]
+    first = np.cumsum(cut) - cut  # of the groups of a cut set
+    size, total = n[row], int(cut.sum())
+    at = np.repeat(offsets[row] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    x = h[at]
+    group = np.repeat(first, size) + ((x >> 24) & np.repeat(cut - 1, size))
+    code = codes[x & (BINS - 1)]
+    # the order of tokens is one for all sets; tokens equal in it count as one and the same
+    rank = (code.astype(np.uint64) << np.uint64(55)) | (x.view(np.uint64) >> np.uint64(9))
+    by = np.lexsort((rank, group))
+    m = np.bincount(group, minlength=total)
+    place = np.arange(len(by)) - np.repeat(np.cumsum(m) - m, m)
+    left = m - np.ceil(threshold * m - SLACK).astype(np.int64) + 1
+    taken = (place < np.repeat(left, m)) & (code[by] > 1)  # a token of one set alone meets nobody
+    bits = np.bincount(group * 128 + ((x >> 40) & 127), minlength=total * 128).astype(np.uint8).reshape(-1, 128) & 1
+    sketch = np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1, 2)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(group[by][taken], minlength=total))])
+    prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rank[by][taken].view(np.int64)))
+    number = np.repeat(cut, cut) * 2**32 + np.arange(total) - np.repeat(first, cut)
+    parts = [pa.array(number), pa.array(np.repeat(mine, cut)), pa.array(m.astype(np.int32)), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), prefix]
+    held = np.concatenate([[0], np.cumsum(np.bincount(row, weights=cut, minlength=len(n)).astype(np.int64))])
+    return pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.StructArray.from_arrays(parts, ["cut", "own", "m", "s0", "s1", "prefix"]))
+
+
+def cut_up(df: DataFrame, threshold: float = THRESHOLD, *more: Column) -> DataFrame:
+    """``key, pos, _set, n, groups`` and more of all rows, stored: token sets themselves are not, but a digest, and of each group the rarest tokens and a sketch."""
+    held = df.sparkSession.sparkContext.broadcast(_codes(_hashed(df)))  # 16 MB
+    hashed = _hashed(df, *more)
+    at = hashed.columns.index("h")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                rows = b.slice(i, 512)
+                h = rows.column(at)
+                offsets = np.concatenate([[0], np.cumsum(h.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                groups = _grouped(offsets, h.flatten().to_numpy(), held.value, threshold)
+                others = [n for n in rows.schema.names if n != "h"]
+                yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in others), h.value_lengths(), groups], [*others, "n", "groups"])
+
+    kinds = ", ".join(f"{c} {kind}" for c, kind in hashed.dtypes if c != "h")
+    return settled(hashed.mapInArrow(cut, f"{kinds}, n int, groups {GROUPS}"))
+
+
+def classes(cut: DataFrame) -> DataFrame:
+    """``key, _set, pos, n, groups`` of the different token sets of each key of ``cut_up``: the first row stands for all; rows without tokens have none."""
+    return cut.where("_set is not null").groupBy("key", "_set").agg(F.min(F.struct("pos", "n", "groups")).alias("_first")).select("key", "_set", "_first.*")
 
 
 def similar_pairs(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(key, earlier, later, similarity) of the classes (by their first rows) of ``key, pos, tokens`` (distinct) above the threshold.
 
-    Rows with equal sets are one class, so copies never meet. Candidates share one of their rarest tokens in
-    prefix order: two sets with Jaccard similarity above t share a token among the first ``n - ceil(t n) + 1`` of
-    each, whatever the order, so no pair is lost, and sets that share only common tokens never meet.
+    Rows with equal sets are one class, so copies never meet. Whom a set meets is told by hashes (``_candidates``), without a loss; only
+    sets that meet another are compared in full.
     """
-    return _pairs(classes(df), threshold)
-
-
-def _pairs(held: DataFrame, threshold: float) -> DataFrame:
-    words = held.select("key", "pos", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counted = words.groupBy("key", "token").agg(F.count("*").alias("freq"))
-    ranked = words.join(counted.where("freq > 1"), ["key", "token"], "left")  # a token of one set alone comes first and meets nobody
-    sets = ranked.groupBy("key", "pos", "n").agg(F.count_if(F.col("freq").isNull()).alias("alone"), F.array_sort(F.collect_list(F.when(F.col("freq").isNotNull(), F.struct("freq", "token")))).alias("by_freq"))
-    left_over = (F.col("n") - F.ceil(threshold * F.col("n")) + 1 - F.col("alone")).cast("int")
-    prefix = sets.where(left_over > 0).select("key", "pos", "n", F.explode(F.slice("by_freq", F.lit(1), F.greatest(left_over, F.lit(1)))).alias("f"))
-    prefix = prefix.select("key", "pos", "n", F.col("f.token").alias("token"))
-    a, b = (prefix.select("key", "token", F.col("pos").alias(p), F.col("n").alias(f"n_{p}")) for p in ("earlier", "later"))
-    near = (F.col("earlier") < F.col("later")) & (F.least("n_earlier", "n_later") >= threshold * F.greatest("n_earlier", "n_later"))
-    met = a.join(b, ["key", "token"]).where(near).select("key", "earlier", "later").distinct()
+    return _pairs(df, cut_up(df, threshold), threshold)
+
+
+def _pairs(df: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:
+    met = settled(_candidates(classes(cut), threshold))
+    involved = settled(met.select("key", F.col("earlier").alias("pos")).union(met.select("key", "later")).distinct())
+    held = _sieved(df.select("key", "pos", "tokens"), involved).join(involved, ["key", "pos"], "left_semi")
     left, right = (held.select("key", F.col("pos").alias(p), F.col("tokens").alias(f"t_{p}")) for p in ("earlier", "later"))
     scored = met.join(left, ["key", "earlier"]).join(right, ["key", "later"]).withColumn("similarity", jaccard(F.col("t_earlier"), F.col("t_later")))
     return scored.where(F.col("similarity") > threshold).select("key", "earlier", "later", "similarity")
 
 
+def _candidates(held: DataFrame, threshold: float) -> DataFrame:
+    """(key, earlier, later) of ``classes`` that may be similar, among them all that are.
+
+    If tokens are dealt out to groups, the share of common ones in all is a weighted mean of the shares in the groups, so two sets with a
+    Jaccard similarity above t are above t in one group at least. There they share a token among the first ``m - ceil(t m) + 1`` of
+    each, whatever the order, and differ in less than (1 - t) / (1 + t) of their tokens, and in no more bits of a sketch that holds
+    for 128 hash values whether the tokens with it are even or odd in number. All of that is asked in the join itself, so that sets which
+    have but some words in common give no row. Both sets are cut as the larger one is.
+    """
+    each = held.select("key", "pos", "n", F.explode("groups").alias("g")).select("key", "pos", "n", F.col("g.cut").alias("cut"), "g.own", "g.m", "g.s0", "g.s1", F.explode("g.prefix").alias("token"))
+    each = each.withColumn("at", F.xxhash64("key", "cut", "token"))
+    a, b = (each.select("at", *(F.col(c).alias(f"{c}_{p}") for c in ("key", "pos", "n", "own", "m", "s0", "s1"))) for p in ("a", "b"))
+    c = F.col
+    alike = lambda x: F.least(f"{x}_a", f"{x}_b") >= threshold * F.greatest(f"{x}_a", f"{x}_b") - SLACK
+    unlike = F.bit_count(c("s0_a").bitwiseXOR(c("s0_b"))) + F.bit_count(c("s1_a").bitwiseXOR(c("s1_b")))
+    near = (c("pos_a") < c("pos_b")) & (c("key_a") == c("key_b")) & (c("own_a") | c("own_b")) & alike("n") & alike("m") & (unlike <= (c("m_a") + c("m_b")) * ((1 - threshold) / (1 + threshold)) + SLACK)
+    return a.join(b, ["at"]).where(near).select(c("key_a").alias("key"), c("pos_a").alias("earlier"), c("pos_b").alias("later")).distinct()
+
+
 def drop_similar(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows without any earlier similar row of their key: the first rows of classes without an earlier similar class, and rows without tokens."""
-    held = classes(df)
-    gone = _pairs(held, threshold).select("key", F.col("later").alias("pos")).distinct()
-    first = held.select("key", "pos").join(gone, ["key", "pos"], "left_anti")
-    empty = df.where("size(tokens) = 0")
-    return df.join(first, ["key", "pos"], "left_semi").unionByName(empty)
+    cut = cut_up(df, threshold)
+    later = _pairs(df, cut, threshold).select("key", F.col("later").alias("pos")).distinct()
+    first = cut.where("_set is not null").groupBy("key", "_set").agg(F.min("pos").alias("pos")).select("key", "pos")
+    kept = first.join(later, ["key", "pos"], "left_anti").unionByName(cut.where("n = 0").select("key", "pos"))
+    return df.join(kept, ["key", "pos"], "left_semi")
 
 
 def cap_per_signature(df: DataFrame, signature: list[str], position: str, n: int = PHRASINGS, exempt: Column | None = None) -> DataFrame:
@@ -77,12 +200,12 @@ def greedy(df: DataFrame, threshold: float = THRESHOLD, phrasings: int = PHRASIN
     signature has more than ``phrasings`` rows; all others stay as they are. They are decided in rounds (``in_rounds``), over
     positions, set numbers and signatures, not over texts; no key is gathered in one task.
     """
-    held = classes(df)
-    pairs = _pairs(held, threshold)
+    # a signature may be as long as its text, so it goes by its digest
+    cut = cut_up(df, threshold, _digest(F.col("signature").cast("string")).alias("signature"), F.col("exempt"))
+    pairs = settled(_pairs(df, cut, threshold))
     both = pairs.select("key", F.col("earlier").alias("cid"), F.col("later").alias("other")).unionByName(pairs.select("key", F.col("later").alias("cid"), F.col("earlier").alias("other")))
-    both = settled(both)
     similar = both.select("key", "cid").distinct().withColumn("_similar", F.lit(True))
-    light = df.select("key", "pos", "signature", "exempt", F.when(F.size("tokens") > 0, _digest(F.col("tokens"))).alias("_set"))
+    light = cut.select("key", "pos", "_set", "signature", "exempt")
     first = light.where("_set is not null").groupBy("key", "_set", "signature", "exempt").agg(F.min("pos").alias("pos"))
     variants = first.groupBy("key", "_set").agg(F.min("pos").alias("cid"), F.count("*").alias("variants"))
     first = first.join(variants, ["key", "_set"]).drop("_set").join(similar, ["key", "cid"], "left")
