@@ -363,3 +363,18 @@ def test_similarity_join_makes_no_rows_of_sets_that_share_a_few_words(spark):
     assert {(r["earlier"], r["later"]) for r in dedup.similar_pairs(df).collect()} == wanted and len(wanted) > 100
     met = dedup._candidates(dedup.classes(dedup.cut_up(df)), dedup.THRESHOLD).count()
     assert len(wanted) <= met < 2 * len(wanted)
+
+
+def test_issue_counts_hold_no_ids(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.choice("xy"), rng.choice([None, *range(4000)])) for _ in range(6000)] + [("one", "x", 7)] * 3
+    df = spark.createDataFrame(rows, "tool string, code string, id long").repartition(4)
+    out = {(r["tool"], r["code"]): (r["n"], r["examples"]) for r in reports.issue_counts(df, ["tool", "code"], "id", 3).collect()}
+    wanted = {}
+    for group in {(t, c) for t, c, _ in rows}:
+        ids = [i for t, c, i in rows if (t, c) == group]
+        least = sorted(set(ids), key=lambda i: (i is not None, i or 0))[:3]
+        wanted[group] = (len(ids), ",".join(str(i) for i in least if i is not None))
+    assert out == wanted
+    plan = reports.issue_counts(df, ["tool", "code"], "id", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [tool#" in plan and not any("count(1)" in line and ", id#" in line.split("]")[0] for line in plan.splitlines() if "Aggregate" in line)  # no count of each id

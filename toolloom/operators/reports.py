@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from toolloom.operators.rounds import settled
+
 
 def mean_where_present(metric: Column) -> Column:
     """Mean over rows that have the metric, 0 if none has."""
@@ -39,12 +41,24 @@ def distribution(df: DataFrame, column: str, default: str = "unknown") -> DataFr
     return counted.crossJoin(F.broadcast(total)).select(column, "n", F.round(100 * F.col("n") / F.col("_total"), 4).alias("pct"))
 
 
+#: Bins of ids in which a group's least ids are looked for.
+BINS = 1024
+
+
 def issue_counts(issues: DataFrame, by: list[str], id_col: str = "id", examples: int = 2) -> DataFrame:
-    """Issues by group with the least ids as examples; only ``examples`` ids a group are ever held."""
-    distinct = issues.groupBy(*by, id_col).agg(F.count("*").alias("_n"))
+    """Issues by group with the least ids as examples; a group holds a count and an id for each of ``BINS`` bins, not its ids.
+
+    The least ids of a group's bins are different ones, so the ``examples``-th of them is a bound that the ids to be shown don't exceed; a second
+    look at the issues takes what is below it, which is little more than what is shown.
+    """
+    binned = issues.groupBy(*by, F.pmod(F.xxhash64(id_col), F.lit(BINS)).alias("_bin")).agg(F.count("*").alias("_n"), F.min(id_col).alias("_least"))
+    placed = settled(binned).withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last("_least"))))
+    counted = placed.groupBy(*by).agg(F.sum("_n").alias("n"), F.min(F.when(F.col("_place") == examples, F.col("_least"))).alias("_bound"))
+    near = F.col("_bound").isNull() | F.col(id_col).isNull() | (F.col(id_col) <= F.col("_bound"))
+    distinct = issues.select(*by, id_col).join(counted.select(*by, "_bound"), by).where(near).select(*by, id_col).distinct()
     ranked = distinct.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(id_col))).where(F.col("_place") <= examples)
     shown = ranked.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(F.col(id_col).cast("long"))), ",").alias("examples"))
-    return distinct.groupBy(*by).agg(F.sum("_n").alias("n")).join(shown, by)
+    return counted.drop("_bound").join(shown, by)
 
 
 def funnel(df: DataFrame, first_fail: str) -> DataFrame:
