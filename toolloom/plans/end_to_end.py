@@ -12,7 +12,7 @@ from toolloom.operators import audit, evaluator, executor, reports
 from toolloom.operators.registry import PARAM, tools
 from toolloom.operators.scoring import REAL_SOURCE
 from toolloom.operators.validation import PLACEHOLDER
-from toolloom.plans.base import Plans, table
+from toolloom.plans.base import Plans, spread, table
 
 plans = Plans()
 RULES = "array<struct<path:string,op:string,value:string,message:string>>"
@@ -42,7 +42,8 @@ def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All customers but every eleventh; those of every fourth nation are suspended."""
     c = F.col
     made = F.struct(c("c_custkey").cast("string").alias("customer_id"), F.when(c("c_nationkey") % 4 != 0, "active").otherwise("suspended").alias("status"), F.lit("P1").alias("plan_id"), F.lit(50.0).alias("outstanding_balance"), F.lit(7.0).alias("balance"))
-    return table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0").select(c("c_custkey").cast("string").alias("customer_id"), F.from_json(F.to_json(made), executor.STATE).alias("state"))
+    people = spread(table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0").select("c_custkey", "c_nationkey"))
+    return people.select(c("c_custkey").cast("string").alias("customer_id"), F.from_json(F.to_json(made), executor.STATE).alias("state"))
 
 
 def _call(tool: str, arguments: Column) -> Column:
@@ -95,7 +96,7 @@ def transactional_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"expected_action": many, "gold_steps": F.array(pay(50), plan("P2")), "output": _said(pay(50), plan("P1"))},
         {"expected_action": many, "gold_calls": F.array(plan("P2"), plan("P3")), "output": _said(plan("P2"), plan("P2"))},
     ]
-    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    people = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
     return _samples(people, cases, {"customer_verified": F.col("id") % 5 != 0, "source": F.lit("orders")})
 
 
@@ -127,7 +128,7 @@ def read_only_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     tool = f"struct<name:string,deprecated:boolean,params:array<{PARAM}>>"
     mask = F.when(F.col("id") % 10 == 4, F.from_json(F.lit('{"name":"func_3","deprecated":false,"params":[{"name":"arg_1","type":"string","required":true}]}'), tool))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))
+    rows = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size")))
     return _samples(rows, cases, {"masked_tool": mask, "source": F.lit(REAL_SOURCE)}).drop("size")
 
 
@@ -285,7 +286,7 @@ def defect_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         mask = case.get("masked_tool")
         params = [("location_code", "string", False, None, None, None, None)] if mask == "func_1" else []
         rows.append((i, case.get("instruction", "show the figures please"), case.get("scenario_family", "single_step_valid"), case.get("expected_action", "call_function"), case.get("gold_call"), None, case.get("gold_steps"), case.get("missing_slots"), case.get("checker_call"), None, mask and (mask, False, params)))
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 3).alias("file"), (F.col("event_id") % len(DEFECTS)).cast("int").alias("turn"))
+    events = spread(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 3).alias("file"), (F.col("event_id") % len(DEFECTS)).cast("int").alias("turn")))
     return events.join(F.broadcast(spark.createDataFrame(rows, kinds)), "turn"), known, codes, names  # a row a case
 
 
