@@ -188,3 +188,21 @@ def test_bm25_sums_in_its_tasks_and_shuffles_no_pairs(spark, monkeypatch):
         assert {(r.query_id, r.doc_id, round(r.score, 6), r["rank"]) for r in top.collect()} == want
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange" in line and "doc_id" in line]
+
+
+def test_copies_go_before_hard_rows_are_verified(spark, monkeypatch):
+    """Verification sees a row of each content; rows without a word, which are like no other, all come and those that are exempt stay."""
+    from toolloom.operators import audit, generation
+    from toolloom.plans.end_to_end import DEFECTS, defect_samples
+
+    samples, known, codes, names = defect_samples(spark, "/root/testdata/sf0.001")
+    samples = samples.withColumn("pos", F.col("id")).withColumn("filter_overlap", F.col("turn") == 0)
+    silent = samples.where("id % 7 = 3").withColumns({c: F.lit(None).cast(samples.schema[c].dataType) for c in ("gold_call", "gold_calls", "gold_steps", "checker_call", "masked_tool", "missing_slots")})
+    silent = silent.withColumns({"instruction": F.lit("?!?!?!?!?!"), "scenario_family": F.lit("hard_abstain"), "expected_action": F.lit("abstain"), "reason": F.lit("no"), "filter_overlap": F.lit(False), "pos": F.col("pos") + 10**6, "id": F.col("id") + 10**6})
+    train, verify, seen = samples.where("turn = 0"), audit.verify, []
+    plain = {tuple(r) for r in generation.hard_sets(samples, known, codes, names, train, 5).select("split", "id").collect()}
+    monkeypatch.setattr(audit, "verify", lambda rows, *more: seen.append(rows.count()) or verify(rows, *more))
+    got = {tuple(r) for r in generation.hard_sets(samples.unionByName(silent), known, codes, names, train, 5).select("split", "id").collect()}
+    n = silent.count()
+    assert n > 20 and got - plain == {("eval_real_hard_abstain", r["id"]) for r in silent.select("id").collect()} and plain <= got
+    assert seen[0] - n <= len(DEFECTS) < samples.count()

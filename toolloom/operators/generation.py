@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolloom.functions.json import CALL, args_map, call_signature, json_array_candidate
-from toolloom.functions.text import first_line, token_set, too_short
+from toolloom.functions.text import TOKEN, first_line, token_set, too_short
 from toolloom.functions.values import shared_override
 from toolloom.operators import audit, dedup
 from toolloom.operators.derivation import SHARED
 from toolloom.operators.ranks import first_k
+from toolloom.operators.rounds import settled
 from toolloom.operators.sampling import hash_order, hold_out
 from toolloom.operators.scoring import REAL_SOURCE
 from toolloom.operators.validation import PLACEHOLDER
@@ -160,9 +161,21 @@ def seed_rows(tools: DataFrame) -> DataFrame:
     return out.withColumns({"instruction": F.trim("e.query"), "gold_call": call_of(F.col("name"), F.col("e.call"))}).drop("name", "i", "e")
 
 
+def signatures(calls: DataFrame) -> DataFrame:
+    """``_sig``, the different signatures of ``calls(tool_name, arguments)``; equal texts are parsed once."""
+    return calls.select("tool_name", "arguments").distinct().select(call_signature(F.col("tool_name"), F.col("arguments")).alias("_sig")).distinct()
+
+
+def first_of_copies(samples: DataFrame) -> DataFrame:
+    """``samples`` without the rows that an earlier one (``pos``) equals in all that verification and de-duplication read; rows without a word all stay."""
+    worded = F.coalesce(F.lower("instruction").rlike(TOKEN), F.lit(False))
+    first = samples.where(worded).groupBy(*audit.CONTENT).agg(F.min("pos").alias("pos")).select("pos")
+    return samples.where(worded).join(first, "pos", "left_semi").select(*samples.columns).unionByName(samples.where(~worded))
+
+
 def without_overlap(samples: DataFrame, train: DataFrame, n: int, flag: str = "filter_overlap", position: str = "pos") -> DataFrame:
     """Of the rows that ``flag`` marks those whose gold call is none of ``train``'s, the first ``n`` by position; all others as they are."""
-    seen = train.where(F.col("gold_call").isNotNull()).select(call_signature(F.col("gold_call.tool_name"), F.col("gold_call.arguments")).alias("_sig")).distinct()
+    seen = signatures(train.where(F.col("gold_call").isNotNull()).select("gold_call.tool_name", "gold_call.arguments"))
     marked = F.coalesce(F.col(flag), F.lit(False))
     fresh = samples.where(marked).withColumn("_sig", call_signature(F.col("gold_call.tool_name"), F.col("gold_call.arguments"))).join(seen, "_sig", "left_anti").drop("_sig")
     return samples.where(~marked).unionByName(first_k(fresh, n, [position])[0].select(*samples.columns)).drop(flag)
@@ -172,11 +185,10 @@ def hard_sets(samples: DataFrame, tools: DataFrame, references: DataFrame, names
     """Hard evaluation rows: verified, near-duplicates gone, no overlap with ``train``, split by family.
 
     ``samples`` as ``audit`` wants them, with ``pos`` (their order) and ``filter_overlap``. Of each family and primary
-    tool a row goes if one kept before it is more than 0.85 alike, or three with its very calls are.
+    tool a row goes if one kept before it is more than 0.85 alike, or three with its very calls are. Copies go before anything
+    is verified: they pass or fail together, and the first would rule out the others.
     """
-    kept = audit.verify(samples, tools, references, names).where("first_fail is null").drop("first_fail")
-    if samples.sparkSession.sparkContext.getCheckpointDir():
-        kept = kept.checkpoint()  # read several times below
+    kept = settled(audit.verify(first_of_copies(samples), tools, references, names).where("first_fail is null").drop("first_fail"))  # read several times below
     c = F.col
     calls = audit.all_calls(c("gold_call"), c("gold_calls"), c("gold_steps"))
     signed = F.coalesce(F.array_join(F.transform(F.when(F.size(calls) > 0, calls).otherwise(F.array(c("checker_call"))), lambda x: call_signature(x["tool_name"], x["arguments"])), ";"), F.lit(""))
