@@ -206,3 +206,26 @@ def test_copies_go_before_hard_rows_are_verified(spark, monkeypatch):
     n = silent.count()
     assert n > 20 and got - plain == {("eval_real_hard_abstain", r["id"]) for r in silent.select("id").collect()} and plain <= got
     assert seen[0] - n <= len(DEFECTS) < samples.count()
+
+
+def test_hard_jobs_read_the_training_table_once(spark):
+    from toolloom.operators import hard
+    from toolloom.plans.end_to_end import _tools
+
+    tools = _tools(spark, [("kpi", False, '{"location_code": {"type": "string"}}', ["location_code"])])
+    grid = spark.createDataFrame([("kpi", i, json.dumps({"location_code": f"L{i % 3}"}), {"_time": "now"}) for i in range(9)], "name string, i int, arguments string, hints map<string,string>")
+    call = "struct<tool_name:string,arguments:string>"
+    rows = spark.createDataFrame([(("kpi", json.dumps({"location_code": f"L{i % 2}"})), None, None) for i in range(40)], f"gold_call {call}, gold_calls array<{call}>, gold_steps array<{call}>")
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    codes = spark.createDataFrame([("location_code", c) for c in ("L0", "L1", "L2")], "param string, code string")
+    contrasts, pairs = spark.createDataFrame([], "pair int, a string, b string, a_text string, b_text string"), spark.createDataFrame([], "pair int, a string, b string")
+    jobs = hard.hard_jobs(tools, grid, rows.mapInArrow(told, rows.schema), codes, contrasts, pairs, 4, 2).collect()
+    assert {json.loads(r["arguments"])["location_code"] for r in jobs if r["scenario"] == "hard_rare_location"} == {"L0", "L2"}
+    assert [r["i"] for r in jobs if r["scenario"] == "hard_no_train_overlap"] == [2, 5]
+    assert read.value == 40

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from toolloom.functions.json import CALL, args_map, call_signature
 from toolloom.operators import audit, generation
 from toolloom.operators.ranks import first_k, numbered
+from toolloom.operators.rounds import settled
 from toolloom.operators.sampling import over_generated
 from toolloom.operators.scoring import REAL_SOURCE
 from toolloom.operators.validation import PLACEHOLDER
@@ -64,12 +65,17 @@ def training_calls(train: DataFrame) -> DataFrame:
     return train.select(F.explode(calls).alias("c")).select("c.tool_name", "c.arguments")
 
 
-def rare_codes(train: DataFrame, references: DataFrame, most: int, param: str = "location_code", names: tuple[str, ...] = PLACES) -> DataFrame:
-    """``place, code, n``: the ``most`` codes of ``references(param, code)`` that training uses least, unused ones first, ties by code."""
+def counted_calls(train: DataFrame) -> DataFrame:
+    """``tool_name, arguments, n`` of the different gold calls of a training table by their texts, stored: it is read once, and a text is parsed once."""
+    return settled(training_calls(train).groupBy("tool_name", "arguments").agg(F.count("*").alias("n")))
+
+
+def rare_codes(counted: DataFrame, references: DataFrame, most: int, param: str = "location_code", names: tuple[str, ...] = PLACES) -> DataFrame:
+    """``place, code, n``: the ``most`` codes of ``references(param, code)`` that training (``counted_calls``) uses least, unused ones first, ties by code."""
     args = args_map(F.col("arguments"))
-    used = training_calls(train).select(F.explode(F.array(*(F.try_element_at(args, F.lit(k)).cast("string") for k in names))).alias("code")).where("code is not null")
-    counted = used.groupBy("code").agg(F.count("*").alias("n"))
-    codes = references.where(F.col("param") == param).select("code").distinct().join(counted, "code", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    used = counted.select("n", F.explode(F.array(*(F.try_element_at(args, F.lit(k)).cast("string") for k in names))).alias("code")).where("code is not null")
+    each = used.groupBy("code").agg(F.sum("n").alias("n"))
+    codes = settled(references.where(F.col("param") == param).select("code").distinct().join(each, "code", "left").withColumn("n", F.coalesce("n", F.lit(0))))  # read several times
     first, _ = first_k(codes, most, ["n", "code"])
     return numbered(first, [], ["n", "code"], "place").select("place", "code", "n")
 
@@ -94,12 +100,12 @@ def contrast_jobs(tools: DataFrame, grid: DataFrame, contrasts: DataFrame, n: in
     return _job(met, _numbered("seen_disambig", "pair"), "hard_seen", "hard_disambiguation", spec, F.col("arguments"))
 
 
-def fresh_jobs(tools: DataFrame, grid: DataFrame, train: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` calls, by number and tool, whose signature no call of training has; more are taken up than are wanted."""
+def fresh_jobs(tools: DataFrame, grid: DataFrame, counted: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` calls, by number and tool, whose signature no call of training (``counted_calls``) has; more are taken up than are wanted."""
     per_tool = over_generated(n)
-    seen = training_calls(train).select(call_signature(F.col("tool_name"), F.col("arguments")).alias("_sig")).distinct()
+    seen = generation.signatures(counted)
     rows = _tool_rows(tools, grid, per_tool).withColumn("_sig", call_signature(F.col("tool_name"), F.col("arguments"))).join(seen, "_sig", "left_anti")
-    rows, _ = first_k(rows, n, [F.col("i").cast("long"), "tool_name"])
+    rows, _ = first_k(settled(rows.drop("_sig", "required")), n, [F.col("i").cast("long"), "tool_name"])  # the cut reads them several times
     return _job(rows, _numbered("seen_nooverlap", "tool_name"), "hard_seen", "hard_no_train_overlap", generation.spec_text(F.col("description"), F.col("hints")), F.col("arguments"))
 
 
@@ -157,8 +163,9 @@ def hard_jobs(tools: DataFrame, grid: DataFrame, train: DataFrame, references: D
 
     ``tools(name, description, params)``, ``grid(name, i, arguments, hints)``, ``train`` with gold calls. Refusals come from ``generation.refusals``.
     """
+    counted = counted_calls(train)
     parts = [
-        rare_jobs(tools, grid, rare_codes(train, references, places), n), contrast_jobs(tools, grid, contrasts, n), fresh_jobs(tools, grid, train, n),
+        rare_jobs(tools, grid, rare_codes(counted, references, places), n), contrast_jobs(tools, grid, contrasts, n), fresh_jobs(tools, grid, counted, n),
         missing_jobs(tools, grid, n), missing_jobs(tools, grid, n, natural=True), slot_jobs(tools, grid, n), implicit_jobs(tools, grid, pairs, n),
     ]
     out = parts[0]
