@@ -229,3 +229,56 @@ def test_hard_jobs_read_the_training_table_once(spark):
     assert {json.loads(r["arguments"])["location_code"] for r in jobs if r["scenario"] == "hard_rare_location"} == {"L0", "L2"}
     assert [r["i"] for r in jobs if r["scenario"] == "hard_no_train_overlap"] == [2, 5]
     assert read.value == 40
+
+
+@pytest.mark.parametrize("read_only", [False])
+def test_pairs_of_calls_are_scored_in_their_samples_part(spark, read_only):
+    """Against plain loops over random calls: unknown tools, no arguments, equal texts in another order, samples without calls; no shuffle by tool."""
+    from toolloom.operators import scoring
+    from toolloom.operators.validation import PLACEHOLDER
+
+    rng = random.Random(3)
+    texts = ['{"a":1,"b":2}', '{"b":2,"a":1}', '{"a":1}', "{}", None, json.dumps({"a": PLACEHOLDER}), '{"a":"1"}']
+    side = lambda: [(i, p, rng.choice(["x", "x", "y", None]), rng.choice(texts)) for i in range(40) for p in range(rng.choice([0, 1, 3, 5]))]
+    gold, pred = side(), side()
+    told = {(i, p): rng.choice(["ok", "ok", "schema_invalid", "contract_invalid"]) for i, p, *_ in pred}
+    args = lambda t: json.loads(t or "{}")
+    mean = lambda xs: sum(xs) / len(xs) if xs else 0.0
+
+    def f1(p, g):
+        both = len(args(p).keys() & args(g).keys())
+        return 1.0 if not args(p) and not args(g) else 2 * both / (len(args(p)) + len(args(g)))
+
+    def values(p, g):
+        return mean([v == args(p).get(k) and type(v) is type(args(p).get(k)) for k, v in args(g).items()]) if args(g) else float(not args(p))
+
+    want = {}
+    for i in range(41):
+        g, p = [x[1:] for x in gold if x[0] == i], [x[1:] for x in pred if x[0] == i]
+        pairs = []
+        if read_only:
+            for _, tool, text in p:
+                held = [x for x in g if x[1] == tool and tool]
+                pairs.append((text, held[-1][2] if held else None, bool(held)))
+            matched = sum(x[2] for x in pairs) / max(len(g), len(p), 1)
+        else:
+            for tool in ("x", "y"):
+                a, b = ([x for x in s if x[1] == tool] for s in (p, g))
+                pairs += [(x[2], y[2], True) for x in a for y in b if x[0] == y[0]] if i % 2 == 0 else [(x[2], y[2], True) for x, y in zip(a, b, strict=False)]
+            matched = len(pairs) / len(g) if g else 1.0
+        right = [1.0 if read_only and x and PLACEHOLDER in x else values(x, y) for x, y, _ in pairs]
+        state = [told[i, x[0]] for x in p]
+        want[i] = (matched, mean([f1(x, y) for x, y, _ in pairs]), mean(right), mean([x != "schema_invalid" for x in state]), *(() if read_only else (mean([x == "ok" for x in state]),)))
+    call = "id int, pos int, tool_name string, arguments string"
+    gold, pred = spark.createDataFrame(gold, call), spark.createDataFrame(pred, call)
+    status = spark.createDataFrame([(*k, s) for k, s in told.items()], "id int, pos int, status string")
+    samples = spark.range(41).select(F.col("id").cast("int"), (F.col("id") % 2 == 0).alias("ordered"), F.lit("call_functions").alias("predicted_action"), F.lit(None).cast("string").alias("expected_status"))
+    if read_only:
+        out = scoring.multi_read_only(samples, gold, pred, status.select("id", "pos", (F.col("status") != "schema_invalid").alias("ok")))
+    else:
+        out = scoring.multi(samples, gold, pred, status)
+    names = ["function_selection_accuracy", "argument_key_f1", "argument_value_accuracy", "schema_validity", *([] if read_only else ["execution_success_rate"])]
+    got = {r["id"]: tuple(r[n] for n in names) for r in out.collect()}
+    assert {i: pytest.approx(v) for i, v in want.items()} == got
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning" in line and ("tool_name" in line.split("hashpartitioning")[1] or "pos" in line.split("hashpartitioning")[1].split("]")[0])]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toolloom.functions import scores as S
@@ -63,23 +63,53 @@ def action_issue_type(expected: Column, strict: Column, predicted: Column) -> Co
     return F.when(strict == 1, None).when(expected == "ask_clarification", "missing_slot_not_handled").when(expected == "abstain", "unsafe_or_forbidden_action").when((expected == "call_function") & (predicted != "call_function"), "wrong_action").when(expected == "call_functions", "multi_call_mismatch")
 
 
-def _counts(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy("id").agg(F.count("*").alias(name))
+#: Sides of ``_by_sample``.
+GOLD, PRED, TOLD = 0, 1, 2
+
+
+def _by_sample(gold: DataFrame, pred: DataFrame, ok: DataFrame | None = None) -> DataFrame:
+    """``id, side, pos, tool_name, arguments, ok`` of gold and predicted calls and of what ``ok(id, pos, ok)`` tells of the latter: rows of a sample
+    lie in one part, so that pairing and adding up shuffle nothing more; they are sorted and streamed, a sample of any size is never held."""
+    none = lambda kind: F.lit(None).cast(kind)
+    out = None
+    for df, side in ((gold, GOLD), (pred, PRED)):
+        calls = df.select("id", F.lit(side).alias("side"), "pos", "tool_name", "arguments", none("boolean").alias("ok"))
+        out = calls if out is None else out.union(calls)
+    if ok is not None:
+        out = out.union(ok.select("id", F.lit(TOLD).alias("side"), "pos", none("string").alias("tool_name"), none("string").alias("arguments"), "ok"))
+    return out.repartition("id")
+
+
+def _with_match(df: DataFrame, paired: Column, pred: Column, gold: Column, waits: Column | None = None) -> DataFrame:
+    """``df`` with ``_f1`` and ``_values`` of the rows that ``paired`` names. Equal texts have equal keys and values and are not parsed, others once."""
+    same = pred.eqNullSafe(gold)
+    p, g = (F.when(paired & ~same, args_map(x)) for x in (pred, gold))
+    parsed = df.withColumns({"_p": p, "_g": g})
+    values = S.value_accuracy(F.col("_p"), F.col("_g"))
+    right = same if waits is None else same | F.coalesce(waits, F.lit(False))
+    met = {"_f1": F.when(paired, F.when(same, 1.0).otherwise(S.key_f1(F.col("_p"), F.col("_g")))), "_values": F.when(paired, F.when(right, 1.0).otherwise(values))}
+    return parsed.withColumns(met).drop("_p", "_g")
 
 
 def multi(samples: DataFrame, gold: DataFrame, pred: DataFrame, statuses: DataFrame) -> DataFrame:
     """State-changing multi-call samples ``samples(id, ordered, predicted_action, expected_status)``.
 
-    ``gold`` and ``pred`` are calls ``id, pos, tool_name, arguments``; ``statuses`` has ``id, pos, status`` of the
-    predicted calls. Samples with gold steps pair by order, others as multisets.
+    ``gold`` and ``pred`` are calls ``id, pos, tool_name, arguments``, positions of a side unique in a sample; ``statuses`` has ``id, pos, status`` of the
+    predicted calls. Samples with gold steps pair by order, others as multisets: as in ``pairing``, a pair has the same tool and the same place,
+    its position or its number among the calls of its tool.
     """
-    order = samples.select("id", "ordered")
-    pairs = pairing.ordered(gold, pred).join(order.where("ordered"), "id").select("id", "gold_arguments", "pred_arguments")
-    pairs = pairs.union(pairing.unordered(gold, pred).join(order.where("not ordered"), "id").select("id", "gold_arguments", "pred_arguments"))
-    p, g = args_map(F.col("pred_arguments")), args_map(F.col("gold_arguments"))
-    paired = pairs.groupBy("id").agg(F.count("*").alias("matched"), F.avg(S.key_f1(p, g)).alias("argument_key_f1"), F.avg(S.value_accuracy(p, g)).alias("argument_value_accuracy"))
-    scored = statuses.groupBy("id").agg(*(F.avg((F.col("status") != s).cast("double")).alias(n) for s, n in (("schema_invalid", "schema_validity"), ("contract_invalid", "contract_validity"))), F.avg((F.col("status") == "ok").cast("double")).alias("execution_success_rate"), F.collect_set("status").alias("_statuses"))
-    out = samples.join(_counts(gold, "n_gold"), "id", "left").join(_counts(pred, "n_pred"), "id", "left").join(paired, "id", "left").join(scored, "id", "left")
+    c = F.col
+    rows = _by_sample(gold, pred).join(samples.select("id", "ordered"), "id")
+    nth = F.row_number().over(Window.partitionBy("id", "side", "tool_name").orderBy("pos"))
+    rows = rows.withColumn("_nth", nth).withColumn("_place", F.when(c("ordered"), c("pos")).otherwise(c("_nth")))
+    sides = {"gold": c("side") == GOLD, "pred": c("side") == PRED}
+    places = rows.groupBy("id", "tool_name", "_place").agg(*(F.max(F.when(x, c("arguments"))).alias(f"_{n}") for n, x in sides.items()), *(F.count_if(x).alias(f"n_{n}") for n, x in sides.items()))
+    pair = c("tool_name").isNotNull() & c("_place").isNotNull() & (c("n_gold") > 0) & (c("n_pred") > 0)
+    paired = _with_match(places, pair, c("_pred"), c("_gold")).groupBy("id").agg(F.count_if(pair).alias("matched"), F.avg("_f1").alias("argument_key_f1"), F.avg("_values").alias("argument_value_accuracy"), F.sum("n_gold").alias("n_gold"), F.sum("n_pred").alias("n_pred"))
+    told = statuses.select("id", "status").join(samples.select("id", F.coalesce("expected_status", F.lit("ok")).alias("_wanted")), "id")
+    fits = {"schema_validity": c("status") != "schema_invalid", "contract_validity": c("status") != "contract_invalid", "execution_success_rate": c("status") == "ok"}
+    scored = told.groupBy("id").agg(*(F.avg(x.cast("double")).alias(n) for n, x in fits.items()), F.count_if(c("status") != c("_wanted")).alias("_off"))
+    out = samples.join(paired, "id", "left").join(scored, "id", "left")
     zero = F.lit(0.0)
     empty = F.coalesce("n_pred", F.lit(0)) == 0
     out = out.fillna(0, ["n_gold", "n_pred", "matched"])
@@ -88,14 +118,17 @@ def multi(samples: DataFrame, gold: DataFrame, pred: DataFrame, statuses: DataFr
         "function_selection_accuracy": F.when(F.col("n_gold") == 0, 1.0).otherwise(F.col("matched") / F.col("n_gold")),
         **{k: F.coalesce(F.col(k), zero) for k in ("argument_key_f1", "argument_value_accuracy", "schema_validity", "contract_validity", "execution_success_rate")},
     }
-    wanted = F.coalesce("expected_status", F.lit("ok"))
-    done = (F.col("n_gold") == F.col("n_pred")) & (F.size(F.array_except("_statuses", F.array(wanted))) == 0)
+    done = (F.col("n_gold") == F.col("n_pred")) & (F.col("_off") == 0)
     exact = (metrics["action_accuracy"] == 1) & (metrics["function_selection_accuracy"] == 1) & (metrics["argument_key_f1"] == 1) & (metrics["argument_value_accuracy"] == 1) & done
     soft = F.when(empty, 0.1 * metrics["action_accuracy"]).otherwise(S.weighted(metrics, S.TRANSACTIONAL))
     strict = F.when(empty, 0.0).otherwise(F.coalesce(exact, F.lit(False)).cast("double"))
     return out.select("id", *(v.alias(k) for k, v in metrics.items()), F.coalesce(done, F.lit(False)).cast("double").alias("task_success_rate"), F.round(soft, 6).alias("reward_soft"), F.round(strict, 6).alias("reward_strict"), S.total_reward(soft, strict).alias("reward_total"))
 
 
+def _counts(df: DataFrame, name: str) -> DataFrame:
+    return df.groupBy("id").agg(F.count("*").alias(name))
+
+
 def multi_read_only(samples: DataFrame, gold: DataFrame, pred: DataFrame, schema_ok: DataFrame) -> DataFrame:
     """Read-only multi-call samples ``samples(id, predicted_action)``, calls matched by tool.
 
