@@ -231,7 +231,7 @@ def test_hard_jobs_read_the_training_table_once(spark):
     assert read.value == 40
 
 
-@pytest.mark.parametrize("read_only", [False])
+@pytest.mark.parametrize("read_only", [False, True])
 def test_pairs_of_calls_are_scored_in_their_samples_part(spark, read_only):
     """Against plain loops over random calls: unknown tools, no arguments, equal texts in another order, samples without calls; no shuffle by tool."""
     from toolloom.operators import scoring

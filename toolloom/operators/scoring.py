@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from toolloom.functions import scores as S
 from toolloom.functions.json import args_map
 from toolloom.functions.values import first_filled, slot_recall
-from toolloom.operators import pairing
 from toolloom.operators.validation import PLACEHOLDER
 
 REAL_SOURCE = "real_tool_xlsx"
@@ -125,20 +124,24 @@ def multi(samples: DataFrame, gold: DataFrame, pred: DataFrame, statuses: DataFr
     return out.select("id", *(v.alias(k) for k, v in metrics.items()), F.coalesce(done, F.lit(False)).cast("double").alias("task_success_rate"), F.round(soft, 6).alias("reward_soft"), F.round(strict, 6).alias("reward_strict"), S.total_reward(soft, strict).alias("reward_total"))
 
 
-def _counts(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy("id").agg(F.count("*").alias(name))
-
-
 def multi_read_only(samples: DataFrame, gold: DataFrame, pred: DataFrame, schema_ok: DataFrame) -> DataFrame:
     """Read-only multi-call samples ``samples(id, predicted_action)``, calls matched by tool.
 
     ``schema_ok`` has ``id, pos, ok`` of the predicted calls. A value that waits for the first step counts as right.
     """
-    met = pairing.by_tool(gold, pred).join(schema_ok.select("id", F.col("pos").alias("pred_pos"), "ok"), ["id", "pred_pos"], "left")
-    p, g = args_map(F.col("pred_arguments")), args_map(F.col("gold_arguments"))
-    value = F.when(F.col("pred_arguments").contains(PLACEHOLDER), 1.0).otherwise(S.value_accuracy(p, g))
-    per = met.groupBy("id").agg(F.count("gold_pos").alias("hits"), F.count("*").alias("n_pred"), F.avg(S.key_f1(p, g)).alias("argument_key_f1"), F.avg(value).alias("argument_value_accuracy"), F.avg(F.coalesce("ok", F.lit(False)).cast("double")).alias("schema_validity"))
-    out = samples.join(_counts(gold, "n_gold"), "id", "left").join(per, "id", "left").fillna(0, ["n_gold", "n_pred", "hits"])
+    c = F.col
+    rows = _by_sample(gold, pred, schema_ok)
+    ok = F.max("ok").over(Window.partitionBy("id", c("side") == GOLD, "pos"))
+    calls = rows.withColumn("_ok", F.when(c("pos").isNotNull(), ok)).where(c("side") != TOLD)
+    # gold calls of a tool come before predicted ones, by position: the last one so far is the last of all
+    before = Window.partitionBy("id", "tool_name").orderBy("side", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when((c("side") == GOLD) & c("tool_name").isNotNull(), F.struct("pos", "arguments")), ignorenulls=True).over(before)
+    is_pred = c("side") == PRED
+    met = calls.withColumn("_last", last).select("id", "side", c("arguments").alias("_pred"), "_ok", c("_last.pos").alias("_hit"), c("_last.arguments").alias("_gold"))
+    met = _with_match(met, is_pred, c("_pred"), c("_gold"), c("_pred").contains(PLACEHOLDER))
+    valid = F.avg(F.when(is_pred, F.coalesce("_ok", F.lit(False)).cast("double")))
+    per = met.groupBy("id").agg(F.count_if(~is_pred).alias("n_gold"), F.count_if(is_pred).alias("n_pred"), F.count_if(is_pred & c("_hit").isNotNull()).alias("hits"), F.avg("_f1").alias("argument_key_f1"), F.avg("_values").alias("argument_value_accuracy"), valid.alias("schema_validity"))
+    out = samples.join(per, "id", "left").fillna(0, ["n_gold", "n_pred", "hits"])
     most = F.greatest("n_gold", "n_pred")
     metrics = {"action_accuracy": (F.col("predicted_action") == "call_functions").cast("double"), "function_selection_accuracy": F.when(most > 0, F.col("hits") / most).otherwise(0.0), **{k: F.coalesce(F.col(k), F.lit(0.0)) for k in ("argument_key_f1", "argument_value_accuracy", "schema_validity")}}
     exact = F.col("n_gold") == F.col("n_pred")
